@@ -167,13 +167,13 @@ def ranked(
     keys: Sequence[str],
     order: Sequence[Column | str],
     out: str,
-    sized_by: DataFrame | None = None,
+    fits: bool | None = None,
 ) -> DataFrame:
     """1-based ranks along ``order``, which must be unique within ``keys``.
 
-    ``sized_by`` may give a cheaper table whose groups are at least as large as those of ``df``.
+    ``fits`` passes on an earlier ``fits_one_task`` answer for groups at least as large.
     """
-    if fits_one_task(df if sized_by is None else sized_by, keys):
+    if fits if fits is not None else fits_one_task(df, keys):
         along = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(out, F.row_number().over(along).cast("bigint"))
     # The partition numbers are read twice, so they are stored: range bounds are sampled.
@@ -190,9 +190,25 @@ def ranked(
     )
 
 
-def group_median(df: DataFrame, keys: Sequence[str], value: str, out: str, sized_by: DataFrame | None = None) -> DataFrame:
+def ranked_with_next(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str, nexts: Mapping[str, str], fits: bool
+) -> DataFrame:
+    """``ranked`` plus columns of the next-ranked row: ``nexts`` maps new names to columns."""
+    if fits:
+        along = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumns(
+            {
+                out: F.row_number().over(along).cast("bigint"),
+                **{name: F.lead(column).over(along) for name, column in nexts.items()},
+            }
+        )
+    rows = with_neighbours(ranked(df, keys, order, out, fits), keys, out, {"_next": 1}, [*nexts.values()])
+    return rows.withColumns({name: F.col(f"_next.{column}") for name, column in nexts.items()}).drop("_next")
+
+
+def group_median(df: DataFrame, keys: Sequence[str], value: str, out: str, fits: bool | None = None) -> DataFrame:
     """Exact median of ``value`` per group, one row per group."""
-    if fits_one_task(df if sized_by is None else sized_by, keys):
+    if fits if fits is not None else fits_one_task(df, keys):
         return df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias(out))
     return _median_from_counts(df, keys, value, out)
 

@@ -52,3 +52,83 @@ page_features AS (
     (n_chars % 53) / 53.0::DOUBLE * 0.5::DOUBLE AS border_ink_ratio,
     (n_chars % 71) / 71.0::DOUBLE AS bottom_activity
   FROM documents)"""
+
+
+# --- pair features: one volume per embedding label ---------------------------------------------
+
+# (feature, vector place, low, span): feature = clamp01((vector[place] + low) / span)
+PAIR_FEATURES = (
+    ("color", 0, 0.3, 0.45),
+    ("gradient", 1, 0.3, 0.45),
+    ("profile", 2, 0.3, 0.45),
+    ("edge", 3, 0.3, 0.45),
+    ("ink", 4, 0.3, 0.45),
+    ("energy", 5, 0.3, 0.45),
+    ("orientation", 6, 0.3, 0.45),
+    ("line", 7, 0.3, 0.45),
+    ("texture", 8, 0.3, 0.45),
+    ("corr", 9, 0.3, 0.45),
+    ("color_style", 10, 0.3, 0.45),
+    ("panel", 11, 0.1, 0.5),
+    ("page_panel", 12, 0.1, 0.5),
+    ("inner_gutter", 13, 0.2, 0.35),
+    ("composition", 14, 0.25, 0.5),
+    ("seam_activity", 15, 0.3, 0.45),
+    ("seam_contact", 16, 0.2, 0.5),
+    ("patch", 17, 0.3, 0.4),
+    ("barrier", 18, 0.1, 0.35),
+)
+
+
+def embedding_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with a name; a vector stands for a page of the volume named by its label."""
+    vectors = table(spark, sf, "embeddings").select(F.col("label").alias("volume_id"), "vec_id", "embedding")
+    pages = number_rows(vectors, ["volume_id"], "vec_id", "page", first=1)
+    return pages.withColumn("name", F.format_string("page-%03d", "page"))
+
+
+EMBEDDING_PAGES_SQL = """
+embedding_pages AS (
+  SELECT label AS volume_id, vec_id, embedding,
+    row_number() OVER (PARTITION BY label ORDER BY vec_id) AS page,
+    printf('page-%03d', row_number() OVER (PARTITION BY label ORDER BY vec_id)) AS name
+  FROM embeddings)"""
+
+
+def pair_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Adjacent pairs with the 19 features read off the right page's vector."""
+    from leafwise.operators.pairs import adjacent_pairs
+
+    pages = embedding_pages(spark, sf)
+    pairs = adjacent_pairs(pages)
+    features = pages.select(
+        "volume_id",
+        F.col("page").alias("right_page"),
+        *[
+            clamp01((F.col("embedding")[place].cast("double") + low) / span).alias(name)
+            for name, place, low, span in PAIR_FEATURES
+        ],
+    )
+    return pairs.join(features, ["volume_id", "right_page"]).withColumn("offset", F.lit(0))
+
+
+_FEATURE_SQL = ",\n    ".join(
+    f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, (embedding[{place + 1}]::DOUBLE + {low}) / {span})) AS {name}"
+    for name, place, low, span in PAIR_FEATURES
+)
+PAIR_FEATURES_SQL = f"""{EMBEDDING_PAGES_SQL},
+pair_features AS (
+  SELECT * FROM (SELECT volume_id, page AS right_page, page + 1 AS left_page, name AS right_name,
+    lead(name) OVER (PARTITION BY volume_id ORDER BY page) AS left_name,
+    {_FEATURE_SQL}
+  FROM embedding_pages) WHERE left_name IS NOT NULL)"""
+
+
+def probe_scores(scores: DataFrame) -> DataFrame:
+    """Probe scorings of the gated pairs: the base score and up to two shifted ones."""
+    from leafwise.operators.adjust import PAIR_KEYS, stability_gate
+
+    gated = stability_gate(scores)
+    first = F.when(F.col("right_page") % 3 != 0, F.col("spread") * (F.lit(1.0) - F.col("texture") * 0.2))
+    second = F.when(F.col("right_page") % 3 == 2, F.col("spread") * (F.lit(1.0) - F.col("line") * 0.1))
+    return gated.select(*PAIR_KEYS, F.explode(F.array_compact(F.array("spread", first, second))).alias("spread"))
