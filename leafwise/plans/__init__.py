@@ -1,6 +1,6 @@
 """Registered queries; importing this package fills the registry."""
 
-from leafwise.plans import gaps, scoring  # noqa: F401
+from leafwise.plans import diagnosis, gaps, scoring  # noqa: F401
 from leafwise.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

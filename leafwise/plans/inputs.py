@@ -132,3 +132,140 @@ def probe_scores(scores: DataFrame) -> DataFrame:
     first = F.when(F.col("right_page") % 3 != 0, F.col("spread") * (F.lit(1.0) - F.col("texture") * 0.2))
     second = F.when(F.col("right_page") % 3 == 2, F.col("spread") * (F.lit(1.0) - F.col("line") * 0.1))
     return gated.select(*PAIR_KEYS, F.explode(F.array_compact(F.array("spread", first, second))).alias("spread"))
+
+
+# --- spines ---------------------------------------------------------------------------------------
+
+LINE_ORDER = (
+    "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax",
+    "l_shipdate", "l_returnflag", "l_linestatus",
+)
+
+
+def order_spine(spark: SparkSession, sf: str) -> DataFrame:
+    """One volume per order, one entry per order line; also the columns later tables derive from."""
+    lines = ranked(table(spark, sf, "lineitem"), ["l_orderkey"], list(LINE_ORDER), "_rank")
+    index = (F.col("_rank") - 1).cast("bigint")
+    kind = (
+        F.when(F.col("l_returnflag") == "R", "blank")
+        .when(F.col("l_quantity") % 10 == 7, "inserted")
+        .otherwise("source")
+    )
+    rows = lines.withColumns({"entry_index": index, "kind": kind, "page": F.col("_rank")})
+    number = F.format_string("%04d", "page")
+    shown = F.col("kind") != "blank"
+    return rows.select(
+        F.col("l_orderkey").alias("volume_id"),
+        "entry_index",
+        "kind",
+        F.when(F.col("kind") == "source", F.col("page")).alias("source_index"),
+        F.concat(
+            F.when(F.col("kind") == "blank", "blank-").when(F.col("kind") == "inserted", "inserted-").otherwise("page-"),
+            number,
+        ).alias("item_id"),
+        F.when(F.col("kind") == "inserted", F.concat(F.lit("/art/"), number, F.lit(".png"))).alias("inserted_path"),
+        (F.col("l_partkey") % 7 * 10 + 1000).alias("width"),
+        (F.col("l_suppkey") % 5 * 10 + 1500).alias("height"),
+        F.when(shown & (F.col("l_linestatus") == "O"), "jpg").when(shown, "png").alias("ext"),
+        F.col("l_partkey").alias("part"),
+        F.col("l_suppkey").alias("supp"),
+        F.col("l_quantity").cast("bigint").alias("quantity"),
+    )
+
+
+ORDER_SPINE_SQL = f"""
+order_lines AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(LINE_ORDER)}) AS page,
+    CASE WHEN l_returnflag = 'R' THEN 'blank' WHEN l_quantity % 10 = 7 THEN 'inserted' ELSE 'source' END AS kind
+  FROM lineitem),
+order_spine AS (
+  SELECT l_orderkey AS volume_id, page - 1 AS entry_index, kind,
+    CASE WHEN kind = 'source' THEN page END AS source_index,
+    CASE kind WHEN 'blank' THEN 'blank-' WHEN 'inserted' THEN 'inserted-' ELSE 'page-' END || printf('%04d', page)
+      AS item_id,
+    CASE WHEN kind = 'inserted' THEN '/art/' || printf('%04d', page) || '.png' END AS inserted_path,
+    l_partkey % 7 * 10 + 1000 AS width, l_suppkey % 5 * 10 + 1500 AS height,
+    CASE WHEN kind = 'blank' THEN NULL WHEN l_linestatus = 'O' THEN 'jpg' ELSE 'png' END AS ext,
+    l_partkey AS part, l_suppkey AS supp, l_quantity::BIGINT AS quantity
+  FROM order_lines)"""
+
+
+def spread_marks(spine: DataFrame) -> DataFrame:
+    """Scanned spread candidates of the spine's volumes; every pair appears up to three times."""
+    from leafwise.functions.names import pair_id
+
+    start = F.col("entry_index") + 1
+    base = spine.select(
+        "volume_id",
+        start.alias("start_page"),
+        (start + 1 + F.when(F.col("part") % 50 == 0, 1).otherwise(0)).alias("end_page"),
+        F.explode(F.sequence(F.lit(0), (F.col("part") % 3).cast("int"))).alias("copy"),
+        "part",
+        "supp",
+    )
+    return base.select(
+        "volume_id",
+        pair_id(F.col("start_page"), F.col("end_page")).alias("pair_id"),
+        "start_page",
+        "end_page",
+        ((F.col("supp") * 7 + F.col("copy") * 13) % 100 / 100.0).alias("score"),
+        ((F.col("supp") * 3 + F.col("copy")) % 100 / 100.0).alias("review_score"),
+        F.when(F.col("copy") == 0, "auto").otherwise("review").alias("decision"),
+    )
+
+
+SPREAD_MARKS_SQL = """
+spread_marks AS (
+  SELECT volume_id, printf('%03d-%03d', start_page, end_page) AS pair_id, start_page, end_page,
+    (supp * 7 + copy * 13) % 100 / 100.0::DOUBLE AS score, (supp * 3 + copy) % 100 / 100.0::DOUBLE AS review_score,
+    CASE WHEN copy = 0 THEN 'auto' ELSE 'review' END AS decision
+  FROM (SELECT volume_id, entry_index + 1 AS start_page,
+      entry_index + 2 + CASE WHEN part % 50 = 0 THEN 1 ELSE 0 END AS end_page,
+      unnest(generate_series(0, part % 3)) AS copy, part, supp FROM order_spine))"""
+
+
+def insert_gaps(spine: DataFrame) -> DataFrame:
+    """Insertion candidates: the gap behind every entry but the last positions' missing pages."""
+    from leafwise.functions.names import pair_id
+
+    page = F.col("entry_index") + 1
+    letter = (F.col("quantity") % 6 + 1).cast("int")
+    labels = ["A chapter_boundary", "B low_content_pause", "C scene_change", "D visual_discontinuity",
+              "E risky_continuity", "F do_not_insert"]
+    return spine.select(
+        "volume_id",
+        pair_id(page, page + 1).alias("gap_id"),
+        page.alias("after_page"),
+        (page + 1).alias("before_page"),
+        (F.col("supp") * 11 % 100 / 100.0).alias("safe_insert_score"),
+        F.element_at(F.array(*[F.lit(x) for x in labels]), letter).alias("label"),
+    )
+
+
+INSERT_GAPS_SQL = """
+insert_gaps AS (
+  SELECT volume_id, printf('%03d-%03d', entry_index + 1, entry_index + 2) AS gap_id, entry_index + 1 AS after_page,
+    entry_index + 2 AS before_page, supp * 11 % 100 / 100.0::DOUBLE AS safe_insert_score,
+    (['A chapter_boundary', 'B low_content_pause', 'C scene_change', 'D visual_discontinuity',
+      'E risky_continuity', 'F do_not_insert'])[quantity % 6 + 1] AS label
+  FROM order_spine)"""
+
+
+def confirmed(spine: DataFrame) -> DataFrame:
+    """Confirmed spreads: about half of all neighbouring pages."""
+    from leafwise.functions.names import pair_id
+
+    start = F.col("entry_index") + 1
+    return spine.where(F.col("part") % 2 == 0).select(
+        "volume_id",
+        pair_id(start, start + 1).alias("pair_id"),
+        start.alias("start_page"),
+        (start + 1).alias("end_page"),
+        (F.col("supp") % 10).alias("supp"),
+    )
+
+
+CONFIRMED_SQL = """
+confirmed AS (
+  SELECT volume_id, printf('%03d-%03d', entry_index + 1, entry_index + 2) AS pair_id, entry_index + 1 AS start_page,
+    entry_index + 2 AS end_page FROM order_spine WHERE part % 2 = 0)"""

@@ -15,6 +15,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # Capturing a Python call site for every column operation dominates plan building.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
