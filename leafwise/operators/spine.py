@@ -388,12 +388,13 @@ def cover_blank_points(covers: DataFrame) -> DataFrame:
     ``before`` blanks stand directly ahead of the cover and ``after`` blanks directly behind it.
     """
     cover = F.coalesce("cover_entry_index", F.lit(0)).cast("bigint")
-    def several(count: str, index: Column, first: int) -> DataFrame:
-        numbers = F.explode(F.sequence(F.lit(1), F.col(count).cast("int")))
-        return covers.where(F.col(count) > 0).select(
-            "volume_id", index.alias("index"), (numbers + first).cast("bigint").alias("seq")
-        )
-    return several("before", cover, 0).unionByName(several("after", cover + 1, 1_000_000))
+
+    def several(count: str, index: Column) -> DataFrame:
+        numbers = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(count).cast("bigint")))
+        return covers.where(F.col(count) > 0).select("volume_id", index.alias("index"), numbers.alias("seq"))
+
+    # The two groups never share an index, so their numbers may overlap.
+    return several("before", cover).unionByName(several("after", cover + 1))
 
 
 def has_saved_layout(spine: DataFrame, meta: DataFrame) -> DataFrame:
