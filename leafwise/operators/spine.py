@@ -46,10 +46,14 @@ def _renumbered(rows: DataFrame, pos: str, tie: list[str], **more) -> DataFrame:
 # --- insert ---------------------------------------------------------------------------------------
 
 def check_points(spine: DataFrame, points: DataFrame, what: str = "Blank") -> DataFrame:
-    """Points with ``error`` when the index is outside 0..entry_count."""
-    outside = ~F.col("index").between(0, F.coalesce("entry_count", F.lit(0)))
+    """Points with ``error``: an index outside 0..entry_count, or no page to size a blank by."""
+    size = spine.groupBy("volume_id").agg(F.count(F.lit(1)).alias("_n"), F.count_if(~is_blank()).alias("_pages"))
+    outside = ~F.col("index").between(0, F.coalesce("_n", F.lit(0)))
     error = F.when(outside, f"{what} insertion index out of range")
-    return points.join(lengths(spine), "volume_id", "left").withColumn("error", error).drop("entry_count")
+    if what == "Blank":
+        bare = F.coalesce("_pages", F.lit(0)) == 0
+        error = error.when(bare, "Cannot insert blank page into an empty layout")
+    return points.join(size, "volume_id", "left").withColumn("error", error).drop("_n", "_pages")
 
 
 def insert_blanks(spine: DataFrame, points: DataFrame) -> DataFrame:

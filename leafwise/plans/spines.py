@@ -19,7 +19,7 @@ def _spine(spark, sf):
 # Blank points: up to two per entry, some past the end of the volume.
 _POINTS = """points AS (SELECT volume_id, entry_index + CASE WHEN part % 40 = 0 THEN 9 ELSE 0 END AS idx,
   entry_index * 10 + k AS seq FROM (SELECT *, unnest(generate_series(1, supp % 3)) AS k FROM order_spine)),
-sizes AS (SELECT volume_id, count(*) AS n FROM order_spine GROUP BY 1)"""
+sizes AS (SELECT volume_id, count(*) AS n, count(*) FILTER (kind <> 'blank') AS pages FROM order_spine GROUP BY 1)"""
 
 
 def _points(spine):
@@ -36,7 +36,8 @@ def _points(spine):
 @query(
     "check_blank_points",
     f"""WITH {BASE}, {_POINTS} SELECT volume_id, idx AS "index", seq,
-      CASE WHEN idx < 0 OR idx > n THEN 'Blank insertion index out of range' END AS error
+      CASE WHEN idx < 0 OR idx > n THEN 'Blank insertion index out of range'
+        WHEN pages = 0 THEN 'Cannot insert blank page into an empty layout' END AS error
     FROM points JOIN sizes USING (volume_id)""",
 )
 def check_blank_points(spark, sf):
@@ -47,7 +48,7 @@ def check_blank_points(spark, sf):
 @query(
     "insert_blanks",
     f"""WITH {BASE}, {_POINTS},
-    valid AS (SELECT p.* FROM points p JOIN sizes USING (volume_id) WHERE idx BETWEEN 0 AND n),
+    valid AS (SELECT p.* FROM points p JOIN sizes USING (volume_id) WHERE idx BETWEEN 0 AND n AND pages > 0),
     pages AS (SELECT * FROM order_spine WHERE kind <> 'blank'),
     sized AS (SELECT v.volume_id, v.idx, v.seq,
         coalesce(max(p.entry_index) FILTER (p.entry_index < v.idx), min(p.entry_index)) AS ref
@@ -428,7 +429,7 @@ def skipped_blanks(spark, sf):
     "blanks_around_cover",
     f"""WITH {BASE}, {_META}, spots AS (SELECT c.volume_id, coalesce(cover_entry_index, 0) AS cover,
         source_page_count % 3 AS nb, source_page_count % 2 AS na FROM covers c JOIN meta USING (volume_id)
-        WHERE c.volume_id IN (SELECT volume_id FROM order_spine)),
+        WHERE c.volume_id IN (SELECT volume_id FROM order_spine WHERE kind <> 'blank')),
     every AS (
       SELECT volume_id, entry_index AS idx, 1 AS side, 0 AS k, kind, source_index FROM order_spine
       UNION ALL SELECT volume_id, cover, 0, unnest(generate_series(1, nb)), 'blank', NULL FROM spots
