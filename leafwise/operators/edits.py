@@ -1,0 +1,231 @@
+"""Ordered edit logs: every command sees the positions left by the commands before it.
+
+Only the log is folded in Python, one volume at a time. The fold knows the entry count and
+returns which index ranges of the old spine survive and where they go, so the entries themselves
+stay in Spark and a long volume is moved by many tasks.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from leafwise.functions.names import padded4
+from leafwise.operators.ordered import chunk_bits, running
+from leafwise.operators.spine import (
+    INSERTED_PREFIX,
+    SPINE_COLUMNS,
+    VOLUME,
+    image_ext,
+    inserted_number,
+    is_blank,
+    lengths,
+)
+
+# Commands: what ``a`` and ``b`` mean.
+COMMANDS = {
+    "delete_first": "a entries",
+    "delete_last": "a entries",
+    "delete_range": "entries a..b",
+    "insert_blank": "at index a",
+    "insert_blank_clamped": "at index a, limited to the spine",
+    "insert_image": "path at index a",
+    "move": "entry a to final index b",
+}
+_PIECES = (
+    "volume_id long, place long, first long, last long, seq long, kind string, path string, width long, height long, "
+    "anchors array<struct<backward:boolean,low:long,high:long,seq:long>>, error string"
+)
+
+
+def _split(pieces: list[list], index: int) -> int:
+    """Cut the piece list so that a piece starts at ``index``; returns that piece's number."""
+    at = 0
+    for number, piece in enumerate(pieces):
+        if at == index:
+            return number
+        size = piece[1] - piece[0] + 1
+        if index < at + size:
+            cut = piece[0] + index - at
+            pieces[number : number + 1] = [[piece[0], cut - 1, None], [cut, piece[1], None]]
+            return number + 1
+        at += size
+    return len(pieces)
+
+
+def _anchors(pieces: list[list], number: int) -> list[dict]:
+    """Where a blank put before piece ``number`` looks for its size: nearest earlier, then next."""
+    found = []
+    for backward, run in ((True, pieces[number - 1 :: -1] if number else []), (False, pieces[number:])):
+        for first, last, new in run:
+            if new is None:
+                found.append({"backward": backward, "low": first, "high": last, "seq": None})
+            elif new["kind"] == "inserted":
+                found.append({"backward": backward, "low": None, "high": None, "seq": new["seq"]})
+                return found
+    return found
+
+
+def _fold(log: pd.DataFrame) -> pd.DataFrame:
+    """Apply one volume's commands to the index range 0..n-1."""
+    log = log.sort_values("seq")
+    volume, count = log["volume_id"].iloc[0], int(log["n"].iloc[0])
+    pieces: list[list] = [[0, count - 1, None]] if count else []
+    errors = []
+    for row in log.itertuples(index=False):
+        a, b = int(row.a), None if pd.isna(row.b) else int(row.b)
+        error = None
+        if row.op.startswith("delete"):
+            if row.op == "delete_range":
+                low, high = a, b
+            else:
+                low, high = (0, a - 1) if row.op == "delete_first" else (max(count - a, 0), count - 1)
+            if row.op != "delete_range" and a <= 0:
+                error = "Delete count must be greater than zero"
+            elif count == 0:
+                error = "Cannot delete from an empty layout"
+            elif low < 0 or high < 0:
+                error = "Delete range cannot be negative"
+            elif low > high:
+                error = "Delete range start must be before end"
+            elif low >= count:
+                error = "Delete range starts after the end of the layout"
+            else:
+                high = min(high, count - 1)
+                begin = _split(pieces, low)
+                del pieces[begin : _split(pieces, high + 1)]
+                count -= high - low + 1
+        elif row.op == "move":
+            if not 0 <= a < count:
+                error = "Move source index out of range"
+            elif not 0 <= b < count:
+                error = "Move destination index out of range"
+            elif a != b:
+                begin = _split(pieces, a)
+                _split(pieces, a + 1)
+                piece = pieces.pop(begin)
+                pieces.insert(_split(pieces, b), piece)
+        elif row.op in COMMANDS:
+            index = min(max(a, 0), count) if row.op.endswith("clamped") else a
+            blank = row.op.startswith("insert_blank")
+            if not 0 <= index <= count:
+                error = f"{'Blank' if blank else 'Image'} insertion index out of range"
+            elif not blank and not str(row.path).lower().endswith((".jpg", ".jpeg", ".png")):
+                error = "Only JPEG and PNG images can be inserted"
+            else:
+                number = _split(pieces, index)
+                new = {"kind": "blank" if blank else "inserted", "seq": row.seq, "row": row}
+                new["anchors"] = _anchors(pieces, number) if blank else None
+                pieces.insert(number, [0, 0, new])
+                count += 1
+        else:
+            error = f"Unknown command: {row.op}"
+        if error:
+            errors.append({"seq": row.seq, "error": error})
+    rows, place = [], 0
+    for first, last, new in pieces:
+        row = {"place": place, "kind": "kept", "first": first, "last": last}
+        if new is not None:
+            source = new["row"]
+            row = {"place": place, "kind": new["kind"], "seq": new["seq"], "anchors": new["anchors"]}
+            if new["kind"] == "inserted":
+                row |= {"path": source.path, "width": source.width, "height": source.height}
+        rows.append(row)
+        place += last - first + 1
+    names = [part.split()[0] for part in _PIECES.split(", ")]
+    out = pd.DataFrame(rows + errors, columns=[n for n in names if n != "volume_id"]).astype(object)
+    out.insert(0, "volume_id", volume)
+    for name in ("place", "first", "last", "seq", "width", "height"):
+        out[name] = out[name].astype("Int64")
+    return out.astype(object).where(out.notna(), None)
+
+
+def fold_log(spine: DataFrame, log: DataFrame) -> DataFrame:
+    """Pieces of the edited spines, and rejected commands (rows with ``error``).
+
+    ``log(volume_id, seq, op, a, b, path, width, height)`` holds the commands a person gave for a
+    volume; their order matters, so one volume's commands are read together.
+    """
+    sized = log.join(lengths(spine), "volume_id", "left").withColumn("n", F.coalesce("entry_count", F.lit(0)))
+    return sized.drop("entry_count").groupBy("volume_id").applyInPandas(_fold, _PIECES)
+
+
+def apply_edit_log(spine: DataFrame, log: DataFrame) -> DataFrame:
+    """Spines after their edit logs; volumes without a log stay as they are."""
+    spine = spine.select(*SPINE_COLUMNS)
+    pieces = fold_log(spine, log).where(F.col("error").isNull())
+    bits = chunk_bits(spine.sparkSession)
+    chunks = F.explode(F.sequence(F.shiftright("first", bits), F.shiftright("last", bits)))
+    kept = pieces.where(F.col("kind") == "kept").select("volume_id", "place", "first", "last", chunks.alias("_chunk"))
+    entries = spine.withColumn("_chunk", F.shiftright("entry_index", bits))
+    moved = entries.join(kept, ["volume_id", "_chunk"]).where(F.col("entry_index").between(F.col("first"), F.col("last")))
+    moved = moved.withColumn("entry_index", F.col("place") + F.col("entry_index") - F.col("first"))
+    edited = log.select("volume_id").distinct()
+    untouched = spine.join(edited, "volume_id", "left_anti")
+    new = _new_images(spine, pieces).unionByName(_new_blanks(spine, pieces))
+    return moved.select(*SPINE_COLUMNS).unionByName(untouched).unionByName(new.select(*SPINE_COLUMNS))
+
+
+def _new_images(spine: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Inserted images; ids continue after the highest number in the volume, in command order."""
+    from leafwise.operators.ordered import number_rows
+
+    highest = spine.groupBy("volume_id").agg(F.max(inserted_number(F.col("item_id"))).alias("_used"))
+    images = number_rows(pieces.where(F.col("kind") == "inserted"), VOLUME, "seq", "_nth", first=1)
+    return images.join(highest, "volume_id", "left").select(
+        "volume_id",
+        F.col("place").alias("entry_index"),
+        "kind",
+        F.lit(None).cast("bigint").alias("source_index"),
+        F.concat(F.lit(INSERTED_PREFIX), padded4(F.coalesce("_used", F.lit(0)) + F.col("_nth"))).alias("item_id"),
+        F.col("path").alias("inserted_path"),
+        "width",
+        "height",
+        image_ext(F.col("path")).alias("ext"),
+    )
+
+
+def _new_blanks(spine: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Inserted blanks, sized by the page that was nearest when the command ran."""
+    blanks = pieces.where(F.col("kind") == "blank")
+    looks = blanks.select("volume_id", "seq", F.posexplode("anchors").alias("_order", "_a")).select(
+        "volume_id", "seq", "_order", "_a.backward", "_a.low", "_a.high", F.col("_a.seq").alias("_image")
+    )
+    size = F.when(~is_blank(), F.struct("entry_index", "width", "height"))
+    near = running(spine, VOLUME, "entry_index", before={"_earlier": size}, after={"_next": size})
+    near = near.select(
+        "volume_id",
+        F.col("entry_index").alias("_edge"),
+        F.when(~is_blank(), F.struct("entry_index", "width", "height")).otherwise(F.col("_earlier")).alias("_back"),
+        F.col("_next").alias("_ahead"),
+    )
+    looks = looks.withColumn("_edge", F.when(F.col("backward"), F.col("high")).otherwise(F.col("low")))
+    seen = looks.join(near, ["volume_id", "_edge"], "left").withColumn(
+        "_page", F.when(F.col("backward"), F.col("_back")).otherwise(F.col("_ahead"))
+    )
+    inside = F.col("_page.entry_index").between(F.col("low"), F.col("high"))
+    images = pieces.where(F.col("kind") == "inserted").select(
+        "volume_id", F.col("seq").alias("_image"), F.struct("width", "height").alias("_size")
+    )
+    sized = seen.join(images, ["volume_id", "_image"], "left").withColumn(
+        "_size", F.coalesce("_size", F.when(inside, F.struct("_page.width", "_page.height")))
+    )
+    best = sized.where(F.col("_size").isNotNull()).groupBy("volume_id", "seq").agg(F.min_by("_size", "_order").alias("_s"))
+    return blanks.select("volume_id", "seq", "place").join(best, ["volume_id", "seq"], "left").select(
+        "volume_id",
+        F.col("place").alias("entry_index"),
+        F.lit("blank").alias("kind"),
+        F.lit(None).cast("bigint").alias("source_index"),
+        F.lit(None).cast("string").alias("item_id"),
+        F.lit(None).cast("string").alias("inserted_path"),
+        F.col("_s.width").alias("width"),
+        F.col("_s.height").alias("height"),
+        F.lit(None).cast("string").alias("ext"),
+    )
+
+
+def rejected_commands(spine: DataFrame, log: DataFrame) -> DataFrame:
+    return fold_log(spine, log).where(F.col("error").isNotNull()).select("volume_id", "seq", "error")
+
+

@@ -102,23 +102,26 @@ def running(
     totals: Mapping[str, Column] | None = None,
     later_sums: Mapping[str, Column] | None = None,
     later_mins: Mapping[str, Column] | None = None,
+    maxes: Mapping[str, Column] | None = None,
     tie: Sequence[str] = (),
 ) -> DataFrame:
     """Add running values along ``pos`` (then ``tie``).
 
-    ``sums`` are inclusive running sums; ``before`` is the nearest non-null value strictly
+    ``sums`` and ``maxes`` are inclusive running values; ``before`` is the nearest non-null value strictly
     earlier; ``after`` the nearest non-null value at or later; ``totals`` are whole-group sums;
     ``later_sums`` and ``later_mins`` cover the rows from the current one to the end.
     """
     sums, before, after, totals = sums or {}, before or {}, after or {}, totals or {}
-    later_sums, later_mins = later_sums or {}, later_mins or {}
+    later_sums, later_mins, maxes = later_sums or {}, later_mins or {}, maxes or {}
     bits = chunk_bits(df.sparkSession)
-    inputs = {f"_in_{n}": c for n, c in {**sums, **before, **after, **totals, **later_sums, **later_mins}.items()}
+    wanted = {**sums, **before, **after, **totals, **later_sums, **later_mins, **maxes}
+    inputs = {f"_in_{n}": c for n, c in wanted.items()}
     rows = df.withColumns({**inputs, "_chunk": F.shiftright(F.col(pos), bits)})
     rank = F.struct(pos, *tie)
 
     aggs = [F.sum(f"_in_{n}").alias(f"_part_{n}") for n in [*sums, *totals, *later_sums]]
     aggs += [F.min(f"_in_{n}").alias(f"_part_{n}") for n in later_mins]
+    aggs += [F.max(f"_in_{n}").alias(f"_part_{n}") for n in maxes]
     aggs += [F.max_by(f"_in_{n}", F.when(F.col(f"_in_{n}").isNotNull(), rank)).alias(f"_part_{n}") for n in before]
     aggs += [F.min_by(f"_in_{n}", F.when(F.col(f"_in_{n}").isNotNull(), rank)).alias(f"_part_{n}") for n in after]
     chunks = rows.groupBy(*keys, "_chunk").agg(*aggs)
@@ -134,6 +137,7 @@ def running(
         *[F.sum(f"_part_{n}").over(Window.partitionBy(*keys)).alias(f"_carry_{n}") for n in totals],
         *[F.coalesce(F.sum(f"_part_{n}").over(later), F.lit(0)).alias(f"_carry_{n}") for n in later_sums],
         *[F.min(f"_part_{n}").over(later).alias(f"_carry_{n}") for n in later_mins],
+        *[F.max(f"_part_{n}").over(earlier).alias(f"_carry_{n}") for n in maxes],
     )
 
     inside = Window.partitionBy(*keys, "_chunk").orderBy(pos, *tie)
@@ -145,9 +149,11 @@ def running(
     local |= {f"_here_{n}": F.first(f"_in_{n}", ignorenulls=True).over(behind) for n in after}
     local |= {f"_here_{n}": F.sum(f"_in_{n}").over(behind) for n in later_sums}
     local |= {f"_here_{n}": F.min(f"_in_{n}").over(behind) for n in later_mins}
+    local |= {f"_here_{n}": F.max(f"_in_{n}").over(upto) for n in maxes}
     joined = rows.withColumns(local).join(carried, [*keys, "_chunk"])
     out = {n: F.col(f"_carry_{n}") + F.col(f"_here_{n}") for n in [*sums, *later_sums]}
     out |= {n: F.least(f"_here_{n}", f"_carry_{n}") for n in later_mins}
+    out |= {n: F.greatest(f"_here_{n}", f"_carry_{n}") for n in maxes}
     out |= {n: F.coalesce(f"_here_{n}", f"_carry_{n}") for n in [*before, *after]}
     out |= {n: F.col(f"_carry_{n}") for n in totals}
     kept = [c for c in df.columns if c not in out]
