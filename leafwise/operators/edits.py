@@ -7,7 +7,9 @@ stay in Spark and a long volume is moved by many tasks.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator, Mapping
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from leafwise.operators.spine import (
     is_blank,
     lengths,
 )
+from leafwise.session import durable
 
 # Commands: what ``a`` and ``b`` mean.
 COMMANDS = {
@@ -33,7 +36,17 @@ COMMANDS = {
     "insert_image": "path at index a",
     "move": "entry a to final index b",
 }
-_PIECES = (
+_ANCHOR = pa.struct([("backward", pa.bool_()), ("low", pa.int64()), ("high", pa.int64()), ("seq", pa.int64())])
+_PIECES = pa.schema(
+    [
+        *[(name, pa.int64()) for name in ("volume_id", "place", "first", "last", "seq")],
+        *[(name, pa.string()) for name in ("kind", "path")],
+        *[(name, pa.int64()) for name in ("width", "height")],
+        ("anchors", pa.list_(_ANCHOR)),
+        ("error", pa.string()),
+    ]
+)
+_PIECES_DDL = (
     "volume_id long, place long, first long, last long, seq long, kind string, path string, width long, height long, "
     "anchors array<struct<backward:boolean,low:long,high:long,seq:long>>, error string"
 )
@@ -67,21 +80,17 @@ def _anchors(pieces: list[list], number: int) -> list[dict]:
     return found
 
 
-def _fold(log: pd.DataFrame) -> pd.DataFrame:
-    """Apply one volume's commands to the index range 0..n-1."""
-    log = log.sort_values("seq")
-    volume, count = log["volume_id"].iloc[0], int(log["n"].iloc[0])
+def _fold(volume: int, count: int, log: Iterable[Mapping]) -> Iterator[tuple]:
+    """Apply one volume's commands, in order, to the index range 0..count-1."""
     pieces: list[list] = [[0, count - 1, None]] if count else []
-    errors = []
-    for row in log.itertuples(index=False):
-        a, b = int(row.a), None if pd.isna(row.b) else int(row.b)
-        error = None
-        if row.op.startswith("delete"):
-            if row.op == "delete_range":
+    for command in log:
+        op, a, b, error = command["op"], command["a"], command["b"], None
+        if op.startswith("delete"):
+            if op == "delete_range":
                 low, high = a, b
             else:
-                low, high = (0, a - 1) if row.op == "delete_first" else (max(count - a, 0), count - 1)
-            if row.op != "delete_range" and a <= 0:
+                low, high = (0, a - 1) if op == "delete_first" else (max(count - a, 0), count - 1)
+            if op != "delete_range" and a <= 0:
                 error = "Delete count must be greater than zero"
             elif count == 0:
                 error = "Cannot delete from an empty layout"
@@ -96,7 +105,7 @@ def _fold(log: pd.DataFrame) -> pd.DataFrame:
                 begin = _split(pieces, low)
                 del pieces[begin : _split(pieces, high + 1)]
                 count -= high - low + 1
-        elif row.op == "move":
+        elif op == "move":
             if not 0 <= a < count:
                 error = "Move source index out of range"
             elif not 0 <= b < count:
@@ -106,39 +115,47 @@ def _fold(log: pd.DataFrame) -> pd.DataFrame:
                 _split(pieces, a + 1)
                 piece = pieces.pop(begin)
                 pieces.insert(_split(pieces, b), piece)
-        elif row.op in COMMANDS:
-            index = min(max(a, 0), count) if row.op.endswith("clamped") else a
-            blank = row.op.startswith("insert_blank")
+        elif op in COMMANDS:
+            index = min(max(a, 0), count) if op.endswith("clamped") else a
+            blank = op.startswith("insert_blank")
             if not 0 <= index <= count:
                 error = f"{'Blank' if blank else 'Image'} insertion index out of range"
-            elif not blank and not str(row.path).lower().endswith((".jpg", ".jpeg", ".png")):
+            elif not blank and not command["path"].lower().endswith((".jpg", ".jpeg", ".png")):
                 error = "Only JPEG and PNG images can be inserted"
             else:
                 number = _split(pieces, index)
-                new = {"kind": "blank" if blank else "inserted", "seq": row.seq, "row": row}
-                new["anchors"] = _anchors(pieces, number) if blank else None
-                pieces.insert(number, [0, 0, new])
+                anchors = _anchors(pieces, number) if blank else None
+                new = {"kind": "blank" if blank else "inserted", "seq": command["seq"], "command": command}
+                pieces.insert(number, [0, 0, {**new, "anchors": anchors}])
                 count += 1
         else:
-            error = f"Unknown command: {row.op}"
+            error = f"Unknown command: {op}"
         if error:
-            errors.append({"seq": row.seq, "error": error})
-    rows, place = [], 0
+            yield (volume, None, None, None, command["seq"], None, None, None, None, None, error)
+    place = 0
     for first, last, new in pieces:
-        row = {"place": place, "kind": "kept", "first": first, "last": last}
-        if new is not None:
-            source = new["row"]
-            row = {"place": place, "kind": new["kind"], "seq": new["seq"], "anchors": new["anchors"]}
-            if new["kind"] == "inserted":
-                row |= {"path": source.path, "width": source.width, "height": source.height}
-        rows.append(row)
+        if new is None:
+            yield (volume, place, first, last, None, "kept", None, None, None, None, None)
+        elif new["kind"] == "blank":
+            yield (volume, place, None, None, new["seq"], "blank", None, None, None, new["anchors"], None)
+        else:
+            image = new["command"]
+            size = (image["path"], image["width"], image["height"])
+            yield (volume, place, None, None, new["seq"], "inserted", *size, None, None)
         place += last - first + 1
-    names = [part.split()[0] for part in _PIECES.split(", ")]
-    out = pd.DataFrame(rows + errors, columns=[n for n in names if n != "volume_id"]).astype(object)
-    out.insert(0, "volume_id", volume)
-    for name in ("place", "first", "last", "seq", "width", "height"):
-        out[name] = out[name].astype("Int64")
-    return out.astype(object).where(out.notna(), None)
+
+
+def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [
+            row
+            for volume in batch.to_pylist()
+            for row in _fold(volume["volume_id"], volume["n"], volume["commands"])
+        ]
+        columns = list(zip(*rows, strict=True)) or [()] * len(_PIECES)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(values, kind) for values, kind in zip(columns, _PIECES.types, strict=True)], schema=_PIECES
+        )
 
 
 def fold_log(spine: DataFrame, log: DataFrame) -> DataFrame:
@@ -147,14 +164,18 @@ def fold_log(spine: DataFrame, log: DataFrame) -> DataFrame:
     ``log(volume_id, seq, op, a, b, path, width, height)`` holds the commands a person gave for a
     volume; their order matters, so one volume's commands are read together.
     """
-    sized = log.join(lengths(spine), "volume_id", "left").withColumn("n", F.coalesce("entry_count", F.lit(0)))
-    return sized.drop("entry_count").groupBy("volume_id").applyInPandas(_fold, _PIECES)
+    fields = ["seq", "op", "a", "b", "path", "width", "height"]
+    commands = log.groupBy("volume_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("commands"))
+    sized = commands.join(lengths(spine), "volume_id", "left")
+    sized = sized.select("volume_id", F.coalesce("entry_count", F.lit(0)).cast("bigint").alias("n"), "commands")
+    return sized.mapInArrow(_fold_batches, _PIECES_DDL)
 
 
 def apply_edit_log(spine: DataFrame, log: DataFrame) -> DataFrame:
     """Spines after their edit logs; volumes without a log stay as they are."""
     spine = spine.select(*SPINE_COLUMNS)
-    pieces = fold_log(spine, log).where(F.col("error").isNull())
+    # Read by several branches below: stored, so the fold runs once.
+    pieces = durable(fold_log(spine, log).where(F.col("error").isNull()))
     bits = chunk_bits(spine.sparkSession)
     chunks = F.explode(F.sequence(F.shiftright("first", bits), F.shiftright("last", bits)))
     kept = pieces.where(F.col("kind") == "kept").select("volume_id", "place", "first", "last", chunks.alias("_chunk"))

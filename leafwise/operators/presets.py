@@ -70,7 +70,10 @@ def apply_preset_v1(spine: DataFrame, targets: DataFrame, presets: DataFrame) ->
     kept = named.join(gone, ["volume_id", "source_index"], "left_anti").select(*SPINE_COLUMNS)
     dense = running(kept, VOLUME, "entry_index", sums={"_n": F.lit(1)})
     dense = dense.withColumn("entry_index", (F.col("_n") - 1).cast("bigint")).select(*SPINE_COLUMNS)
-    log = chosen.select("volume_id", F.posexplode("preset.blank_positions").alias("seq", "a")).select(
+    # Without a page to size it by, no blank is inserted.
+    paged = dense.where(~is_blank()).select("volume_id").distinct()
+    sized = chosen.join(paged, "volume_id", "left_semi")
+    log = sized.select("volume_id", F.posexplode("preset.blank_positions").alias("seq", "a")).select(
         "volume_id",
         F.col("seq").cast("bigint").alias("seq"),
         F.lit("insert_blank_clamped").alias("op"),

@@ -1,6 +1,6 @@
 """Registered queries; importing this package fills the registry."""
 
-from leafwise.plans import catalogue, diagnosis, gaps, scoring, spines  # noqa: F401
+from leafwise.plans import catalogue, diagnosis, gaps, packages, scoring, spines, streams, templates  # noqa: F401
 from leafwise.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

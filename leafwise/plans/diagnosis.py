@@ -15,6 +15,7 @@ from leafwise.plans.inputs import (
     insert_gaps,
     order_spine,
     spread_marks,
+    stored_spine,
     table,
 )
 from leafwise.plans.registry import query
@@ -320,8 +321,11 @@ def repair_ranges(spark, sf):
     WHERE t.status = 'damaged' AND t.intact_after""",
 )
 def insert_point_fixes(spark, sf):
-    ranges = diagnose.repair_ranges(_damage(spark, sf), _gap())
-    return diagnose.expand_fixes(diagnose.best_suggestion(_points(spark, sf)), ranges)
+    spine = stored_spine(spark, sf)
+    marked = confirmed(spine)
+    points = diagnose.what_if_insert(spine, marked, insert_gaps(spine), _gap())
+    ranges = diagnose.repair_ranges(diagnose.diagnose_damage(spine, marked, _gap()), _gap())
+    return diagnose.expand_fixes(diagnose.best_suggestion(points), ranges)
 
 
 @query(

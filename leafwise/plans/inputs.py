@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from leafwise.functions.numeric import clamp01
 from leafwise.operators.ordered import number_rows, ranked
+from leafwise.session import durable
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -173,6 +174,11 @@ def order_spine(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stored_spine(spark: SparkSession, sf: str) -> DataFrame:
+    """``order_spine`` written once, for queries that read it many times (a real spine is a table)."""
+    return durable(order_spine(spark, sf))
+
+
 ORDER_SPINE_SQL = f"""
 order_lines AS (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(LINE_ORDER)}) AS page,

@@ -18,6 +18,7 @@ from leafwise.plans.inputs import (
 )
 from leafwise.plans.registry import query
 from leafwise.plans.sqltext import c01, r6
+from leafwise.session import durable
 
 # --- pairs ----------------------------------------------------------------------------------------
 
@@ -401,7 +402,8 @@ final AS (
 
 def final_scores(spark, sf):
     """Pair features through every adjustment stage."""
-    context = _context(spark, sf)
+    # The medians, the probes and the adjustment all read the scores: stored once.
+    context = durable(_context(spark, sf))
     return adjust.reliability_adjustment(context, adjust.stability_from_probes(probe_scores(context)))
 
 
