@@ -40,13 +40,15 @@ def fits_one_task(df: DataFrame, keys: Sequence[str]) -> bool:
     return (sizes.agg(F.max("n")).first()[0] or 0) <= limit
 
 
-def halo(df: DataFrame, keys: Sequence[str], pos: str, before: int, after: int) -> tuple[DataFrame, list[str]]:
+def halo(
+    df: DataFrame, keys: Sequence[str], pos: str, before: int, after: int, bits: int | None = None
+) -> tuple[DataFrame, list[str]]:
     """Rows with ``_chunk``, plus copies of border rows (``_copy`` true) for the adjacent chunks.
 
     Each chunk then holds the ``before`` positions ahead of it and the ``after`` positions behind
     it. Returns the rows and the column list to partition a window by.
     """
-    bits = chunk_bits(df.sparkSession)
+    bits = chunk_bits(df.sparkSession) if bits is None else bits
     size = 1 << bits
     if max(before, after) > size:
         raise ValueError("the halo is wider than a chunk")
@@ -73,13 +75,22 @@ def own_rows(rows: DataFrame) -> DataFrame:
 
 
 def with_neighbours(
-    df: DataFrame, keys: Sequence[str], pos: str, shifts: Mapping[str, int], payload: Sequence[str]
+    df: DataFrame,
+    keys: Sequence[str],
+    pos: str,
+    shifts: Mapping[str, int],
+    payload: Sequence[str],
+    bits: int | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Attach the rows ``shift`` places away as struct columns (null beyond the ends).
 
-    ``pos`` must be dense and unique within ``keys``.
+    ``pos`` must be dense and unique within ``keys``. Large rows want small chunks (``bits``), and
+    rows with costly work behind them a fixed number of ``partitions`` that is not coalesced.
     """
-    rows, parts = halo(df, keys, pos, max(0, -min(shifts.values())), max(0, max(shifts.values())))
+    rows, parts = halo(df, keys, pos, max(0, -min(shifts.values())), max(0, max(shifts.values())), bits)
+    if partitions is not None:
+        rows = rows.repartition(partitions, *parts)
     order = Window.partitionBy(*parts).orderBy(pos)
     value = F.struct(*payload)
     return own_rows(
