@@ -1,6 +1,17 @@
 """Registered queries; importing this package fills the registry."""
 
-from leafwise.plans import catalogue, diagnosis, gaps, packages, pixels, scoring, spines, streams, templates  # noqa: F401
+from leafwise.plans import (  # noqa: F401
+    catalogue,
+    diagnosis,
+    documents,
+    gaps,
+    packages,
+    pixels,
+    scoring,
+    spines,
+    streams,
+    templates,
+)
 from leafwise.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
