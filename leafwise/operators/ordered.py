@@ -229,8 +229,8 @@ def ranked_with_next(
                 **{name: F.lead(column).over(along) for name, column in nexts.items()},
             }
         )
-    rows = with_neighbours(ranked(df, keys, order, out, fits), keys, out, {"_next": 1}, [*nexts.values()])
-    return rows.withColumns({name: F.col(f"_next.{column}") for name, column in nexts.items()}).drop("_next")
+    rows = with_neighbours(ranked(df, keys, order, out, fits), keys, out, {"_behind": 1}, [*nexts.values()])
+    return rows.withColumns({name: F.col(f"_behind.{column}") for name, column in nexts.items()}).drop("_behind")
 
 
 def group_median(df: DataFrame, keys: Sequence[str], value: str, out: str, fits: bool | None = None) -> DataFrame:
