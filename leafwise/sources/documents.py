@@ -23,7 +23,7 @@ PROJECT_VERSION = 1
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, json): one row per file."""
-    texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    texts = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
 
 

@@ -43,7 +43,7 @@ def _directory(path: str) -> Iterator[tuple]:
         with system.open_input_file(name) as handle, zipfile.ZipFile(handle) as archive:
             for ordinal, info in enumerate(archive.infolist()):
                 yield (path, ordinal, info.filename, info.is_dir(), info.file_size, None)
-    except zipfile.BadZipFile:
+    except (zipfile.BadZipFile, pa.ArrowInvalid):  # too short for an archive: the seek is refused
         yield (path, None, None, None, None, f"Cannot read archive source: {path}")
 
 

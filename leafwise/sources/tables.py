@@ -68,7 +68,7 @@ def read_spread_candidates(spark: SparkSession, path: str) -> DataFrame:
 def read_insert_candidates(spark: SparkSession, path: str) -> DataFrame:
     """Gap files, one per volume. The gap id is derived from the pages, not read."""
     after, before = F.col("after_page").cast("int"), F.col("before_page").cast("int")
-    reasons = F.filter(F.transform(F.split(F.coalesce("reasons", F.lit("")), ";"), F.trim), lambda r: r != "")
+    reasons = F.filter(F.transform(F.split(F.coalesce("reasons", F.lit("")), ";"), lambda r: F.trim(r)), lambda r: r != "")
     return _read(spark, path, INSERT_COLUMNS).select(
         "volume",
         pair_id(after, before).alias("gap_id"),

@@ -1,0 +1,90 @@
+"""Pixel kernels against slow, literal versions."""
+
+import numpy as np
+import pytest
+
+from leafwise.operators import rasters
+
+RASTER = "volume_id long, page long, width int, height int, gray binary"
+
+
+def table(spark, *pages):
+    rows = [(1, i, p.shape[1], p.shape[0], p.astype(np.uint8).tobytes()) for i, p in enumerate(pages, 1)]
+    return spark.createDataFrame(rows, RASTER)
+
+
+def test_features_of_a_white_and_a_black_page(spark):
+    white, black = np.full((180, 120), 255), np.zeros((180, 120))
+    first, second = rasters.page_features(table(spark, white, black)).orderBy("page").collect()
+    assert (first.ink_ratio, first.blank_ratio, first.edge_density, first.content_density) == (0, 1, 0, 0)
+    assert (second.ink_ratio, second.dark_ratio, second.blank_ratio) == (1, 1, 0)
+    assert second.bottom_activity == 0.5
+
+
+def test_a_title_page_looks_like_one(spark):
+    page = np.full((180, 120), 255)
+    page[80:100, 40:80] = 0
+    (row,) = rasters.page_features(table(spark, page)).collect()
+    assert row.title_likeness > 0.65 and row.border_ink_ratio == 0
+
+
+def test_content_crop(spark):
+    page = np.full((200, 100), 255)
+    page[30:180, 20:90] = 10
+    tiny = np.full((200, 100), 255)
+    tiny[95:100, 45:50] = 0
+    blank = np.full((200, 100), 255)
+    got = [tuple(r)[2:] for r in rasters.content_crop(table(spark, page, tiny, blank)).orderBy("page").collect()]
+    # The tiny drawing would leave half of the page, less than the smallest allowed rest.
+    assert got == [(12, 22, 98, 188, True), (0, 0, 100, 200, False), (0, 0, 100, 200, False)]
+
+
+def sobel(strip):
+    p = np.pad(strip, 1, mode="reflect")
+    out = np.zeros(strip.shape)
+    for y in range(strip.shape[0]):
+        for x in range(strip.shape[1]):
+            w = p[y : y + 3, x : x + 3]
+            gx = (w[:, 2] - w[:, 0]) @ [1, 2, 1]
+            gy = (w[2] - w[0]) @ [1, 2, 1]
+            out[y, x] = np.hypot(gx, gy)
+    return out
+
+
+def test_edge_profiles_of_windows():
+    strip = np.random.default_rng(1).integers(0, 256, (40, 12)).astype(np.float32)
+    profile = rasters._Profile(strip)
+    for begin, end in ((0, 40), (0, 30), (7, 40), (5, 33)):
+        want = sobel(strip[begin:end]).mean(axis=1)
+        assert profile.window(begin, end) == pytest.approx(want, rel=1e-5)
+
+
+def test_quantile_is_the_linear_percentile():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 7, 50):
+        values = rng.random(n)
+        for q in (0, 55, 60, 75, 100):
+            assert rasters._quantile(values, q) == pytest.approx(np.percentile(values, q))
+
+
+def test_longest_run():
+    assert rasters._longest_run(np.array([0, 1, 1, 0, 1, 1, 1, 0], bool)) == 3 / 8
+    assert rasters._longest_run(np.zeros(5, bool)) == 0
+
+
+@pytest.mark.usefixtures("tiny_chunks")
+def test_a_cut_picture_scores_higher_than_two_strangers(spark):
+    rng = np.random.default_rng(3)
+    wide = np.cumsum(rng.integers(-9, 10, (80, 160)), axis=1) + np.linspace(60, 200, 80)[:, None]
+    wide = np.clip(wide, 0, 255)
+    other = rng.integers(0, 256, (80, 80))
+    # Right-to-left: page 1 is the right half, page 2 the left half.
+    scored = rasters.score_rasters(table(spark, wide[:, 80:], wide[:, :80], other)).orderBy("right_page").collect()
+    assert len(scored) == 2
+    assert scored[0].color > scored[1].color + 0.2 and scored[0].total > scored[1].total
+    assert scored[0].offset == 0
+
+
+def test_low_pages_get_the_empty_score(spark):
+    (row,) = rasters.score_rasters(table(spark, np.zeros((20, 30)), np.zeros((20, 30)))).collect()
+    assert (row.spread, row.offset, row.barrier) == (0.0, 0, 1.0)

@@ -35,7 +35,7 @@ def test_archive_members_by_entry(spark, tmp_path):
 
 def test_folder_images_in_natural_order(spark, tmp_path):
     for name in ("p10.png", "P2.jpg", "p1.webp", "skip.txt"):
-        (tmp_path / name).write_bytes(b"")
+        (tmp_path / name).write_bytes(b"x")
     rows = files.list_image_files(spark, str(tmp_path)).orderBy("position").collect()
     assert [r.path.rsplit("/", 1)[1] for r in rows] == ["p1.webp", "P2.jpg", "p10.png"]
 
