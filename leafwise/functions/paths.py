@@ -25,7 +25,15 @@ def _parts(path: Column) -> Column:
 
 
 def normalize_path(path: Column) -> Column:
-    """Like POSIX ``normpath``: '' becomes '.', '..' climbs, repeated slashes collapse."""
+    """Like POSIX ``normpath``: '' becomes '.', '..' climbs, repeated slashes collapse.
+
+    Most paths are normal already; only the others go through the part-by-part fold.
+    """
+    odd = path.rlike(r"(^|/)\.\.?(/|$)|//|.+/$|^$")
+    return F.when(odd, _folded(path)).otherwise(path)
+
+
+def _folded(path: Column) -> Column:
     joined = F.array_join(_parts(path), "/")
     plain = F.when(joined == "", ".").otherwise(joined)
     return F.when(path.startswith("/"), F.concat(F.lit("/"), joined)).otherwise(plain)

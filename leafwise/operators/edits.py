@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwise.functions.names import padded4
-from leafwise.operators.ordered import chunk_bits, running
+from leafwise.operators.ordered import chunk_bits, number_rows, running, spread
 from leafwise.operators.spine import (
     INSERTED_PREFIX,
     SPINE_COLUMNS,
@@ -165,7 +165,7 @@ def fold_log(spine: DataFrame, log: DataFrame) -> DataFrame:
     volume; their order matters, so one volume's commands are read together.
     """
     fields = ["seq", "op", "a", "b", "path", "width", "height"]
-    commands = log.groupBy("volume_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("commands"))
+    commands = spread(log, "volume_id").groupBy("volume_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("commands"))
     sized = commands.join(lengths(spine), "volume_id", "left")
     sized = sized.select("volume_id", F.coalesce("entry_count", F.lit(0)).cast("bigint").alias("n"), "commands")
     return sized.mapInArrow(_fold_batches, _PIECES_DDL)
@@ -190,8 +190,6 @@ def apply_edit_log(spine: DataFrame, log: DataFrame) -> DataFrame:
 
 def _new_images(spine: DataFrame, pieces: DataFrame) -> DataFrame:
     """Inserted images; ids continue after the highest number in the volume, in command order."""
-    from leafwise.operators.ordered import number_rows
-
     highest = spine.groupBy("volume_id").agg(F.max(inserted_number(F.col("item_id"))).alias("_used"))
     images = number_rows(pieces.where(F.col("kind") == "inserted"), VOLUME, "seq", "_nth", first=1)
     return images.join(highest, "volume_id", "left").select(

@@ -40,6 +40,16 @@ def fits_one_task(df: DataFrame, keys: Sequence[str]) -> bool:
     return (sizes.agg(F.max("n")).first()[0] or 0) <= limit
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over a fixed number of partitions, ahead of costly work on few bytes.
+
+    Adaptive execution sizes partitions by bytes and would put such rows into one task.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
+
+
 def halo(
     df: DataFrame, keys: Sequence[str], pos: str, before: int, after: int, bits: int | None = None
 ) -> tuple[DataFrame, list[str]]:
@@ -81,16 +91,16 @@ def with_neighbours(
     shifts: Mapping[str, int],
     payload: Sequence[str],
     bits: int | None = None,
-    partitions: int | None = None,
+    costly: bool = False,
 ) -> DataFrame:
     """Attach the rows ``shift`` places away as struct columns (null beyond the ends).
 
-    ``pos`` must be dense and unique within ``keys``. Large rows want small chunks (``bits``), and
-    rows with costly work behind them a fixed number of ``partitions`` that is not coalesced.
+    ``pos`` must be dense and unique within ``keys``. Large rows want small chunks (``bits``);
+    ``costly`` work behind the lookup wants a fixed number of tasks.
     """
     rows, parts = halo(df, keys, pos, max(0, -min(shifts.values())), max(0, max(shifts.values())), bits)
-    if partitions is not None:
-        rows = rows.repartition(partitions, *parts)
+    if costly:
+        rows = spread(rows, *parts)
     order = Window.partitionBy(*parts).orderBy(pos)
     value = F.struct(*payload)
     return own_rows(

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafwise.functions.frames import settle
 from leafwise.functions.names import extension, padded4
 from leafwise.functions.paths import directory, join_path, normalize_path
 
@@ -43,10 +44,15 @@ def has_property(name: str) -> Column:
 
 
 def resolve_manifest(manifest: DataFrame) -> DataFrame:
-    """Usable items with ``archive_path``; items without an id or href are skipped."""
+    """Usable items with ``archive_path``; items without an id or href are skipped.
+
+    Several checks read the result: store it once and pass it in place of the manifest.
+    """
+    if "archive_path" in manifest.columns:
+        return manifest
     usable = (F.coalesce("item_id", F.lit("")) != "") & (F.coalesce("href", F.lit("")) != "")
     path = normalize_path(F.concat(F.lit(f"{PACKAGE_FOLDER}/"), F.col("href")))
-    return manifest.where(usable).withColumn("archive_path", path)
+    return settle(manifest.where(usable), {"archive_path": path})
 
 
 def duplicate_entries(entries: DataFrame) -> DataFrame:
@@ -136,10 +142,8 @@ def cover_items(manifest: DataFrame) -> DataFrame:
 
 def media_types(manifest: DataFrame) -> DataFrame:
     """Image items whose media type does not belong to their extension."""
-    ext = extension(F.col("archive_path"))
-    expected: Column = F.lit(None).cast("string")
-    for name, kind in IMAGE_TYPES.items():
-        expected = F.when(ext == name, kind).otherwise(expected)
+    types = F.create_map(*[F.lit(text) for item in IMAGE_TYPES.items() for text in item])
+    expected = F.try_element_at(types, extension(F.col("archive_path")))
     rows = resolve_manifest(manifest).where(F.col("media_type").startswith("image/")).withColumn("_expected", expected)
     off = rows.where(F.col("_expected") != F.col("media_type"))
     text = F.concat(

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from leafwise.operators import package
 from leafwise.operators import spine as spine_ops
-from leafwise.plans.inputs import ORDER_SPINE_SQL, order_spine, table
+from leafwise.plans.inputs import ORDER_SPINE_SQL, order_spine, stored_spine, table
 from leafwise.plans.registry import query
+from leafwise.session import durable
 from leafwise.plans.spines import _META, _NORMAL, _covers, _spine
 
 # One book per order: the entries, manifest and references of its lines, with faults mixed in.
@@ -36,8 +37,8 @@ page_refs AS (SELECT DISTINCT volume_id AS book_id, 'i' || entry_index AS item_i
     'EPUB/images/p' || (supp % 7) || '.jpg' AS path FROM order_spine)"""
 
 
-def entries(spark, sf):
-    image = order_spine(spark, sf).select(
+def entries(spark, sf, spine):
+    image = spine.select(
         F.col("volume_id").alias("book_id"),
         (F.col("entry_index") + 1).alias("ordinal"),
         F.concat(F.lit("EPUB/images/p"), (F.col("supp") % 6).cast("string"), F.lit(".jpg")).alias("name"),
@@ -72,7 +73,7 @@ def entries(spark, sf):
     return image.unionByName(orders.select("book_id", F.inline(files)))
 
 
-def manifest(spark, sf):
+def manifest(spark, sf, spine):
     part, quantity = F.col("part"), F.col("quantity")
     href = F.concat(
         F.when(part % 4 == 0, "./x/../images/p").otherwise("images/p"),
@@ -81,7 +82,7 @@ def manifest(spark, sf):
     )
     kind = F.when(quantity % 6 == 0, package.XHTML).when(quantity % 6 == 1, "image/png").otherwise("image/jpeg")
     cover = F.when(F.col("entry_index") == 0, "x cover-image").when(part % 40 == 0, "cover-image")
-    items = order_spine(spark, sf).select(
+    items = spine.select(
         F.col("volume_id").alias("book_id"),
         F.concat(F.lit("i"), F.col("entry_index").cast("string")).alias("item_id"),
         href.alias("href"),
@@ -98,21 +99,25 @@ def manifest(spark, sf):
     return items.unionByName(nav)
 
 
-def spine_refs(spark, sf):
+def spine_refs(spine):
     at = F.col("entry_index") + F.when(F.col("part") % 9 == 0, 50).otherwise(0)
-    return order_spine(spark, sf).select(
+    return spine.select(
         F.col("volume_id").alias("book_id"), F.concat(F.lit("i"), at.cast("string")).alias("idref")
     )
 
 
-def page_refs(spark, sf):
-    return order_spine(spark, sf).select(
+def page_refs(spine):
+    return spine.select(
         F.col("volume_id").alias("book_id"),
         F.concat(F.lit("i"), F.col("entry_index").cast("string")).alias("item_id"),
         F.concat(F.lit("EPUB/images/p"), (F.col("supp") % 7).cast("string"), F.lit(".jpg")).alias("path"),
     ).distinct()
 
 
+def _tables(spark, sf, spine):
+    return entries(spark, sf, spine), manifest(spark, sf, spine), spine_refs(spine), page_refs(spine)
+
+
 _CHECKS = {
     "duplicate_entries": """SELECT book_id, 'duplicate_entry' AS rule, 'Duplicate EPUB zip entry: ' || name AS detail
       FROM entries GROUP BY book_id, name HAVING count(*) > 1""",
@@ -152,24 +157,24 @@ _CHECKS = {
 }
 
 
-def _check(name, spark, sf):
+def _check(name, entry_rows, manifest_rows, refs, images):
     if name == "duplicate_entries":
-        return package.duplicate_entries(entries(spark, sf))
+        return package.duplicate_entries(entry_rows)
     if name == "container_files":
-        return package.container_files(entries(spark, sf))
+        return package.container_files(entry_rows)
     if name == "missing_hrefs":
-        return package.missing_hrefs(manifest(spark, sf), entries(spark, sf))
+        return package.missing_hrefs(manifest_rows, entry_rows)
     if name == "unknown_idrefs":
-        return package.unknown_idrefs(spine_refs(spark, sf), manifest(spark, sf))
+        return package.unknown_idrefs(refs, manifest_rows)
     if name == "page_images":
-        return package.page_images(page_refs(spark, sf), spine_refs(spark, sf), manifest(spark, sf))
-    return getattr(package, name)(manifest(spark, sf))
+        return package.page_images(images, refs, manifest_rows)
+    return getattr(package, name)(manifest_rows)
 
 
 def _register(name):
     @query(f"package_{name}", f"WITH {BOOKS} {_CHECKS[name]}")
     def run(spark, sf):
-        return _check(name, spark, sf)
+        return _check(name, *_tables(spark, sf, order_spine(spark, sf)))
 
 
 for _name in _CHECKS:
@@ -181,7 +186,10 @@ for _name in _CHECKS:
     f"WITH {BOOKS}, v AS ({' UNION ALL '.join(_CHECKS.values())}) SELECT rule, count(*) AS violations FROM v GROUP BY 1",
 )
 def package_violations(spark, sf):
-    found = package.all_violations([_check(name, spark, sf) for name in _CHECKS])
+    entry_rows, items, refs, images = _tables(spark, sf, stored_spine(spark, sf))
+    # Five checks read the resolved manifest: stored once.
+    items = durable(package.resolve_manifest(items))
+    found = package.all_violations([_check(name, entry_rows, items, refs, images) for name in _CHECKS])
     return found.groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))
 
 
