@@ -474,7 +474,7 @@ def export_summary(spark, sf):
       UNION ALL SELECT series_id, 'existing_output', position, 0, printf('Vol.%02d: ', volume_number)
         || 'output exists and will not be overwritten: ' || output_name
       FROM validated WHERE status = 'Ready' AND output_name IN (SELECT output_name FROM existing))
-    SELECT series_id, kind, line_number, line FROM (SELECT *, row_number() OVER (PARTITION BY series_id, kind
+    SELECT series_id, kind, line_number::INTEGER AS line_number, line FROM (SELECT *, row_number() OVER (PARTITION BY series_id, kind
       ORDER BY position, nth) AS line_number FROM lines) WHERE line_number <= 20""",
 )
 def preflight_report(spark, sf):

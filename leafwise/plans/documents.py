@@ -40,7 +40,7 @@ def project_series(spark, sf):
 
 @query(
     "project_volumes",
-    f"""SELECT {_P} AS project_path, 1 AS position, '/shelf/in/' || c_custkey || '.cbz' AS path, 1 AS volume_number,
+    f"""SELECT {_P} AS project_path, 1::BIGINT AS position, '/shelf/in/' || c_custkey || '.cbz' AS path, 1::BIGINT AS volume_number,
       'Unreviewed' AS status, NULL AS output_path, 'w1; w2' AS warnings FROM customer WHERE c_custkey % 5 <> 4
     UNION ALL SELECT {_P}, 2, '/abs/' || c_custkey || '.zip', c_custkey, 'Ready',
       '/shelf/' || c_mktsegment || '/out/' || c_custkey || '.epub', '' FROM customer WHERE c_custkey % 5 <> 4""",

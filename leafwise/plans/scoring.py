@@ -151,7 +151,7 @@ def offset_candidates(spark, sf):
 
 @query(
     "coarse_topk",
-    f"""WITH {_HEIGHTS_SQL} SELECT volume_id, right_name, left_name, "offset", coarse_rank,
+    f"""WITH {_HEIGHTS_SQL} SELECT volume_id, right_name, left_name, "offset", coarse_rank::INTEGER AS coarse_rank,
     {r6('coarse_score')} FROM ranked WHERE coarse_rank <= 7""",
 )
 def coarse_topk(spark, sf):

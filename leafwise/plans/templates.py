@@ -55,7 +55,7 @@ TEMPLATES = """templates AS (SELECT s_suppkey AS preset_id, s_name AS title, s_s
     CASE WHEN s_suppkey % 9 = 8 THEN '/lost/' ELSE '/art/' END || s_suppkey || '.png' AS art, s_suppkey % 4 AS entry_number
   FROM supplier),
 template_entries AS (
-  SELECT preset_id, 0 AS position, 'blank' AS kind, NULL::BIGINT AS source_index, NULL AS path, NULL AS entry_id
+  SELECT preset_id, 0::BIGINT AS position, 'blank' AS kind, NULL::BIGINT AS source_index, NULL AS path, NULL AS entry_id
     FROM templates WHERE good
   UNION ALL SELECT preset_id, 1, 'source', 2, NULL, NULL FROM templates WHERE good
   UNION ALL SELECT preset_id, 2, 'source', cover_source, NULL, NULL FROM templates WHERE good
@@ -77,7 +77,7 @@ def _targets(spark, sf, spine):
 @query(
     "parse_presets",
     f"""WITH {TEMPLATES} SELECT preset_id, CASE WHEN NOT good THEN 'Unsupported preset version' END AS error,
-      template_pages, title, 'zh-Hant' AS language, 7 AS entry_total, CASE WHEN source_cover THEN 'source' ELSE 'inserted' END
+      template_pages, title, 'zh-Hant' AS language, 7::BIGINT AS entry_total, CASE WHEN source_cover THEN 'source' ELSE 'inserted' END
       AS cover_kind FROM templates""",
 )
 def parse_presets(spark, sf):
