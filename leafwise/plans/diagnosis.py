@@ -136,7 +136,7 @@ _MARKS = """marks AS (
 
 
 def _marks(spark, sf):
-    top = table(spark, sf, "orders").agg((F.max("o_orderkey") + 1).alias("top"))
+    top = table(spark, sf, "orders").agg((F.max("o_orderkey") + 1).alias("top")).scalar()
     status = (
         F.when(F.col("event_type").isin("click", "purchase"), "true")
         .when(F.col("event_type") == "view", "false")
@@ -144,9 +144,8 @@ def _marks(spark, sf):
         .otherwise("maybe")
     )
     start = F.lit(1) + F.col("user_id") % 4
-    # One row, so the broadcast side has a fixed size.
-    return table(spark, sf, "events").join(F.broadcast(top)).select(
-        (F.col("event_id") % F.col("top")).alias("volume_id"),
+    return table(spark, sf, "events").select(
+        (F.col("event_id") % top).alias("volume_id"),
         pair_id(start, start + 1).alias("pair_id"),
         F.col("event_id").alias("seq"),
         status.alias("status"),

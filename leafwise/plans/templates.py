@@ -68,10 +68,8 @@ TARGETS = """targets AS (SELECT DISTINCT volume_id, volume_id % (SELECT count(*)
 
 
 def _targets(spark, sf, spine):
-    # One row, so the broadcast side has a fixed size.
-    total = table(spark, sf, "supplier").agg(F.count(F.lit(1)).alias("_n"))
-    ids = spine.select("volume_id").distinct().join(F.broadcast(total))
-    return ids.select("volume_id", (F.col("volume_id") % F.col("_n")).alias("preset_id"))
+    total = table(spark, sf, "supplier").agg(F.count(F.lit(1)).alias("n")).scalar()
+    return spine.select("volume_id").distinct().select("volume_id", (F.col("volume_id") % total).alias("preset_id"))
 
 
 @query(
