@@ -27,7 +27,7 @@ import regex
 
 from leafwise.llm.words import _hashes, text_buffer
 
-MEMO = 400_000  # pieces kept in a worker; the memo is emptied when it is full
+MEMO = 250_000  # pieces in each of the two generations a worker keeps
 LONG_PIECE = 256  # longer pieces are not kept
 
 

@@ -71,7 +71,7 @@ def cut_pieces(
 def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pack pieces, longest first; gives the bin and offset of each piece and the gap left in every bin.
 
-    Among placements with the same sum the smallest gap wins, an open bin ahead of a new one.
+    Only a piece that fits no open bin opens a new one. Among placements with the same sum the smallest gap wins.
     """
     count = np.zeros(size + 1, np.int64)  # open bins by gap
     open_bins: list[list[int]] = [[] for _ in range(size + 1)]
@@ -79,19 +79,18 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     for i in np.argsort(-lengths, kind="stable").tolist():
         s = int(lengths[i])
-        # Change of the sum of squares when gap g becomes g - s: a closed bin has no gap to count.
-        change = 2 - 2 * count[s:] + 2 * count[: size + 1 - s]
-        change[0] = 1 - 2 * count[s]
-        fresh = 2 * count[size - s] + 1 if s < size else 0
-        change[count[s:] == 0] = fresh + 1
-        best = int(change.argmin())
-        if change[best] > fresh or not open_bins[s + best]:
-            b, g = len(gaps), size
-            gaps.append(size)
-        else:
-            g = s + best
+        # Change of the sum of squares when a bin of gap g gets gap g - s; a full bin has no gap to count.
+        here = count[s:]
+        change = 2 - 2 * here + 2 * count[: size + 1 - s]
+        change[0] = 1 - 2 * here[0]
+        change[here == 0] = np.iinfo(np.int64).max
+        g = s + int(change.argmin())
+        if count[g]:
             b = open_bins[g].pop()
             count[g] -= 1
+        else:
+            b, g = len(gaps), size
+            gaps.append(size)
         bins[i], offsets[i] = b, size - g
         gaps[b] = g - s
         if g > s:

@@ -25,7 +25,8 @@ def normalised(text: Column) -> Column:
 def read_cache(spark: SparkSession, cache_dir: str, version: str) -> DataFrame:
     """Stored counts of one tokenizer version; empty if there is no cache yet.
 
-    Two appends at the same time may store a digest twice: both counts are equal, one is kept.
+    Two appends at the same time may store a digest twice: both counts are equal, one is kept. Grouping by
+    both keys leaves the later join an exchange of its own, which adaptive execution can split for a hot digest.
     """
     try:
         cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_dir)
@@ -34,7 +35,7 @@ def read_cache(spark: SparkSession, cache_dir: str, version: str) -> DataFrame:
             raise
         cache = spark.createDataFrame([], CACHE_SCHEMA)
     stored = cache.filter(F.col("version") == version)
-    return stored.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+    return stored.groupBy("digest", "version").agg(F.min("n_tokens").alias("n_tokens")).drop("version")
 
 
 def count_tokens(
