@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwise.llm import class_lm, crf_lang, line_clean, onebit, orc_ids, packing, substring, token_cache, tree_bpe
+from leafwise.llm import class_lm, crf_lang, icws, line_clean, onebit, orc_ids, packing, substring, token_cache, tree_bpe
 from leafwise.llm.encoders import tokenizer_path
 from leafwise.llm.store import shared_path
 
@@ -81,6 +81,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_ORACLES["op6_substring_dedup"] = substring.SQL
 
 
+@_query
+def op7_icws_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return icws.classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @_query
 def op8_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token ids to ORC and read back."""
