@@ -83,20 +83,30 @@ def source_error(path: Column) -> Column:
 
 def natural_key(name: Column) -> Column:
     """Orderable array: digit runs compare as numbers and before text, text ignores case."""
+    # A string has less than 2^31 characters: ten digits hold the length of any digit run.
     chunks = F.regexp_extract_all(name, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
 
     def encode(chunk: Column) -> Column:
         digits = F.regexp_replace(chunk, "^0+(?=.)", "")
-        number = F.concat(F.lit("0"), F.lpad(F.length(digits).cast("string"), 4, "0"), digits)
+        number = F.concat(F.lit("0"), F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
         return F.when(chunk.rlike("^[0-9]"), number).otherwise(F.concat(F.lit("1"), F.lower(chunk)))
 
     return F.transform(chunks, encode)
 
 
+def natural_lead(name: Column) -> Column:
+    """A number that never falls along ``natural_key``: leading numbers below zero, texts from zero on."""
+    digits = F.regexp_extract(name, "^([0-9]+)", 1)
+    number = F.least(digits.try_cast("double"), F.lit(1e300))
+    text = F.regexp_extract(name, "^([^0-9]+)", 1)
+    head = F.rpad(F.hex(F.substring(F.encode(F.lower(text), "utf-8"), 1, 7)), 14, "0")
+    return F.when(digits != "", number / (number + 1) - 1).otherwise(F.conv(head, 16, 10).cast("double"))
+
+
 def page_number(name: Column) -> Column:
-    """Last digit run of a name, or null."""
+    """Last digit run of a name, or null; null too for a number beyond 64 bits."""
     runs = F.regexp_extract_all(name, F.lit("([0-9]+)"), F.lit(1))
-    return F.try_element_at(runs, F.lit(-1)).cast("bigint")
+    return F.try_element_at(runs, F.lit(-1)).try_cast("bigint")
 
 
 def token_prefix(name: Column) -> Column:
@@ -105,11 +115,11 @@ def token_prefix(name: Column) -> Column:
 
 
 def volume_number(file_stem: Column, fallback: Column) -> Column:
-    """Number after vol / volume, else trailing digits, else ``fallback``."""
+    """Number after vol / volume, else trailing digits, else ``fallback``; numbers beyond 64 bits are passed over."""
     named = F.regexp_extract(file_stem, r"(?iU)\b(?:vol(?:ume)?\.?\s*)(\d+)\b", 1)
     trailing = F.regexp_extract(file_stem, r"(\d+)\s*$", 1)
     return F.coalesce(
-        F.nullif(named, F.lit("")).cast("bigint"), F.nullif(trailing, F.lit("")).cast("bigint"), fallback
+        F.nullif(named, F.lit("")).try_cast("bigint"), F.nullif(trailing, F.lit("")).try_cast("bigint"), fallback
     )
 
 

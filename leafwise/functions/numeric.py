@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def clamp01(value: Column) -> Column:
-    """Limit a value to [0, 1]."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+    """Limit a value to [0, 1]; null stays null."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
 def weighted(terms: list[tuple[float, Column]]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafwise.functions.frames import settle
 from leafwise.functions.names import page_number
 from leafwise.functions.numeric import clamp01
-from leafwise.operators.ordered import fits_one_task, group_median, halo, own_rows
+from leafwise.operators.ordered import group_median, halo, own_rows
 
 # Fixed value: pairs below this score get no stability probes.
 STABILITY_THRESHOLD = 0.47
@@ -134,23 +134,24 @@ def stability_from_probes(probes: DataFrame) -> DataFrame:
     )
 
 
-def robust_relative(scores: DataFrame, fits: bool | None = None) -> DataFrame:
-    """``relative_score``: place of the spread in its volume by median and absolute deviation."""
+def robust_relative(scores: DataFrame) -> DataFrame:
+    """``relative_score``: place of the spread in its volume by median and absolute deviation.
+
+    Null for a pair without a spread; every pair is kept.
+    """
     keys = ["volume_id"]
-    if fits is None:
-        fits = fits_one_task(scores, keys)
     values = scores.select(*keys, "spread")
-    middle = group_median(values, keys, "spread", "_median", fits)
+    middle = group_median(values, keys, "spread", "_median")
     away = values.join(middle, keys).select(*keys, "_median", F.abs(F.col("spread") - F.col("_median")).alias("_away"))
-    spread_of = group_median(away, keys, "_away", "_mad", fits).join(middle, keys)
+    spread_of = group_median(away, keys, "_away", "_mad").join(middle, keys)
     scale = F.greatest(F.lit(0.035), F.lit(1.4826) * F.col("_mad"))
     relative = clamp01(((F.col("spread") - F.col("_median")) / scale + 0.6) / 3.2)
     return settle(scores.join(spread_of, keys), {"relative_score": relative}).drop("_median", "_mad")
 
 
-def reliability_adjustment(scores: DataFrame, stability: DataFrame, fits: bool | None = None) -> DataFrame:
+def reliability_adjustment(scores: DataFrame, stability: DataFrame) -> DataFrame:
     """Apply probe stability and relative position; pairs without probes are not penalised."""
-    rows = robust_relative(scores, fits).join(stability, PAIR_KEYS, "left")
+    rows = robust_relative(scores).join(stability, PAIR_KEYS, "left")
     s, zero = F.col("stability"), F.lit(0.0)
     distinct = clamp01((F.col("relative_score") - 0.74) / 0.16)
     steady = F.when(s.isNull(), zero).otherwise(clamp01((s - 0.88) / 0.12) * 0.012 * distinct)

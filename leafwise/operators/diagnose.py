@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwise.functions.names import is_reviewable, pair_id
-from leafwise.operators.ordered import fits_one_task, ranked, running
+from leafwise.operators.ordered import ranked, running
 
 REVIEW_STATUSES = ("pending", "true", "false")
 # Texts of the damage reports.
@@ -323,8 +323,9 @@ def order_insert_points(points: DataFrame) -> DataFrame:
     shown = points.where(F.col("kind") != "stale")
     suggested = F.col("kind") == "suggested"
     down, index = -F.col("score"), F.col("insertion_index").cast("double")
-    order = [F.when(suggested, down).otherwise(index), F.when(suggested, index).otherwise(down), F.col("gap_id")]
-    return ranked(shown, ["volume_id", "kind"], order, "place", fits_one_task(shown, ["volume_id", "kind"]))
+    lead = F.when(suggested, down).otherwise(index)
+    order = [lead, F.when(suggested, index).otherwise(down), F.col("gap_id")]
+    return ranked(shown, ["volume_id", "kind"], order, "place", lead)
 
 
 def spine_markers(points: DataFrame) -> DataFrame:

@@ -7,10 +7,11 @@ sequence into chunks of consecutive positions and combine the chunks:
 * ``halo`` / ``with_neighbours`` copy the few rows at a chunk border into the next chunk,
   so lag, lead and short range frames need one exchange on (keys, chunk);
 * ``running`` carries sums and nearest values across chunks through a small summary table;
-* ``number_rows`` numbers rows along an integer key, bucket by bucket;
-* ``ranked`` numbers rows along any order. It checks the largest group first: groups that
-  fit one task use a plain window, otherwise the rows are range-partitioned;
-* ``group_median`` is the exact median, by ``percentile`` or by value counts, on the same check.
+* ``ranked`` and ``number_rows`` number rows along any order. Rows are bucketed by quantiles of a
+  leading number, so a group with a large share of the rows is sorted in many tasks;
+* ``group_median`` is the exact median through value counts, on buckets of the same kind.
+
+One plan serves every group size, and building it starts no job.
 """
 
 from __future__ import annotations
@@ -20,12 +21,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafwise.session import durable
-
 CHUNK_BITS_CONF = "leafwise.chunkBits"
-MAX_GROUP_CONF = "leafwise.maxGroupRows"
 DEFAULT_CHUNK_BITS = 14
-DEFAULT_MAX_GROUP = 1_000_000
+BUCKETS = 256
 
 
 def chunk_bits(spark: SparkSession) -> int:
@@ -33,13 +31,6 @@ def chunk_bits(spark: SparkSession) -> int:
     return int(spark.conf.get(CHUNK_BITS_CONF, str(DEFAULT_CHUNK_BITS)))
 
 
-def fits_one_task(df: DataFrame, keys: Sequence[str]) -> bool:
-    """True when no group of ``keys`` has more rows than one task should sort."""
-    limit = int(df.sparkSession.conf.get(MAX_GROUP_CONF, str(DEFAULT_MAX_GROUP)))
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return (sizes.agg(F.max("n")).first()[0] or 0) <= limit
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash rows over a fixed number of partitions, ahead of costly work on few bytes.
 
@@ -181,16 +172,24 @@ def running(
     return joined.select(*kept, *[c.alias(n) for n, c in out.items()])
 
 
-def number_rows(
-    df: DataFrame, keys: Sequence[str], key: str, out: str, tie: Sequence[Column | str] = (), first: int = 0
-) -> DataFrame:
-    """Dense numbers from ``first`` along the integer column ``key`` (then ``tie``)."""
-    bits = chunk_bits(df.sparkSession)
-    rows = df.withColumn("_bucket", F.shiftright(F.col(key), bits))
+def bucketed(df: DataFrame, lead: Column, nulls_last: bool = False) -> DataFrame:
+    """Rows with ``_bucket``, ascending along the number ``lead``, of about equal size over the whole table.
+
+    The bounds are approximate quantiles from a scalar subquery: a few hundred numbers, whatever the input.
+    """
+    shares = [k / BUCKETS for k in range(1, BUCKETS)]
+    cuts = df.select(F.percentile_approx(lead.cast("double"), shares, 10 * BUCKETS).alias("_cuts")).scalar()
+    place = F.size(F.filter("_cuts", lambda c: c < lead.cast("double")))
+    place = F.when(lead.isNull(), F.lit(BUCKETS if nulls_last else -1)).otherwise(place)
+    return df.withColumn("_cuts", cuts).withColumn("_bucket", place).drop("_cuts")
+
+
+def _number(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str, first: int) -> DataFrame:
+    """Dense numbers along (``_bucket``, ``order``) in each group."""
     sizes = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(key, *tie)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
         rows.withColumn("_place", F.row_number().over(inside))
         .join(offsets, [*keys, "_bucket"])
@@ -199,77 +198,58 @@ def number_rows(
     )
 
 
+def number_rows(
+    df: DataFrame, keys: Sequence[str], key: str, out: str, tie: Sequence[Column | str] = (), first: int = 0
+) -> DataFrame:
+    """Dense numbers from ``first`` along the number ``key`` (then ``tie``), dense or sparse."""
+    return _number(bucketed(df, F.col(key)), keys, [key, *tie], out, first)
+
+
 def ranked(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column | str],
     out: str,
-    fits: bool | None = None,
+    lead: Column,
+    nulls_last: bool = False,
 ) -> DataFrame:
     """1-based ranks along ``order``, which must be unique within ``keys``.
 
-    ``fits`` passes on an earlier ``fits_one_task`` answer for groups at least as large.
+    ``lead`` is a number that never falls along ``order``; ``nulls_last`` tells where its nulls stand.
     """
-    if fits if fits is not None else fits_one_task(df, keys):
-        along = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(along).cast("bigint"))
-    # The partition numbers are read twice, so they are stored: range bounds are sampled.
-    split = durable(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
-    sizes = split.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
-    return (
-        split.withColumn("_place", F.row_number().over(inside))
-        .join(offsets, [*keys, "_part"])
-        .withColumn(out, (F.col("_offset") + F.col("_place")).cast("bigint"))
-        .drop("_part", "_offset", "_place")
-    )
+    return _number(bucketed(df, lead, nulls_last), keys, order, out, 1)
 
 
 def ranked_with_next(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str, nexts: Mapping[str, str], fits: bool
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column | str],
+    out: str,
+    nexts: Mapping[str, str],
+    lead: Column,
+    nulls_last: bool = False,
 ) -> DataFrame:
     """``ranked`` plus columns of the next-ranked row: ``nexts`` maps new names to columns."""
-    if fits:
-        along = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumns(
-            {
-                out: F.row_number().over(along).cast("bigint"),
-                **{name: F.lead(column).over(along) for name, column in nexts.items()},
-            }
-        )
-    rows = with_neighbours(ranked(df, keys, order, out, fits), keys, out, {"_behind": 1}, [*nexts.values()])
+    rows = with_neighbours(ranked(df, keys, order, out, lead, nulls_last), keys, out, {"_behind": 1}, [*nexts.values()])
     return rows.withColumns({name: F.col(f"_behind.{column}") for name, column in nexts.items()}).drop("_behind")
 
 
-def group_median(df: DataFrame, keys: Sequence[str], value: str, out: str, fits: bool | None = None) -> DataFrame:
-    """Exact median of ``value`` per group, one row per group."""
-    if fits if fits is not None else fits_one_task(df, keys):
-        return df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias(out))
-    return _median_from_counts(df, keys, value, out)
-
+def group_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Exact median of ``value`` per group, one row per group; null where a group has no value.
 
-def _median_from_counts(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Median through value counts: find the bucket of the middle ranks, then look inside it."""
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_bucket", F.floor(F.col(value) * 65536))
-    )
-    whole = Window.partitionBy(*keys)
-    upto = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    Values are counted first; the bucket that holds the middle ranks is found from bucket totals, and only
+    that bucket's values are looked at in order.
+    """
+    groups = df.groupBy(*keys).agg(F.count(value).alias("_n"))
+    counts = bucketed(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")), F.col(value))
+    upto = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     buckets = (
         counts.groupBy(*keys, "_bucket")
         .agg(F.sum("_c").alias("_c"))
-        .select(
-            *keys,
-            "_bucket",
-            (F.sum("_c").over(upto) - F.col("_c")).alias("_from"),
-            F.sum("_c").over(upto).alias("_to"),
-            F.sum("_c").over(whole).alias("_n"),
-        )
+        .withColumn("_to", F.sum("_c").over(upto))
+        .withColumn("_from", F.col("_to") - F.col("_c"))
+        .drop("_c")
+        .join(groups, list(keys))
         .withColumns({"_low": F.expr("(_n - 1) div 2"), "_high": F.expr("_n div 2")})
         .where("(_low >= _from AND _low < _to) OR (_high >= _from AND _high < _to)")
     )
@@ -283,4 +263,5 @@ def _median_from_counts(df: DataFrame, keys: Sequence[str], value: str, out: str
     )
     low = F.max(F.when((F.col("_low") >= F.col("_begin")) & (F.col("_low") < F.col("_end")), F.col(value)))
     high = F.max(F.when((F.col("_high") >= F.col("_begin")) & (F.col("_high") < F.col("_end")), F.col(value)))
-    return placed.groupBy(*keys).agg(((low + high) / 2).alias(out))
+    middle = placed.groupBy(*keys).agg(((low + high) / 2).alias(out))
+    return groups.select(*keys).join(middle, list(keys), "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafwise.functions.scores import is_auto_safe
 from leafwise.operators.adjust import span_start
-from leafwise.operators.ordered import fits_one_task, halo, own_rows, ranked, ranked_with_next, running
+from leafwise.operators.ordered import halo, own_rows, ranked, ranked_with_next, running
 
 # Thresholds of the decisions.
 THRESHOLD = 0.53
@@ -20,15 +20,16 @@ def _score_order() -> list[Column]:
     return [F.col("spread").desc(), F.col("review_score").desc(), F.col("right_name"), F.col("left_name")]
 
 
-def rank_scores(scores: DataFrame, fits: bool | None = None) -> DataFrame:
+def rank_scores(scores: DataFrame) -> DataFrame:
     """``rank`` per volume by spread, review score and names."""
-    return ranked(scores, ["volume_id"], _score_order(), "rank", fits)
+    return ranked(scores, ["volume_id"], _score_order(), "rank", -F.col("spread"), nulls_last=True)
 
 
 def review_decisions(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """auto / review / borderline / reject by score and distance to the next-ranked pair."""
-    fits = fits_one_task(scores, ["volume_id"])
-    rows = ranked_with_next(scores, ["volume_id"], _score_order(), "rank", {"_next": "spread"}, fits)
+    rows = ranked_with_next(
+        scores, ["volume_id"], _score_order(), "rank", {"_next": "spread"}, -F.col("spread"), nulls_last=True
+    )
     rows = rows.withColumn("margin_to_next", F.col("spread") - F.coalesce("_next", F.lit(0.0))).drop("_next")
     spread, review = F.col("spread"), F.col("review_score")
     decision = (
@@ -101,10 +102,15 @@ def cluster_table(
     scores: DataFrame, threshold: float = THRESHOLD, page_counts: DataFrame | None = None
 ) -> DataFrame:
     """Clusters with the rank and decision of each member; only a clear safe winner is auto."""
-    fits = fits_one_task(scores, ["volume_id"])
     items = clusters(candidate_items_edge(scores, threshold, threshold - 0.01, page_counts))
     rows = ranked_with_next(
-        items, ["volume_id", "cluster"], _cluster_order(), "rank_in_cluster", {"_next": "spread"}, fits
+        items,
+        ["volume_id", "cluster"],
+        _cluster_order(),
+        "rank_in_cluster",
+        {"_next": "spread"},
+        -F.col("spread"),
+        nulls_last=True,
     )
     rows = rows.withColumn("margin_to_next", F.col("spread") - F.coalesce("_next", F.lit(0.0))).drop("_next")
     auto = (

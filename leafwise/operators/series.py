@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from leafwise.functions.names import (
     generated_title,
     natural_key,
+    natural_lead,
+    natural_lead,
     safe_filename,
     series_title_author,
     stem,
@@ -26,7 +28,8 @@ REPORT_LIMIT = 20
 def build_series(files: DataFrame) -> DataFrame:
     """``files(series_id, path)`` in natural order with position and inferred volume number."""
     keyed = files.withColumn("_stem", stem(F.col("path")))
-    placed = ranked(keyed, SERIES, [natural_key(F.col("_stem")), F.col("path")], "position")
+    order = [natural_key(F.col("_stem")), F.col("path")]
+    placed = ranked(keyed, SERIES, order, "position", natural_lead(F.col("_stem")))
     return placed.select(
         "series_id", "path", "position", volume_number(F.col("_stem"), F.col("position")).alias("volume_number")
     )
@@ -45,26 +48,27 @@ def series_metadata(files: DataFrame) -> DataFrame:
 def scope_tokens(scopes: DataFrame) -> DataFrame:
     """``scopes(series_id, scope)`` to number ranges: (series_id, token, low, high, error).
 
-    ``all`` gives an open range; a blank scope gives no row.
+    ``all`` as the whole scope gives an open range, inside a list it is an error; a blank scope gives
+    no row. A number beyond 64 bits is an error.
     """
     text = F.lower(F.trim("scope"))
-    tokens = scopes.select("series_id", F.explode(F.split(text, ",")).alias("token"))
+    tokens = scopes.select("series_id", (text == "all").alias("_all"), F.explode(F.split(text, ",")).alias("token"))
     tokens = tokens.withColumn("token", F.trim("token")).where(F.col("token") != "")
     dashed = F.contains(F.col("token"), F.lit("-"))
     low = F.trim(F.regexp_extract("token", r"^([^-]*)-?", 1))
     high = F.when(dashed, F.trim(F.regexp_extract("token", r"^[^-]*-(.*)$", 1))).otherwise(low)
-    everything = F.col("token") == "all"
+    everything = F.col("_all")
     good = low.rlike("^[0-9]+$") & high.rlike("^[0-9]+$")
-    number = lambda c: F.when(good, c.cast("bigint"))
+    number = lambda c: F.when(good, c.try_cast("bigint"))
     rows = tokens.withColumns({"low": number(low), "high": number(high)})
-    bad = ~everything & (F.col("low").isNull() | (F.col("low") > F.col("high")))
+    bad = ~everything & (F.col("low").isNull() | F.col("high").isNull() | (F.col("low") > F.col("high")))
     return rows.withColumns(
         {
             "low": F.when(everything, F.lit(0).cast("bigint")).otherwise(F.col("low")),
             "high": F.when(everything, F.lit(9223372036854775807)).otherwise(F.col("high")),
             "error": F.when(bad, F.concat(F.lit("Invalid volume scope: "), "token")),
         }
-    )
+    ).drop("_all")
 
 
 def volumes_in_scope(volumes: DataFrame, scopes: DataFrame) -> DataFrame:

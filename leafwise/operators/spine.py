@@ -26,7 +26,6 @@ SPINE_COLUMNS = (
     "ext",
 )
 INSERTED_PREFIX = "inserted-"
-NO_IMAGES = "Cannot export an EPUB without image pages"
 
 
 def lengths(spine: DataFrame) -> DataFrame:
@@ -89,7 +88,7 @@ def image_ext(path: Column) -> Column:
 
 
 def inserted_number(item_id: Column) -> Column:
-    return F.nullif(F.regexp_extract(item_id, f"^{INSERTED_PREFIX}([0-9]+)$", 1), F.lit("")).cast("bigint")
+    return F.nullif(F.regexp_extract(item_id, f"^{INSERTED_PREFIX}([0-9]+)$", 1), F.lit("")).try_cast("bigint")
 
 
 def check_images(spine: DataFrame, images: DataFrame) -> DataFrame:
@@ -156,11 +155,21 @@ def check_ranges(spine: DataFrame, ranges: DataFrame) -> DataFrame:
     )
 
 
+def merged_ranges(ranges: DataFrame) -> DataFrame:
+    """Ranges of each volume with overlapping and adjacent ones made one."""
+    ends = running(ranges, VOLUME, "start", before={}, maxes={"_upto": F.col("end")}, tie=["end"])
+    opens = ends.withColumn("_before", F.col("_upto"))
+    shifted = running(opens, VOLUME, "start", before={"_last": F.col("_upto")}, tie=["end"])
+    new = F.col("_last").isNull() | (F.col("start") > F.col("_last") + 1)
+    grouped = running(shifted.withColumn("_new", new.cast("bigint")), VOLUME, "start", sums={"_group": F.col("_new")}, tie=["end"])
+    return grouped.groupBy("volume_id", "_group").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_group")
+
+
 def _in_ranges(spine: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join on ranges. Ranges are cut at chunk borders, so the join key is
-    (volume, chunk) and a long volume spreads over many tasks."""
+    """Semi or anti join on ranges. Ranges are merged, then cut at chunk borders: the join key is
+    (volume, chunk), a long volume spreads over many tasks, and an entry meets one range at most."""
     bits = chunk_bits(spine.sparkSession)
-    cut = ranges.select(
+    cut = merged_ranges(ranges.select("volume_id", "start", "end").distinct()).select(
         "volume_id",
         "start",
         "end",
@@ -184,16 +193,26 @@ def delete_entries(spine: DataFrame, ranges: DataFrame) -> tuple[DataFrame, Data
     return _renumbered(kept, "_pos", []).select(*SPINE_COLUMNS), deleted.select(*SPINE_COLUMNS)
 
 
+def check_moves(spine: DataFrame, moves: DataFrame) -> DataFrame:
+    """Moves with ``error`` for an index outside the spine, or for several moves of one volume."""
+    n = F.coalesce("entry_count", F.lit(0))
+    several = moves.groupBy("volume_id").agg(F.count(F.lit(1)).alias("_moves"))
+    error = (
+        F.when(F.col("_moves") > 1, "Only one move for each volume")
+        .when(~F.col("from_index").between(0, n - 1), "Move source index out of range")
+        .when(~F.col("to_index").between(0, n - 1), "Move destination index out of range")
+    )
+    checked = moves.join(several, "volume_id").join(lengths(spine), "volume_id", "left")
+    return checked.withColumn("error", error).drop("_moves", "entry_count")
+
+
 def move_entries(spine: DataFrame, moves: DataFrame) -> DataFrame:
     """Move one entry per volume to its final index: ``moves(volume_id, from_index, to_index)``.
 
-    Only indexes between the two places shift; rows are never reordered. Moves with an index
-    outside the spine are ignored.
+    Only indexes between the two places shift; rows are never reordered. Moves that ``check_moves``
+    rejects change nothing.
     """
-    n = F.col("entry_count")
-    usable = moves.join(lengths(spine), "volume_id").where(
-        F.col("from_index").between(0, n - 1) & F.col("to_index").between(0, n - 1)
-    )
+    usable = check_moves(spine, moves).where(F.col("error").isNull())
     rows = spine.join(usable.select("volume_id", "from_index", "to_index"), "volume_id", "left")
     at, start, end = F.col("entry_index"), F.col("from_index"), F.col("to_index")
     moved = (

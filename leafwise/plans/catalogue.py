@@ -70,7 +70,7 @@ _KEYED = """named AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size
     WHEN p_partkey % 3 = 1 THEN upper(p_name) || ' 0' || p_partkey ELSE p_brand || '-' || p_name || p_size END AS name
   FROM part),
 keyed AS (SELECT *, list_transform(regexp_extract_all(name, '[0-9]+|[^0-9]+'), lambda c:
-    CASE WHEN regexp_matches(c, '^[0-9]') THEN '0' || lpad(len(coalesce(nullif(ltrim(c, '0'), ''), '0'))::VARCHAR, 4, '0')
+    CASE WHEN regexp_matches(c, '^[0-9]') THEN '0' || lpad(len(coalesce(nullif(ltrim(c, '0'), ''), '0'))::VARCHAR, 10, '0')
       || coalesce(nullif(ltrim(c, '0'), ''), '0') ELSE '1' || lower(c) END) AS key FROM named)"""
 
 
@@ -100,8 +100,9 @@ def natural_key(spark, sf):
 def natural_order(spark, sf):
     from leafwise.operators.ordered import ranked
 
-    rows = _named(spark, sf)
-    placed = ranked(rows, ["p_brand"], [names.natural_key(F.col("name")), F.col("p_partkey")], "place")
+    rows, name = _named(spark, sf), F.col("name")
+    order = [names.natural_key(name), F.col("p_partkey")]
+    placed = ranked(rows, ["p_brand"], order, "place", names.natural_lead(name))
     return placed.select("p_partkey", "p_brand", "place")
 
 
@@ -167,7 +168,7 @@ def stem_title_author(spark, sf):
 
 _FIRST = """firsts AS (SELECT p_brand AS series_id, arg_min(p_partkey, {key: list_transform(
     regexp_extract_all(stem, '[0-9]+|[^0-9]+'), lambda c: CASE WHEN regexp_matches(c, '^[0-9]')
-      THEN '0' || lpad(len(coalesce(nullif(ltrim(c, '0'), ''), '0'))::VARCHAR, 4, '0')
+      THEN '0' || lpad(len(coalesce(nullif(ltrim(c, '0'), ''), '0'))::VARCHAR, 10, '0')
         || coalesce(nullif(ltrim(c, '0'), ''), '0') ELSE '1' || lower(c) END),
     path: '/shelf/' || p_partkey || '/' || stem || '.cbz'}) AS p_partkey FROM stems GROUP BY 1)"""
 
@@ -186,7 +187,7 @@ def series_metadata(spark, sf):
     "build_series",
     f"""WITH {STEMS}, k AS (SELECT *, '/shelf/' || p_partkey || '/' || stem || '.cbz' AS path, list_transform(
       regexp_extract_all(stem, '[0-9]+|[^0-9]+'), lambda c: CASE WHEN regexp_matches(c, '^[0-9]')
-      THEN '0' || lpad(len(coalesce(nullif(ltrim(c, '0'), ''), '0'))::VARCHAR, 4, '0')
+      THEN '0' || lpad(len(coalesce(nullif(ltrim(c, '0'), ''), '0'))::VARCHAR, 10, '0')
         || coalesce(nullif(ltrim(c, '0'), ''), '0') ELSE '1' || lower(c) END) AS key FROM stems),
     o AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY key, path) AS position FROM k)
     SELECT p_brand AS series_id, path, position, {_NUMBER.format(fallback='position')} AS volume_number FROM o""",
@@ -314,7 +315,7 @@ def volumes(spark, sf):
 
     key = F.col("o_orderkey")
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus")
-    placed = ranked(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], "position")
+    placed = ranked(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], "position", F.unix_date(F.col("o_orderdate").cast("date")))
     return placed.select(
         F.col("o_custkey").alias("series_id"),
         key.alias("volume_id"),

@@ -6,11 +6,11 @@ same rows as the function next to it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafwise.functions.numeric import clamp01
-from leafwise.operators.ordered import number_rows, ranked
+from leafwise.operators.ordered import number_rows
 from leafwise.session import durable
 
 
@@ -145,7 +145,9 @@ LINE_ORDER = (
 
 def order_spine(spark: SparkSession, sf: str) -> DataFrame:
     """One volume per order, one entry per order line; also the columns later tables derive from."""
-    lines = ranked(table(spark, sf, "lineitem"), ["l_orderkey"], list(LINE_ORDER), "_rank")
+    # The lines of one order are few.
+    rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)).cast("bigint")
+    lines = table(spark, sf, "lineitem").withColumn("_rank", rank)
     index = (F.col("_rank") - 1).cast("bigint")
     kind = (
         F.when(F.col("l_returnflag") == "R", "blank")

@@ -78,7 +78,8 @@ def export_rollup_stream(spark, sf):
     from leafwise.session import checkpoint_folder
 
     static = table(spark, sf, "events")
-    arriving = spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    # One file or a folder of part files: a pattern takes both, a plain path only a folder.
+    arriving = spark.readStream.schema(static.schema).parquet(f"{sf}/events.parque[t]")
     kind = F.col("event_type")
     event = F.when(kind == "purchase", "exported").when(kind == "error", "failed").when(kind == "view", "skipped").otherwise("started")
     rolled = events.export_rollup(arriving.select(F.col("user_id").alias("series_id"), event.alias("event")))

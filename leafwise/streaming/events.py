@@ -64,12 +64,6 @@ def review_state(marks: DataFrame) -> DataFrame:
     return valid.groupBy("volume_id", "pair_id").agg(F.max_by("status", "seq").alias("status"))
 
 
-def write_state(result: DataFrame, table: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
-    """Process what has arrived into an in-memory table (``complete``) or a batch sink and stop."""
-    writer = result.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).queryName(table)
-    return writer.format("memory").trigger(availableNow=True).start()
-
-
 def upsert_state(result: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Keep the newest state per key as one parquet folder per micro-batch.
 

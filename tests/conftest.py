@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from leafwise.operators.ordered import CHUNK_BITS_CONF, MAX_GROUP_CONF  # noqa: E402
+from leafwise.operators.ordered import CHUNK_BITS_CONF  # noqa: E402
 from leafwise.session import build_session  # noqa: E402
 
 
@@ -29,12 +29,10 @@ def spark(tmp_path_factory):
 
 @pytest.fixture
 def tiny_chunks(spark):
-    """Chunks of four positions and groups of at most three rows: every wide path is taken."""
+    """Chunks of four positions: every path across chunks is taken."""
     spark.conf.set(CHUNK_BITS_CONF, "2")
-    spark.conf.set(MAX_GROUP_CONF, "3")
     yield
     spark.conf.unset(CHUNK_BITS_CONF)
-    spark.conf.unset(MAX_GROUP_CONF)
 
 
 def rows_of(df):

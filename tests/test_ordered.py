@@ -63,33 +63,45 @@ def test_number_rows_over_sparse_keys(spark):
         assert {r.k: r.n for r in got.where(F.col("v") == v).collect()} == {k: i + 1 for i, k in enumerate(keys)}
 
 
-@pytest.mark.parametrize("limit", ["3", "1000"])
-def test_ranked_with_ties_in_the_first_key(spark, limit):
-    spark.conf.set(ordered.MAX_GROUP_CONF, limit)
+@pytest.mark.parametrize("buckets", [2, 256])
+def test_ranked_with_ties_in_the_first_key(spark, monkeypatch, buckets):
+    monkeypatch.setattr(ordered, "BUCKETS", buckets)
     rng = random.Random(7)
-    rows = [(v, rng.choice([0.0, 0.5, 1.0]), u) for v, n in ((1, 60), (2, 9)) for u in range(n)]
+    rows = [(v, rng.choice([0.0, 0.5, 1.0, None]), u) for v, n in ((1, 60), (2, 9)) for u in range(n)]
     df = spark.createDataFrame(rows, "v long, s double, u long")
-    fits = ordered.fits_one_task(df, ["v"])
-    assert fits == (limit == "1000")
     order = [F.col("s").desc(), F.col("u")]
-    got = ordered.ranked_with_next(df, ["v"], order, "r", {"nxt": "s"}, fits).collect()
+    got = ordered.ranked_with_next(df, ["v"], order, "r", {"nxt": "s"}, -F.col("s"), nulls_last=True).collect()
     for v in (1, 2):
-        want = sorted((r for r in rows if r[0] == v), key=lambda r: (-r[1], r[2]))
+        want = sorted((r for r in rows if r[0] == v), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
         mine = sorted((r for r in got if r.v == v), key=lambda r: r.r)
         assert [(r.v, r.s, r.u) for r in mine] == want
         assert [r.r for r in mine] == list(range(1, len(want) + 1))
         assert [r.nxt for r in mine] == [w[1] for w in want[1:]] + [None]
 
 
-@pytest.mark.parametrize("limit", ["3", "1000"])
-def test_median(spark, limit):
-    spark.conf.set(ordered.MAX_GROUP_CONF, limit)
+def test_a_hot_group_is_numbered_in_many_tasks(spark):
+    """Sparse keys of one group fall into many buckets; every bucket is a small share."""
+    rng = random.Random(9)
+    keys = rng.sample(range(10**15), 2000)
+    df = spark.createDataFrame([(1, k) for k in keys], "v long, k long")
+    sizes = [r["count"] for r in ordered.bucketed(df, F.col("k")).groupBy("_bucket").count().collect()]
+    assert len(sizes) > 100 and max(sizes) < 100
+    got = {r.k: r.n for r in ordered.number_rows(df, ["v"], "k", "n").collect()}
+    assert got == {k: i for i, k in enumerate(sorted(keys))}
+
+
+@pytest.mark.parametrize("buckets", [2, 256])
+def test_median(spark, monkeypatch, buckets):
+    """All sizes, a narrow distribution, and a group without any value beside the others."""
+    monkeypatch.setattr(ordered, "BUCKETS", buckets)
     rng = random.Random(11)
     data = {v: [round(rng.random(), rng.choice([1, 6])) for _ in range(n)] for v, n in ((1, 1), (2, 40), (3, 41))}
-    rows = [(v, x) for v, xs in data.items() for x in xs]
-    got = ordered.group_median(spark.createDataFrame(rows, "v long, x double"), ["v"], "x", "m")
-    for v, m in rows_of(got):
-        assert m == pytest.approx(statistics.median(data[v]), abs=1e-12)
+    data[5] = [1e-9 * rng.random() for _ in range(99)]
+    rows = [(v, x) for v, xs in data.items() for x in xs] + [(4, None), (4, None), (3, None)]
+    got = dict(rows_of(ordered.group_median(spark.createDataFrame(rows, "v long, x double"), ["v"], "x", "m")))
+    assert got[4] is None and len(got) == 5
+    for v, xs in data.items():
+        assert got[v] == pytest.approx(statistics.median(xs), abs=1e-15)
 
 
 def test_no_window_over_a_whole_sequence(spark):

@@ -145,9 +145,9 @@ def test_progress_stream(spark, tmp_path):
     (tmp_path / "in" / "log.txt").write_text("\n".join(lines) + "\n")
     stream = events.read_lines(spark, str(tmp_path / "in"))
     found = events.progress_events(stream).select("job", F.lit(1).alias("seq"), "event.*")
-    query = events.write_state(events.progress_latest(found), "progress_state", str(tmp_path / "cp"), "complete")
+    query = events.upsert_state(events.progress_latest(found), str(tmp_path / "state"), str(tmp_path / "cp"))
     query.awaitTermination()
-    (row,) = spark.table("progress_state").collect()
+    (row,) = events.current_state(spark, ["job"], str(tmp_path / "state")).collect()
     assert (row.completed, row.total, row.message) == (2, 2, "m")
     static = spark.read.text(str(tmp_path / "in"))
     assert sorted(r.value for r in events.log_lines(static).collect()) == ["MTE_PROGRESS {broken", "plain"]
