@@ -36,6 +36,7 @@ COMMANDS = {
     "insert_image": "path at index a",
     "move": "entry a to final index b",
 }
+_TWO_ARGUMENTS = ("delete_range", "move")
 _ANCHOR = pa.struct([("backward", pa.bool_()), ("low", pa.int64()), ("high", pa.int64()), ("seq", pa.int64())])
 _PIECES = pa.schema(
     [
@@ -84,8 +85,10 @@ def _fold(volume: int, count: int, log: Iterable[Mapping]) -> Iterator[tuple]:
     """Apply one volume's commands, in order, to the index range 0..count-1."""
     pieces: list[list] = [[0, count - 1, None]] if count else []
     for command in log:
-        op, a, b, error = command["op"], command["a"], command["b"], None
-        if op.startswith("delete"):
+        op, a, b, error = command["op"] or "", command["a"], command["b"], None
+        if op in COMMANDS and (a is None or b is None and op in _TWO_ARGUMENTS):
+            error = "Command argument missing"
+        elif op.startswith("delete"):
             if op == "delete_range":
                 low, high = a, b
             else:
@@ -120,7 +123,9 @@ def _fold(volume: int, count: int, log: Iterable[Mapping]) -> Iterator[tuple]:
             blank = op.startswith("insert_blank")
             if not 0 <= index <= count:
                 error = f"{'Blank' if blank else 'Image'} insertion index out of range"
-            elif not blank and not command["path"].lower().endswith((".jpg", ".jpeg", ".png")):
+            elif blank and count == 0:
+                error = "Cannot insert blank page into an empty layout"
+            elif not blank and not (command["path"] or "").lower().endswith((".jpg", ".jpeg", ".png")):
                 error = "Only JPEG and PNG images can be inserted"
             else:
                 number = _split(pieces, index)

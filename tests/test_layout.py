@@ -145,6 +145,8 @@ def apply(layout, log):
             del layout[a : b + 1]
         elif op == "move" and a < n and b < n:
             layout.insert(b, layout.pop(a))
+        elif op.startswith("insert_blank") and n == 0:
+            continue
         elif op == "insert_blank" and a <= n:
             layout.insert(a, blank(*reference_size(layout, a)))
         elif op == "insert_blank_clamped":
@@ -175,6 +177,16 @@ def test_edit_log_equals_list_edits(spark):
         assert got.get(v, []) == apply(layout, logs[v]), v
 
 
+def test_commands_without_arguments_are_rejected(spark):
+    log = spark.createDataFrame(
+        [(1, 1, "insert_image", 0, None, None, 1, 1), (1, 2, "move", 0, None, None, None, None), (1, 3, None, 0, 0, None, None, None),
+         (1, 4, "delete_first", 5, None, None, None, None), (1, 5, "insert_blank", 0, None, None, None, None)],
+        "volume_id long, seq long, op string, a long, b long, path string, width long, height long",
+    )
+    errors = dict(rows_of(edits.rejected_commands(table(spark, {1: [page(1), page(2)]}), log).select("seq", "error")))
+    assert set(errors) == {1, 2, 3, 5} and errors[5] == "Cannot insert blank page into an empty layout"
+
+
 @pytest.mark.usefixtures("tiny_chunks")
 def test_delete_recover_and_move(spark):
     layout = [page(n) for n in range(1, 20)]
