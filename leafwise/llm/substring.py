@@ -12,6 +12,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ ROWS = 2
 MIN_BITS, MAX_BITS = 16, 28  # log2 of the cells of a sketch row: the merged sketch has 64 MB at most
 CELLS_PER_WINDOW = 2
 PART_BITS = 12  # at most 2^12 parts of at least 2^16 cells are merged apart
+SHARD_BYTES = 24 << 20  # text bytes for each shard of the second pass
+BUCKET_BYTES = 4 << 20  # text bytes for each bucket of documents whose windows are gathered
 FLUSH = 1 << 22  # windows sketched before a partition hands out what it has
 
 
@@ -46,10 +49,12 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(steps.astype(np.int64))[ends] + np.arange(len(ends))
 
 
-def sketch_bits(docs: DataFrame, text: str = "text") -> int:
-    """Row width by the size of the corpus: about ``CELLS_PER_WINDOW`` cells a window, up to the bound."""
-    size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    wanted = int(np.ceil(np.log2(max(1, CELLS_PER_WINDOW * size / 6))))
+def sketch_bits(n_bytes: int) -> int:
+    """Row width by the size of the corpus: about ``CELLS_PER_WINDOW`` cells a window, up to the bound.
+
+    Beyond the bound more windows pass the sketch; the second pass stays exact.
+    """
+    wanted = int(np.ceil(np.log2(max(1, CELLS_PER_WINDOW * n_bytes / 6))))
     return min(MAX_BITS, max(MIN_BITS, wanted))
 
 
@@ -126,8 +131,17 @@ def merged_sketch(docs: DataFrame, size: int, bits: int) -> list[np.ndarray]:
 
 
 def repeated_windows(docs: DataFrame, size: int = WINDOW, bits: int | None = None) -> DataFrame:
-    """``doc_id, at``: windows (by the index of their first word) that also start in a document with a smaller id."""
-    bits = sketch_bits(docs) if bits is None else bits
+    """``doc_id, spots``: windows (packed indexes of first words) that also start in a document with a smaller id.
+
+    One row for each document that has any.
+
+    A slice of documents settles by itself what it can: of the documents in it that share a window, all but
+    the first are repeats. The first one's windows go, packed, to the shard of their hash; each shard compares
+    the firsts of all slices. So a window sends one document a slice at most, however frequent it is.
+    """
+    n_bytes = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    bits = sketch_bits(n_bytes) if bits is None else bits
+    shards, buckets = n_bytes // SHARD_BYTES + 1, n_bytes // BUCKET_BYTES + 1
     shared = docs.sparkSession.sparkContext.broadcast(merged_sketch(docs, size, bits))  # at most 64 MB
 
     def candidates(batches):
@@ -143,20 +157,121 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW, bits: int | None = Non
                 found, at = found[likely], at[likely]
                 second = _second(words, at, size)
                 doc = np.searchsorted(words.bounds, at, "right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(found.view(np.int64)),
-                        pa.array(second),
-                        rows.column("doc_id").take(pa.array(doc)),
-                        pa.array((at - words.bounds[doc]).astype(np.int32)),
-                    ],
-                    ["h", "g", "doc_id", "at"],
-                )
-
-    likely = docs.filter("doc_id IS NOT NULL").mapInArrow(candidates, "h long, g int, doc_id long, at int")
-    firsts = likely.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    firsts = firsts.filter("first < last").select(F.col("h").alias("fh"), F.col("g").alias("fg"), "first")
-    return likely.join(firsts, (F.col("h") == F.col("fh")) & (F.col("g") == F.col("fg")) & (F.col("doc_id") > F.col("first"))).select("doc_id", "at")
+                ids, places = rows.column("doc_id").to_numpy()[doc], (at - words.bounds[doc]).astype(np.int32)
+                # Shards are ranges of the hash, so the sorted windows of a shard stand in a row.
+                order = np.lexsort((ids, second, found))
+                found, second, ids, places = found[order], second[order], ids[order], places[order]
+                first = ids == _first_ids(found, second, ids)
+                yield _only(_spots(ids[~first], places[~first], buckets), names)
+                found, second, ids, places = found[first], second[first], ids[first], places[first]
+                shard = ((found >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+                cuts, ends = _runs(shard)
+                parts = {"shard": pa.array(shard[cuts], pa.int64())}
+                for name, values in (("h", found), ("g", second), ("ids", ids), ("places", places)):
+                    parts[name] = pa.array([values[x:y].tobytes() for x, y in zip(cuts.tolist(), ends.tolist(), strict=True)], pa.binary())
+                none = pa.nulls(len(cuts), pa.binary())
+                parts |= {"bucket": pa.nulls(len(cuts), pa.int64()), "sizes": none, "spots": none}
+                yield _only(pa.RecordBatch.from_pydict(parts), names)
+
+    def resolve(batches):
+        now, held = None, []
+        for batch in batches:
+            passed = pc.is_null(batch.column("h"))
+            yield _only(batch.filter(passed), out)
+            part = batch.filter(pc.invert(passed))
+            columns = [part.column(c).to_pylist() for c in ("shard", "h", "g", "ids", "places")]
+            for shard, *values in zip(*columns, strict=True):
+                if shard != now and held:
+                    yield settle(held)
+                    held = []
+                now = shard
+                kinds = (np.uint64, np.int32, np.int64, np.int32)
+                held.append([np.frombuffer(x, kind) for x, kind in zip(values, kinds, strict=True)])
+        if held:
+            yield settle(held)
+
+    def settle(held):
+        found, second, ids, places = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((ids, second, found))
+        found, second, ids, places = found[order], second[order], ids[order], places[order]
+        later = ids != _first_ids(found, second, ids)
+        return _only(_spots(ids[later], places[later], buckets), out)
+
+    def gather(batches):
+        """One row for each document of a bucket."""
+        now, held = None, {}
+        for batch in batches:
+            for bucket, ids, sizes, spots in zip(*(batch.column(c).to_pylist() for c in out), strict=True):
+                if bucket != now and held:
+                    yield rows_of_documents(held)
+                    held = {}
+                now, at = bucket, 0
+                for doc_id, n in zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(sizes, np.int32).tolist(), strict=True):
+                    held.setdefault(doc_id, []).append(spots[at : at + n])
+                    at += n
+        if held:
+            yield rows_of_documents(held)
+
+    def rows_of_documents(held):
+        return pa.RecordBatch.from_pydict(
+            {"doc_id": pa.array(list(held), pa.int64()), "spots": pa.array(list(held.values()), pa.list_(pa.binary()))}
+        )
+
+    out = ["bucket", "ids", "sizes", "spots"]
+    kinds = "bucket long, ids binary, sizes binary, spots binary"
+    names = ["shard", "h", "g", "places", *out]
+    schema = "shard long, h binary, g binary, places binary, " + kinds
+    packed = docs.filter("doc_id IS NOT NULL").mapInArrow(candidates, schema)
+    settled = packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(resolve, kinds)
+    return settled.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "doc_id long, spots array<binary>")
+
+
+def _only(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column(name) for name in names], names)
+
+
+def _first_ids(found: np.ndarray, second: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For windows sorted by hash and id, the smallest id among equal windows."""
+    if not len(found):
+        return ids
+    new = np.r_[True, (found[1:] != found[:-1]) | (second[1:] != second[:-1])]
+    return ids[new][np.cumsum(new) - 1]
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin and end."""
+    if not len(values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    return cuts, np.append(cuts[1:], len(values))
+
+
+def _spots(ids: np.ndarray, places: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Places gathered by document, documents by bucket; the shard only spreads these rows."""
+    bucket = (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((places, ids, bucket))
+    ids, places, bucket = ids[order], places[order], bucket[order]
+    if len(ids):
+        new = np.r_[True, (ids[1:] != ids[:-1]) | (places[1:] != places[:-1])]
+        ids, places, bucket = ids[new], places[new], bucket[new]
+    begin, end = _runs(ids)
+    spots = [pack_sorted(places[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+    sizes, ids, bucket = np.fromiter(map(len, spots), np.int32, len(spots)), ids[begin], bucket[begin]
+    begin, end = _runs(bucket)
+    runs = list(zip(begin.tolist(), end.tolist(), strict=True))
+    none = pa.nulls(len(runs), pa.binary())
+    return pa.RecordBatch.from_pydict(
+        {
+            "shard": pa.array(bucket[begin], pa.int64()),
+            "h": none,
+            "g": none,
+            "places": none,
+            "bucket": pa.array(bucket[begin], pa.int64()),
+            "ids": pa.array([ids[a:b].tobytes() for a, b in runs], pa.binary()),
+            "sizes": pa.array([sizes[a:b].tobytes() for a, b in runs], pa.binary()),
+            "spots": pa.array([b"".join(spots[a:b]) for a, b in runs], pa.binary()),
+        }
+    )
 
 
 def _second(words: Words, at: np.ndarray, size: int) -> np.ndarray:
@@ -183,8 +298,8 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, bits: int | None = None,
     kept = [c for c in docs.columns if c not in added]
     kinds = dict(docs.dtypes)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spots = repeated_windows(texts, size, bits).groupBy("doc_id").agg(F.collect_set("at").alias("__at"))
-    both = docs.select(*[f"`{c}`" for c in kept]).join(spots.withColumnRenamed("doc_id", "__doc"), F.col("doc_id") == F.col("__doc"), "left")
+    spots = repeated_windows(texts, size, bits).select(F.col("doc_id").alias("__doc"), F.col("spots").alias("__at"))
+    both = docs.select(*[f"`{c}`" for c in kept]).join(spots, F.col("doc_id") == F.col("__doc"), "left")
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", n_words long, n_removed long, kept_text string"
 
     def remove(batches):
@@ -198,8 +313,8 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, bits: int | None = None,
                     words = text.split()
                     counts.append(len(words))
                     lost = np.zeros(len(words), bool)
-                    if at:
-                        lost[np.add.outer(np.array(at), np.arange(size)).ravel()] = True
+                    for spots in at or []:
+                        lost[np.add.outer(unpack_sorted(spots), np.arange(size)).ravel()] = True
                     n = int(lost.sum())
                     gone.append(n)
                     if n:
