@@ -31,8 +31,9 @@ IDF_SHARE = 0.25
 SKETCH_BITS, SKETCH_ROWS = 18, 2
 PART_BITS = 12  # sketch cells merged by one task
 PLAUSIBLE = 30  # equal samples of 56; a pair at 0.8 has fewer with a chance below 1e-5
+SMALL = 16  # members of a bucket whose pairs are all tried at once
 BLOCK = 1024  # bucket members compared at once
-STEPS = (4, 64, None)  # partners tried for an unlinked member, round by round; the last round tries all
+TRIES = 4  # most similar partners an unlinked member tries ahead of the last round
 SMALL_SLICE = 1 << 19
 
 
@@ -215,26 +216,25 @@ def components(links: DataFrame) -> DataFrame:
     return stored(labels, "labels")
 
 
-def _plausible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """``a, b, equal``: pairs with enough equal samples."""
+def _equal(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """``a, b, equal`` of rows with signatures ``sa, sb``, where enough samples are equal."""
+    x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+    equal = (x == y).sum(axis=1).astype(np.int32)
+    out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(equal)], ["a", "b", "equal"])
+    return out.filter(pa.array(equal >= PLAUSIBLE))
 
-    def count(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-                equal = (x == y).sum(axis=1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(equal)], ["a", "b", "equal"])
 
-    sa = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
-    sb = sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
-    counted = pairs.join(sa, "a").join(sb, "b").mapInArrow(count, "a long, b long, equal int")
-    return counted.filter(F.col("equal") >= PLAUSIBLE)
+def _plausible(pairs: DataFrame) -> DataFrame:
+    """``a, b, equal`` of pairs with signatures ``sa, sb`` that have enough equal samples."""
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(
+        lambda batches: (_equal(x) for x in batches if x.num_rows), "a long, b long, equal int"
+    )
 
 
-def _unlinked(entries: DataFrame, labels: DataFrame, tries: int | None) -> DataFrame:
-    """``a, b``: plausible partners of bucket members that are not in the component of their bucket's first member.
+def _open_members(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, rep, sig, root, main, n``: members of buckets that hold more than one component.
 
-    Members meet in blocks; of each block only the ``tries`` most similar partners of another component are kept.
+    ``main`` is the component of the bucket's first member.
     """
     roots = labels.withColumnRenamed("node", "rep")
     held = entries.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
@@ -243,31 +243,101 @@ def _unlinked(entries: DataFrame, labels: DataFrame, tries: int | None) -> DataF
     heads = held.groupBy("key", parity.alias("p")).agg(
         F.min_by("root", "rep").alias("main"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")
     )
-    open_ = heads.filter("low <> high").select("key", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = held.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    return stored(held.join(heads.filter("low <> high").select("key", "main", "n"), "key"), "open")
+
+
+def _small_buckets(members: DataFrame) -> DataFrame:
+    """``a, b``: plausible pairs across components in buckets of at most ``SMALL`` members."""
+    small = members.filter(F.col("n") <= SMALL)
+    a = small.select("key", F.col("rep").alias("a"), F.col("sig").alias("sa"), F.col("root").alias("ra"))
+    b = small.select(F.col("key").alias("kb"), F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("root").alias("rb"))
+    return _plausible(a.join(b, (F.col("key") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")))).select("a", "b")
+
+
+def _blocks(members: DataFrame, columns: list[str]):
+    """Members outside their bucket's main component against all members, in pairs of blocks of ``BLOCK``."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    large = members.filter(F.col("n") > SMALL).withColumn("blocks", blocks)
+    large = large.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = members.filter("root <> main").select("key", F.col("block").alias("x"), every.alias("y"), "rep", "sig", "root")
-    names = {"key": "key2", "block": "y2", "rep": "rep", "sig": "sig", "root": "root"}
-    right = members.select(every.alias("x2"), *[F.col(c).alias(n) for c, n in names.items()])
+    left = large.filter("root <> main").select("key", F.col("block").alias("x"), every.alias("y"), *columns)
+    names = {"key": "key2", "block": "y2"} | {c: c for c in columns}
+    right = large.select(every.alias("x2"), *[F.col(c).alias(n) for c, n in names.items()])
+    return left.groupBy("key", "x", "y").cogroup(right.groupBy("key2", "x2", "y2"))
+
+
+def _bytes(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
+
+
+_NO_PAIRS = {"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)}
+
+
+def _large_buckets(members: DataFrame) -> DataFrame:
+    """``a, b``: the ``TRIES`` most similar partners of other components, in larger buckets and each block."""
 
     def meet(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         if not len(mine) or not len(others):
-            return none
-        x, y = (np.frombuffer(b"".join(f["sig"]), np.uint8).reshape(len(f), -1) for f in (mine, others))
+            return pd.DataFrame(_NO_PAIRS)
+        x, y = _bytes(mine["sig"]), _bytes(others["sig"])
         rx, ry = mine["root"].to_numpy(), others["root"].to_numpy()
         a, b = mine["rep"].to_numpy(), others["rep"].to_numpy()
         out = []
         for i in range(len(mine)):
             equal = (y == x[i]).sum(axis=1)
             good = np.flatnonzero((equal >= PLAUSIBLE) & (ry != rx[i]))
-            if tries is not None and len(good) > tries:
-                good = good[np.argsort(-equal[good], kind="stable")[:tries]]
+            if len(good) > TRIES:
+                good = good[np.argsort(-equal[good], kind="stable")[:TRIES]]
             out.append((np.minimum(a[i], b[good]), np.maximum(a[i], b[good])))
         return pd.DataFrame({"a": np.concatenate([o[0] for o in out]), "b": np.concatenate([o[1] for o in out])})
 
-    grouped = left.groupBy("key", "x", "y").cogroup(right.groupBy("key2", "x2", "y2"))
-    return grouped.applyInPandas(meet, "a long, b long").distinct()
+    return _blocks(members, ["rep", "sig", "root"]).applyInPandas(meet, "a long, b long")
+
+
+def _exhaust(members: DataFrame, reps: DataFrame, texts: DataFrame, sketch: np.ndarray, similarity: float) -> DataFrame:
+    """``a, b``: links between components in larger buckets, with every plausible pair compared in the task.
+
+    Only links leave a task, one for each member and other component. A pair that shares several
+    buckets is compared in the one of its first band.
+    """
+    shared = members.sparkSession.sparkContext.broadcast(sketch)
+
+    def side(frame: pd.DataFrame):
+        doc, hashes, counts = shingles(words_of(pa.array(frame["text"], pa.string()), lower=True))
+        weight = weights(hashes, counts, shared.value)
+        return hashes, weight, np.searchsorted(doc, np.arange(len(frame) + 1)), np.bincount(doc, weight, len(frame))
+
+    def meet(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(others):
+            return pd.DataFrame(_NO_PAIRS)
+        x, y = _bytes(mine["sig"]), _bytes(others["sig"])
+        kx, ky = np.stack(mine["keys"].to_numpy()), np.stack(others["keys"].to_numpy())
+        rx, ry = mine["root"].to_numpy(), others["root"].to_numpy()
+        a, b = mine["rep"].to_numpy(), others["rep"].to_numpy()
+        (hx, wx, cx, tx), (hy, wy, cy, ty) = side(mine), side(others)
+        band = int(mine["band"].iloc[0])
+        out = []
+        for i in range(len(mine)):
+            good = ((y == x[i]).sum(axis=1) >= PLAUSIBLE) & (ry != rx[i]) & ~(ky[:, :band] == kx[i, :band]).any(axis=1)
+            good = np.flatnonzero(good)
+            own, own_weight = hx[cx[i] : cx[i + 1]], wx[cx[i] : cx[i + 1]]
+            if not len(good) or not len(own):
+                continue
+            sizes = cy[good + 1] - cy[good]
+            at = np.repeat(cy[good] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+            found = np.minimum(np.searchsorted(own, hy[at]), len(own) - 1)
+            both = np.where(own[found] == hy[at], np.minimum(own_weight[found], wy[at]), 0.0)
+            both = np.bincount(np.repeat(np.arange(len(good)), sizes), both, len(good))
+            links = good[both >= similarity * (tx[i] + ty[good] - both)]
+            links = links[np.unique(ry[links], return_index=True)[1]]
+            out.append((np.minimum(a[i], b[links]), np.maximum(a[i], b[links])))
+        if not out:
+            return pd.DataFrame(_NO_PAIRS)
+        return pd.DataFrame({"a": np.concatenate([o[0] for o in out]), "b": np.concatenate([o[1] for o in out])})
+
+    large = members.filter(F.col("n") > SMALL).join(reps.select("rep", "keys"), "rep").join(texts, "rep")
+    large = large.withColumn("band", F.array_position("keys", F.col("key")).cast("int") - 1)
+    return _blocks(large, ["rep", "sig", "root", "keys", "band", "text"]).applyInPandas(meet, "a long, b long")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -276,8 +346,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Equal texts are one node from the start, so copies are never expanded to pairs. Then
 
     1. each bucket links its members to its first one, where that is verified;
-    2. members outside the component of their bucket's first member try their most similar partners
-       of other components, then more of them, at last all plausible ones, until nothing is left to try.
+    2. buckets that still hold several components go on: small ones try all plausible pairs across
+       components, in larger ones members outside the first member's component try their most similar
+       partners of other components;
+    3. in larger buckets that are still open, such members are compared with all plausible partners, block
+       by block, and only links leave the tasks.
 
     Every plausible pair of a bucket is thus verified or already connected. Documents without words (null, empty or
     blank text) are classes of their own; a null ``doc_id`` has a null class. Rows that share a ``doc_id`` share
@@ -299,18 +372,25 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     texts = known.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
     texts = stored(texts, "texts")
     stars = entries.filter("head <> rep").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
+    sa = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
+    sb = sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
     nearest = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("equal"), "a"))
-    stars = _plausible(stars, sigs).withColumn("r", nearest).filter("r <= 2").select("a", "b")
+    stars = _plausible(stars.join(sa, "a").join(sb, "b")).withColumn("r", nearest).filter("r <= 2").select("a", "b")
     tried = stored(verify(stars, texts, sketch), "tried")
     members = entries.select("key", "rep", "sig")
-    for tries in STEPS:
-        labels = components(tried.filter(F.col("similarity") >= similarity))
-        more = _unlinked(members, labels, tries).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = stored(verify(more, texts, sketch), "tried")
-        if not fresh.isEmpty():
-            tried = tried.unionByName(fresh)
+    linked = F.col("similarity") >= similarity
+    members = _open_members(members, components(tried.filter(linked)))
+    more = _small_buckets(members).unionByName(_large_buckets(members)).distinct()
+    more = more.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    tried = tried.unionByName(stored(verify(more, texts, sketch), "tried"))
+    links = tried.filter(linked).select("a", "b")
+    large = members.filter(F.col("n") > SMALL)
+    if not large.isEmpty():
+        large = _open_members(large.select("key", "rep", "sig"), components(links))
+        one_each = reps.dropDuplicates(["rep"])
+        links = links.unionByName(stored(_exhaust(large, one_each, texts, sketch, similarity), "links"))
     # Copies of one text are linked by their digest.
     copies = belongs.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    labels = components(tried.filter(F.col("similarity") >= similarity).select("a", "b").unionByName(copies))
+    labels = components(links.unionByName(copies))
     named = labels.withColumnRenamed("node", "doc_id")
     return rows.select("doc_id").join(named, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
