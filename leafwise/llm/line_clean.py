@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafwise.functions.frames import settle
+
 BLANKS = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
@@ -109,18 +111,22 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
         F.filter(worded, line_fails).alias("__failed"),
     )
     chars = lambda c: F.char_length(F.translate(c, BLANK_CHARS, ""))
-    counted = measured.select(
-        *kept,
-        F.col("n_words").cast("long").alias("n_words"),
-        chars(F.col("__text")).cast("long").alias("word_chars"),
-        count_of(F.col("__text"), SYMBOLS).cast("long").alias("n_symbols"),
-        (F.size("__worded") - F.size(F.array_distinct("__worded"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("__windows")).cast("long").alias("n_repeat_words"),
-        F.aggregate("__failed", F.lit(0), lambda total, line: total + chars(line)).cast("long").alias("lost_chars"),
-        F.when(F.size("__failed") == 0, F.col("__text"))
-        .otherwise(F.array_join(F.filter("__lines", lambda line: ~has_word(line) | ~line_fails(line)), "\n"))
-        .alias("clean_text"),
+    # Settled, so that a filter on a result is never rewritten into these formulas.
+    counted = settle(
+        measured,
+        {
+            "n_words": F.col("n_words").cast("long"),
+            "word_chars": chars(F.col("__text")).cast("long"),
+            "n_symbols": count_of(F.col("__text"), SYMBOLS).cast("long"),
+            "n_dup_lines": (F.size("__worded") - F.size(F.array_distinct("__worded"))).cast("long"),
+            "n_repeat_words": repeated_words(F.col("__windows")).cast("long"),
+            "lost_chars": F.aggregate("__failed", F.lit(0), lambda total, line: total + chars(line)).cast("long"),
+            "clean_text": F.when(F.size("__failed") == 0, F.col("__text")).otherwise(
+                F.array_join(F.filter("__lines", lambda line: ~has_word(line) | ~line_fails(line)), "\n")
+            ),
+        },
     )
+    counted = counted.select(*kept, *added[:6], "clean_text")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     lossy = 100 * F.col("lost_chars") > MAX_LOSS * F.col("word_chars")
     return counted.withColumn("base_failed", failed).withColumn("kept", ~failed & ~lossy)
