@@ -168,7 +168,7 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW, bits: int | None = Non
                 cuts, ends = _runs(shard)
                 parts = {"shard": pa.array(shard[cuts], pa.int64())}
                 for name, values in (("h", found), ("g", second), ("ids", ids), ("places", places)):
-                    parts[name] = pa.array([values[x:y].tobytes() for x, y in zip(cuts.tolist(), ends.tolist(), strict=True)], pa.binary())
+                    parts[name] = pa.array([_planes(values[x:y]) for x, y in zip(cuts.tolist(), ends.tolist(), strict=True)], pa.binary())
                 none = pa.nulls(len(cuts), pa.binary())
                 parts |= {"bucket": pa.nulls(len(cuts), pa.int64()), "sizes": none, "spots": none}
                 yield _only(pa.RecordBatch.from_pydict(parts), names)
@@ -186,7 +186,7 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW, bits: int | None = Non
                     held = []
                 now = shard
                 kinds = (np.uint64, np.int32, np.int64, np.int32)
-                held.append([np.frombuffer(x, kind) for x, kind in zip(values, kinds, strict=True)])
+                held.append([_values(x, kind) for x, kind in zip(values, kinds, strict=True)])
         if held:
             yield settle(held)
 
@@ -238,6 +238,16 @@ def _first_ids(found: np.ndarray, second: np.ndarray, ids: np.ndarray) -> np.nda
     return ids[new][np.cumsum(new) - 1]
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte place by byte place: the zero bytes of small numbers stand together and compress away."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _values(planes: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where runs of equal values begin and end."""
     if not len(values):
