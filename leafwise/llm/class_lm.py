@@ -197,7 +197,7 @@ def fit(docs: DataFrame, classes: int = CLASSES) -> tuple[Model, DataFrame]:
     counts = stored(count_words(docs), "word-counts")
     n_docs = docs.count()
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    frequent = counts.orderBy(F.desc("c"), "h").limit(HEAD).toPandas()
+    frequent = _frequent(counts)
     words = frequent["h"].head(WORD_UNITS).tolist()
     rest = counts.filter(~F.col("h").isin(words)) if words else counts
     endings = rest.groupBy("ending").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "ending").limit(ENDING_UNITS)
@@ -218,6 +218,22 @@ def fit(docs: DataFrame, classes: int = CLASSES) -> tuple[Model, DataFrame]:
     return Model(units, class_of, moves, totals, unseen, head, n_docs, (sums["n"] or 0) + n_docs, sums["v"] + (n_docs > 0)), counts
 
 
+def _frequent(counts: DataFrame) -> pd.DataFrame:
+    """All words seen at least so often that no more than ``HEAD`` are, most frequent first.
+
+    The limit comes from a table of how many words have a count of about each eighth of a power of two.
+    """
+    level = F.floor(F.log2("c") * 8).cast("int")
+    left, least = HEAD, None
+    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        left -= row["count"]
+        if left < 0:
+            break
+        least = row["level"]
+    chosen = counts.filter(level >= least) if least is not None else counts.limit(0)
+    return chosen.select("h", "c").toPandas().sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
+
+
 def _seen_once(counts: DataFrame, units: Units) -> np.ndarray:
     """Words seen once, by unit."""
 
