@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from leafwise.llm import crf_lang, icws, line_clean, packing, substring
 from leafwise.llm.encoders import tokenizer_path
 from leafwise.llm.store import stored
+from leafwise.session import ship_package
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_LANGUAGE_SHARE = 0.5
@@ -70,6 +71,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again by the next."""
+    ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
