@@ -18,9 +18,9 @@ SYMBOLS = "#*$%&|<>"
 MARKS = "#*$%&|<>!?~^=_"
 SEPARATORS = "|»›•·→"
 FINISHED = "[.!?…:;\"'”’»)\\]][\\x20\\x09-\\x0D]*\\z"
+# Furniture of web pages. Licence and rights notices are not among it: they say something about the text.
 BOILERPLATE = (
-    "all rights reserved|copyright ©|terms of (use|service)|privacy policy|cookie policy|use cookies|enable javascript"
-    "|licensed under|released under the|click here|read more|sign in|log in|subscribe to|share (this|on)|powered by"
+    "terms of (use|service)|privacy policy|cookie policy|use cookies|enable javascript|click here|read more|sign in|log in|subscribe to|share (this|on)|powered by"
     "|skip to (content|main)|back to top|lorem ipsum"
 )
 WINDOW = 5

@@ -163,9 +163,9 @@ def test_components(spark):
 def test_line_rules_and_text(spark):
     good = " ".join(f"word{i}" for i in range(30)) + "."
     last = " ".join(f"other{i}" for i in range(30)) + "."
-    lines = [good, "Home | About | Contact | Help", "a short heading", "All rights reserved.", "x$$$ y%%% z***", "Done well.", ""]
+    lines = [good, "Home | About | Contact | Help", "a short heading", "Click here to read more.", "x$$$ y%%% z***", "Done well.", "All rights reserved.", ""]
     row = line_clean.clean_lines(frame(spark, [(1, "\n".join([*lines, last]))])).first()
-    assert row.clean_text == "\n".join([good, "Done well.", "", last])
+    assert row.clean_text == "\n".join([good, "Done well.", "All rights reserved.", "", last])
     assert row.kept and not row.base_failed
     heavy = line_clean.clean_lines(frame(spark, [(1, "\n".join([good, *["menu | item | link | more"] * 6]))])).first()
     assert not heavy.kept
