@@ -29,6 +29,7 @@ from leafwise.llm.words import _hashes, text_buffer
 
 MEMO = 250_000  # pieces in each of the two generations a worker keeps
 LONG_PIECE = 256  # longer pieces are not kept
+ENCODE_SLICE = 1 << 22  # bytes of text cut at once: pieces repeat more in larger slices
 
 
 def tokenizer_path(name: str) -> str:

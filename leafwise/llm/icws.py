@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafwise.llm.store import stored
+from leafwise.llm.store import scratch, stored
 from leafwise.llm.words import Words, mix, slices, windows_of, words_of
 
 SHINGLE = 5
@@ -198,8 +198,11 @@ def verify(pairs: DataFrame, texts: DataFrame, sketch: np.ndarray) -> DataFrame:
     return pairs.select("a", "b").join(ta, "a").join(tb, "b").mapInArrow(compare, "a long, b long, similarity double")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node, root`` of every node of ``a, b``. Nodes hook to their smallest neighbour, linked trees contract."""
+def components(links: DataFrame, keep: bool = False) -> DataFrame:
+    """``node, root`` of every node of ``a, b``. Nodes hook to their smallest neighbour, linked trees contract.
+
+    ``keep`` saves the result from the end of a ``scratch`` block.
+    """
     edges, labels = stored(links.select("a", "b").distinct(), "edges"), None
     while labels is None or not edges.isEmpty():
         ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -213,7 +216,7 @@ def components(links: DataFrame) -> DataFrame:
         hb = hooks.select(F.col("a").alias("b"), F.col("to").alias("y"))
         moved = edges.join(ha, "a").join(hb, "b").filter("x <> y")
         edges = stored(moved.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
-    return stored(labels, "labels")
+    return stored(labels, "labels", keep)
 
 
 def _equal(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -340,24 +343,8 @@ def _exhaust(members: DataFrame, reps: DataFrame, texts: DataFrame, sketch: np.n
     return _blocks(large, ["rep", "sig", "root", "keys", "band", "text"]).applyInPandas(meet, "a long, b long")
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, class_id``: one row for each row of ``docs``; a class is named by its smallest ``doc_id``.
-
-    Equal texts are one node from the start, so copies are never expanded to pairs. Then
-
-    1. each bucket links its members to its first one, where that is verified;
-    2. buckets that still hold several components go on: small ones try all plausible pairs across
-       components, in larger ones members outside the first member's component try their most similar
-       partners of other components;
-    3. in larger buckets that are still open, such members are compared with all plausible partners, block
-       by block, and only links leave the tasks.
-
-    Every plausible pair of a bucket is thus verified or already connected. Documents without words (null, empty or
-    blank text) are classes of their own; a null ``doc_id`` has a null class. Rows that share a ``doc_id`` share
-    a class. An empty table gives an empty result. Other columns are ignored.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+def _labels(known: DataFrame, similarity: float) -> DataFrame:
+    """``node, root`` of all documents that share a class with another one: the one table that is kept."""
     sketch = document_frequencies(known)
     signed = stored(signatures(known, sketch), "signatures")
     reps = signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys"), F.min("sig").alias("sig"))
@@ -391,6 +378,27 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         links = links.unionByName(stored(_exhaust(large, one_each, texts, sketch, similarity), "links"))
     # Copies of one text are linked by their digest.
     copies = belongs.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    labels = components(links.unionByName(copies))
+    return components(links.unionByName(copies), keep=True)
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id, class_id``: one row for each row of ``docs``; a class is named by its smallest ``doc_id``.
+
+    Equal texts are one node from the start, so copies are never expanded to pairs. Then
+
+    1. each bucket links its members to its first one, where that is verified;
+    2. buckets that still hold several components go on: small ones try all plausible pairs across
+       components, in larger ones members outside the first member's component try their most similar
+       partners of other components;
+    3. in larger buckets that are still open, such members are compared with all plausible partners, block
+       by block, and only links leave the tasks.
+
+    Every plausible pair of a bucket is thus verified or already connected. Documents without words (null, empty or
+    blank text) are classes of their own; a null ``doc_id`` has a null class. Rows that share a ``doc_id`` share
+    a class. An empty table gives an empty result. Other columns are ignored.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with scratch(docs.sparkSession):
+        labels = _labels(rows.filter("doc_id IS NOT NULL AND text IS NOT NULL"), similarity)
     named = labels.withColumnRenamed("node", "doc_id")
     return rows.select("doc_id").join(named, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))

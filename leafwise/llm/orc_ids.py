@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafwise.llm.encoders import encoder
+from leafwise.llm.encoders import ENCODE_SLICE, encoder
 from leafwise.llm.words import slices
 
 END_ID = 2
@@ -63,7 +63,7 @@ def write_ids(
         encode_texts = encoder(tokenizer).encode
         part_now, total = None, 0
         for batch in batches:
-            for rows_ in slices(batch):
+            for rows_ in slices(batch, limit=ENCODE_SLICE):
                 ids, bounds = encode_texts(rows_.column("text"))
                 n = rows_.num_rows
                 flat = np.insert(ids.astype(np.int32), bounds[1:], end_id)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwise.llm.encoders import encoder
+from leafwise.llm.encoders import ENCODE_SLICE, encoder
 from leafwise.llm.store import stored
 from leafwise.llm.words import slices
 
@@ -37,7 +37,7 @@ def cut_pieces(
     def cut(batches):
         encode = encoder(tokenizer).encode
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, limit=ENCODE_SLICE):
                 ids, bounds = encode(rows.column("text"))
                 flat = np.insert(ids.astype("<u4"), bounds[1:], end_id)
                 ends = bounds + np.arange(rows.num_rows + 1)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from leafwise.llm.encoders import encoder, version_digest
+from leafwise.llm.encoders import ENCODE_SLICE, encoder, version_digest
 from leafwise.llm.words import slices
 
 CACHE_SCHEMA = "digest string, version string, n_tokens long"
@@ -67,7 +67,7 @@ def count_tokens(
     def encode(batches):
         counts = encoder(tokenizer).counts
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=ENCODE_SLICE):
                 yield pa.RecordBatch.from_arrays(
                     [part.column("digest"), pa.array(counts(part.column("text")))], ["digest", "n_tokens"]
                 )

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwise.llm.encoders import encoder, load
+from leafwise.llm.encoders import ENCODE_SLICE, encoder, load
 from leafwise.llm.words import slices
 
 LEAF = 16_384  # characters of a leaf
@@ -153,7 +153,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, leaf: int = LEAF) -> DataF
     def whole(batches):
         code, tokens = encoder(tokenizer), _tokens(tokenizer)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=ENCODE_SLICE):
                 ids, bounds = code.encode(part.column("text"))
                 cuts = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
                 decoded = [" ".join(tokens[ids[a:b]]) for a, b in cuts]

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15
 SPAN = 1 << 19  # bytes hashed at once
-SLICE = 1 << 22  # bytes of text handled at once
+SLICE = 1 << 21  # bytes of text handled at once
 
 
 def mix(x: np.ndarray) -> np.ndarray:
