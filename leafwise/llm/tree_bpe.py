@@ -180,7 +180,7 @@ def _numbers() -> np.ndarray:
 
 
 def _encode_long(rows: DataFrame, tokenizer: str, leaf: int) -> DataFrame:
-    parts_schema = "doc_id long, digest string, copies long, segment int, place int, special int, text string"
+    parts_schema = "row long, doc_id long, segment int, place int, special int, text string"
 
     def split(batches):
         for batch in batches:
@@ -190,7 +190,7 @@ def _encode_long(rows: DataFrame, tokenizer: str, leaf: int) -> DataFrame:
                     out = []
                     for piece in [text] if special >= 0 else leaves(text, leaf):
                         out.append(
-                            {k: row[k] for k in ("doc_id", "digest", "copies")}
+                            {k: row[k] for k in ("row", "doc_id")}
                             | {"segment": segment, "place": at, "special": special, "text": piece}
                         )
                         at += 1
@@ -202,32 +202,37 @@ def _encode_long(rows: DataFrame, tokenizer: str, leaf: int) -> DataFrame:
                 (np.array([s]), np.zeros(1, np.int64), np.ones(1, np.int64)) if s >= 0 else encode_leaf(t, tokenizer)
                 for s, t in zip(batch.column("special").to_pylist(), batch.column("text").to_pylist(), strict=True)
             ]
-            lists = [pa.array([c[k].astype(np.int32) for c in codes], pa.list_(pa.int32())) for k in range(3)]
-            names = [*batch.schema.names, "ids", "starts", "ends"]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names)
+            packed = pa.array([_packed(c) for c in codes], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, packed], [*batch.schema.names, "code"])
 
     def join(group):
         group = group.sort_values("place")
         out = []
         for _, part in group.groupby("segment", sort=True):
-            codes = [tuple(np.asarray(r[c], np.int64) for c in ("ids", "starts", "ends")) for _, r in part.iterrows()]
+            codes = [_unpacked(c) for c in part["code"]]
             out.append(tree(part["text"].tolist(), codes, tokenizer)[0])
         ids = np.concatenate(out)
-        head = group.iloc[0]
         decoded = load(tokenizer).decode(ids.tolist(), skip_special_tokens=False)
-        return group.iloc[:1].assign(ids=[ids.tolist()], decoded=decoded, copies=head["copies"])[
-            ["doc_id", "copies", "ids", "decoded"]
-        ]
-
-    keyed = rows.withColumn("digest", F.sha2("text", 256))
-    once = keyed.groupBy("doc_id", "digest").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    parts = once.mapInArrow(split, parts_schema).repartition("doc_id", "digest", "place")
-    coded = parts.mapInArrow(encode, parts_schema + ", ids array<int>, starts array<int>, ends array<int>")
-    joined = coded.groupBy("doc_id", "digest").applyInPandas(
-        join, "doc_id long, copies long, ids array<int>, decoded string"
-    )
-    repeated = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select("doc_id", "ids", "decoded")
+        return group.iloc[:1].assign(ids=[ids.tolist()], decoded=decoded)[["doc_id", "ids", "decoded"]]
+
+    keyed = rows.withColumn("row", F.monotonically_increasing_id())
+    parts = keyed.mapInArrow(split, parts_schema).repartition("row", "place")
+    coded = parts.mapInArrow(encode, parts_schema + ", code binary")
+    return coded.groupBy("row").applyInPandas(join, "doc_id long, ids array<int>, decoded string")
+
+
+def _packed(code: Code) -> bytes:
+    """Ids, steps between starts, and lengths as byte planes: the zero bytes of small numbers compress away."""
+    ids, starts, ends = code
+    flat = np.concatenate([ids, np.diff(starts, prepend=0), ends - starts]).astype("<i4")
+    return np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unpacked(data: bytes) -> Code:
+    flat = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel().astype(np.int64)
+    ids, steps, lengths = np.split(flat, 3)
+    starts = np.cumsum(steps)
+    return ids, starts, starts + lengths
 
 
 def _arrow(ddl: str) -> pa.Schema:
