@@ -1,8 +1,10 @@
 """Brown class-based bigram model: exchange clustering, class transitions, word emissions.
 
-The units that are clustered are the most frequent words and, for all other words, their last bytes. So every
-word has a class, known or not, by a table of fixed size. Exchange moves one unit after the other to the class that
-raises the likelihood of the corpus most, on counts over all training documents. A text then has the probability
+Every training word is clustered, and the number of classes grows with the square root of the number of words.
+Exchange on the most frequent words, and on the last bytes of all others, gives coarse classes; these are split,
+and then all words move in rounds, each to the class that fits the classes of its neighbours best. The neighbour
+counts and the classes of words are Spark tables; tasks hold class by class counts and the classes of a bounded
+number of frequent words. Last bytes stand only for words that training has not seen. A text has the probability
 
     product over its words and end of  P(class | class before) * P(word | class)
 
@@ -11,29 +13,41 @@ where a class gives the mass of its words seen once, and one more, to all words
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafwise.llm.store import stored
+from leafwise.llm.store import scratch, stored
 from leafwise.llm.words import Words, mix, slices, words_of
 
-WORD_UNITS = 512
+WORD_UNITS = 512  # of the coarse classes
 ENDING_UNITS = 255
-CLASSES = 32
+ENDINGS = 1 << 14  # with a class of their own for unseen words
+CLASSES = 32  # coarse classes
+SPLIT = 128  # a coarse class is split by sqrt(words) / SPLIT
+MOVES = 2  # rounds, in each of which every other word may move: words that move at once do not see one another
+CELLS = 1 << 23  # numbers held at once while words are compared with classes
+MANY = 32  # cells from which a word's are laid out by all classes
 ROUNDS = 8
 HEAD = 1 << 18  # most frequent words whose counts every task holds; all others are joined
 FLUSH = 1 << 22  # tokens counted before a partition hands out what it has
 PRIOR = 0.5  # added to every class transition
+OUT_ROWS = 1 << 16
+CELL = np.dtype([("key", "<u2"), ("n", "<u4")])
 
 
 class Units(NamedTuple):
-    """Unit 0 is the end of a text, 1 any word without a unit of its own or of its ending."""
+    """Unit 0 is the end of a text, 1 any word without a unit of its own or of its ending.
+
+    In a finished model the words are those of the head, and endings serve unseen words.
+    """
 
     words: np.ndarray  # sorted hashes
     word_ids: np.ndarray
@@ -189,10 +203,229 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
     return class_of
 
 
+def word_pairs(docs: DataFrame, head: np.ndarray) -> DataFrame:
+    """``a, b, n``: how often words follow one another, counted by each partition for itself.
+
+    A word of ``head`` is its place there plus one, any other word its hash, and 0 the end of a text.
+    """
+
+    def count(batches):
+        held: list[np.ndarray] = []
+        n = 0
+        for batch in batches:
+            for rows in slices(batch):
+                words = words_of(rows.column("text"), lower=True)
+                codes, hashes = pd.factorize(words.hashes)
+                names = _looked_up(head, np.arange(1, len(head) + 1), hashes, hashes.view(np.int64))
+                held.append(np.insert(names[codes], words.bounds[1:], 0))
+                n += len(held[-1])
+                if n >= FLUSH:
+                    yield from flush(held)
+                    held, n = [], 0
+        if n:
+            yield from flush(held)
+
+    def flush(held):
+        codes, names = pd.factorize(np.concatenate(held))
+        end = np.flatnonzero(names == 0)[0]
+        both, n = np.unique(np.append(end, codes[:-1]) * len(names) + codes, return_counts=True)
+        columns = names[both // len(names)], names[both % len(names)], n
+        for at in range(0, len(n), OUT_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + OUT_ROWS]) for x in columns], ["a", "b", "n"])
+
+    return docs.select("text").mapInArrow(count, "a long, b long, n long")
+
+
+def _packed(w: np.ndarray, key: np.ndarray, n: np.ndarray, keys: int) -> Iterator[pa.RecordBatch]:
+    """One row for each word with its summed cells as bytes."""
+    codes, names = pd.factorize(w)
+    both, at = np.unique(codes * keys + key, return_inverse=True)
+    cells = np.zeros(len(both), CELL)
+    cells["key"], cells["n"] = both % keys, np.bincount(at, n, len(both))
+    bounds = np.searchsorted(both, np.arange(len(names) + 1) * keys) * CELL.itemsize
+    data = cells.tobytes()
+    for low in range(0, len(names), OUT_ROWS):
+        part = bounds[low : low + OUT_ROWS + 1]
+        offsets = pa.py_buffer((part - part[0]).astype(np.int32))
+        blobs = pa.Array.from_buffers(pa.binary(), len(part) - 1, [None, offsets, pa.py_buffer(data[part[0] : part[-1]])])
+        yield pa.RecordBatch.from_arrays([pa.array(names[low : low + len(part) - 1]), blobs], ["w", "cells"])
+
+
+def neighbours(pairs: DataFrame, named: DataFrame, head_class: np.ndarray, classes: int) -> DataFrame:
+    """The rows of ``named(w, h, c, ending, cls)`` and of the end with ``cells``, the counts by class of what follows
+    (key ``class``) and of what stands before (key ``classes + class``).
+
+    Classes of head words are looked up where pairs are read, those of other words come by a join; no such word is
+    frequent, so the join has no hot keys.
+    """
+    keys, known = 2 * classes, len(head_class)
+
+    def packed(parts):
+        held: list[tuple] = []
+        n = 0
+        for part in parts:
+            held.append(part)
+            n += len(part[0])
+            if n >= FLUSH:
+                yield from _packed(*(np.concatenate(x) for x in zip(*held, strict=True)), keys)
+                held, n = [], 0
+        if n:
+            yield from _packed(*(np.concatenate(x) for x in zip(*held, strict=True)), keys)
+
+    def looked_up(batches):
+        def parts():
+            for batch in batches:
+                a, b, n = (x.to_numpy() for x in batch.columns)
+                for side, (w, other) in enumerate(((a, b), (b, a))):
+                    hit = np.flatnonzero((other >= 0) & (other < known))
+                    yield w[hit], side * classes + head_class[other[hit]], n[hit]
+
+        return packed(parts())
+
+    def joined(batches):
+        return packed(tuple(x.to_numpy() for x in batch.columns) for batch in batches)
+
+    schema = "w long, cells binary"
+    rare = lambda name: ~F.col(name).between(0, known - 1)
+    after = pairs.filter(rare("b")).select(F.col("a").alias("v"), F.col("b").alias("w"), F.lit(0).alias("side"), "n")
+    before = pairs.filter(rare("a")).select(F.col("b").alias("v"), F.col("a").alias("w"), F.lit(classes).alias("side"), "n")
+    tail = after.unionByName(before).join(named.filter(rare("w")).select("w", "cls"), "w")
+    tail = tail.select(F.col("v").alias("w"), (F.col("side") + F.col("cls")).cast("long").alias("key"), "n")
+    cells = pairs.mapInArrow(looked_up, schema).unionByName(tail.mapInArrow(joined, schema))
+    return cells.groupBy("w").agg(F.collect_list("cells").alias("cells")).join(named, "w", "left").select(
+        "w", "h", "c", "ending", F.coalesce("cls", F.lit(0)).alias("cls"), "cells"
+    )
+
+
+def _cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, key and count of each cell of a batch."""
+    lists = batch.column("cells")
+    blobs = lists.flatten()
+    row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+    row = np.repeat(row, pc.binary_length(blobs).to_numpy() // CELL.itemsize)
+    cells = np.frombuffer(b"".join(blobs.to_pylist()), CELL)
+    return row, cells["key"].astype(np.int64), cells["n"].astype(np.int64)
+
+
+def class_pairs(near: DataFrame, classes: int) -> np.ndarray:
+    """How often each class follows each other one."""
+
+    def count(batches):
+        total = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            row, key, n = _cells(batch)
+            after = key < classes
+            at = batch.column("cls").to_numpy()[row[after]] * classes + key[after]
+            total += np.bincount(at, n[after], classes * classes).astype(np.int64)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["pair", "n"])
+
+    counted = near.select("cls", "cells").mapInArrow(count, "pair long, n long")
+    found = counted.groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # at most classes^2 rows
+    out = np.zeros(classes * classes)
+    out[found["pair"].to_numpy(int)] = found["n"].to_numpy(int)
+    return out.reshape(classes, classes)
+
+
+def moved(near: DataFrame, n: np.ndarray, turn: int) -> DataFrame:
+    """``w, h, c, ending, cls`` with the class in which each word's neighbours are likeliest, itself not counted.
+
+    Words whose hash is even stay in odd turns, the others in even ones.
+    """
+    shared = near.sparkSession.sparkContext.broadcast(n)
+
+    def move(batches):
+        n = shared.value
+        classes = len(n)
+        left, right = n.sum(axis=1), n.sum(axis=0)
+        counts = np.concatenate([n.T, n])  # by key and class
+        sides = np.concatenate([np.broadcast_to(x, n.shape) for x in (left, right)])
+        fit = np.log((counts + PRIOR) / (sides + PRIOR * classes)).astype(np.float32)
+        for batch in batches:
+            row, key, m = _cells(batch)
+            was, c = batch.column("cls").to_numpy().astype(np.int64), batch.column("c").to_numpy()
+            own = np.maximum(counts[key, was[row]] - m, 0) + PRIOR
+            own /= np.maximum(sides[key, was[row]] - c[row], 0) + PRIOR * classes
+            stays = np.bincount(row, m * np.log(own), len(was))
+            bounds, best = np.searchsorted(row, np.arange(len(was) + 1)), was.copy()
+            size, free = np.diff(bounds), batch.column("h").to_numpy() % 2 == turn % 2
+            for many in (False, True):
+                chosen = np.flatnonzero(((size >= MANY) == many) & free)
+                step = max(1, CELLS // classes // (2 if many else MANY))
+                for low in range(0, len(chosen), step):
+                    part = chosen[low : low + step]
+                    at = np.repeat(bounds[part] - np.cumsum(size[part]) + size[part], size[part]) + np.arange(size[part].sum())
+                    if many:
+                        place = np.repeat(np.arange(len(part)), size[part]) * len(fit) + key[at]
+                        scores = np.bincount(place, m[at], len(part) * len(fit)).astype(np.float32).reshape(-1, len(fit)) @ fit
+                    else:
+                        firsts = np.cumsum(size[part]) - size[part]
+                        scores = np.add.reduceat(fit[key[at]] * m[at, None].astype(np.float32), firsts)
+                    scores[:, 0] = -np.inf  # the end's own
+                    mine, now = np.arange(len(part)), was[part]
+                    scores[mine, now] = stays[part]
+                    top = scores.argmax(axis=1)
+                    best[part] = np.where(scores[mine, top] > stays[part] + 1e-4, top, now)
+            columns = [batch.column(x) for x in ("w", "h", "c", "ending")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(best.astype(np.int32))], ["w", "h", "c", "ending", "cls"])
+
+    return near.filter("w <> 0").mapInArrow(move, "w long, h long, c long, ending int, cls int")
+
+
+def _likelihood(n: np.ndarray) -> float:
+    f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+    return f(n) - f(n.sum(axis=0)) - f(n.sum(axis=1))
+
+
+def _begin(counts: DataFrame, head: np.ndarray, units: Units, coarse: np.ndarray, split: int) -> DataFrame:
+    """All words as ``w, h, c, ending, cls``: the parts of a coarse class begin with words by their hashes."""
+
+    def name(batches):
+        for batch in batches:
+            hashes = batch.column("h").to_numpy().view(np.uint64)
+            kind = coarse[units.of(hashes, batch.column("ending").to_numpy())]
+            cls = 1 + (kind - 1) * split + (hashes >> np.uint64(40)).astype(np.int64) % split
+            names = _looked_up(head, np.arange(1, len(head) + 1), hashes, hashes.view(np.int64))
+            columns = [pa.array(names), *(batch.column(x) for x in ("h", "c", "ending")), pa.array(cls.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["w", "h", "c", "ending", "cls"])
+
+    return counts.select("h", "c", "ending").mapInArrow(name, "w long, h long, c long, ending int, cls int")
+
+
+def _head_class(named: DataFrame, size: int) -> np.ndarray:
+    found = named.filter(F.col("w").between(1, size)).select("w", "cls").toPandas()
+    out = np.zeros(size + 1, np.int64)
+    out[found["w"].to_numpy(int)] = found["cls"].to_numpy(int)
+    return out
+
+
+def cluster(docs: DataFrame, counts: DataFrame, head: np.ndarray, units: Units, coarse: np.ndarray, classes: int, split: int):
+    """Table of all words with their classes, classes of the head, and counts of class pairs.
+
+    Rounds end early when one does not raise the likelihood; that round's moves are undone.
+    """
+    spark = docs.sparkSession
+    best = None
+    with scratch(spark):
+        pairs = stored(word_pairs(docs, head), "word-pairs")
+        named = stored(_begin(counts, head, units, coarse, split), "word-classes", keep=True)
+        for step in range(MOVES + 1):
+            head_class = _head_class(named, len(head))
+            with scratch(spark):
+                near = stored(neighbours(pairs, named, head_class, classes), "neighbours")
+                n = class_pairs(near, classes)
+                if best is not None and _likelihood(n) <= _likelihood(best[2]):
+                    break
+                best = named, head_class, n
+                if step < MOVES:
+                    named = stored(moved(near, n, step), "word-classes", keep=True)
+    return best
+
+
 def fit(docs: DataFrame, classes: int = CLASSES) -> tuple[Model, DataFrame]:
-    """The model of all texts of ``docs``, and the table of all word counts. Null texts count as empty.
+    """The model of all texts of ``docs``, and the table of all words with counts and classes. Null texts count as empty.
 
-    Tables held by the driver and every task are bounded: units, classes and the head of frequent words.
+    ``classes`` are coarse classes. Tables of words held by the driver and every task are bounded.
     """
     counts = stored(count_words(docs), "word-counts")
     n_docs = docs.count()
@@ -202,26 +435,42 @@ def fit(docs: DataFrame, classes: int = CLASSES) -> tuple[Model, DataFrame]:
     rest = counts.filter(~F.col("h").isin(words)) if words else counts
     endings = rest.groupBy("ending").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "ending").limit(ENDING_UNITS)
     units = _sorted_units(words, [r["ending"] for r in endings.collect()])
-    pairs = count_bigrams(docs, units)
-    class_of = exchange(pairs, classes)
-    n = np.zeros((classes, classes))
-    np.add.at(n, (class_of[:, None], class_of[None, :]), pairs)
+    coarse = exchange(count_bigrams(docs, units), classes)
+    hashes = frequent["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    head = (hashes[order], frequent["c"].to_numpy(np.int64)[order])
+    split = max(1, int(sums["v"] ** 0.5 / SPLIT))
+    named, head_class, n = cluster(docs, counts, head[0], units, coarse, 1 + (classes - 1) * split, split)
+    classes = len(n)
     moves = np.log10((n + PRIOR) / (n + PRIOR).sum(axis=1, keepdims=True))
-    mass = np.bincount(class_of, pairs.sum(axis=0), classes)
-    once = np.bincount(class_of, _seen_once(counts, units), classes) + 1
+    mass, once = np.zeros(classes), np.ones(classes)
+    for row in named.groupBy("cls").agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once")).collect():
+        mass[row["cls"]] += row["c"]
+        once[row["cls"]] += row["once"]
+    mass[0] = n_docs
     once[0] = 0  # an end is never an unseen word
     with np.errstate(divide="ignore"):
         totals, unseen = np.log10(np.maximum(mass + once, 1)), np.log10(once)
-    hashes = frequent["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    head = (hashes[order], frequent["c"].to_numpy(np.int64)[order])
-    return Model(units, class_of, moves, totals, unseen, head, n_docs, (sums["n"] or 0) + n_docs, sums["v"] + (n_docs > 0)), counts
+    ends, end_class = _endings(named)
+    known = Units(head[0], 2 + np.arange(len(hashes)), ends, 2 + len(hashes) + np.arange(len(ends)))
+    other = 1 + int(once[1:].argmax())
+    class_of = np.concatenate([[0, other], head_class[1:], end_class])
+    return Model(known, class_of, moves, totals, unseen, head, n_docs, (sums["n"] or 0) + n_docs, sums["v"] + (n_docs > 0)), named
+
+
+def _endings(named: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent endings and the class that most words with them have; words seen seldom tell most of unseen ones."""
+    votes = named.groupBy("ending", "cls").agg(F.sum(1 / F.col("c")).alias("n"))
+    chosen = votes.groupBy("ending").agg(F.max_by("cls", F.struct("n", "cls")).alias("cls"), F.sum("n").alias("n"))
+    found = chosen.orderBy(F.desc("n"), "ending").limit(ENDINGS).toPandas().sort_values("ending")
+    return found["ending"].to_numpy(np.int64), found["cls"].to_numpy(np.int64)
 
 
 def _frequent(counts: DataFrame) -> pd.DataFrame:
     """All words seen at least so often that no more than ``HEAD`` are, most frequent first.
 
-    The limit comes from a table of how many words have a count of about each eighth of a power of two.
+    The limit comes from a table of how many words have a count of about each eighth of a power of two. If there are more
+    words already in the first of these, the first ``HEAD`` by count and hash are taken.
     """
     level = F.floor(F.log2("c") * 8).cast("int")
     left, least = HEAD, None
@@ -230,38 +479,20 @@ def _frequent(counts: DataFrame) -> pd.DataFrame:
         if left < 0:
             break
         least = row["level"]
-    chosen = counts.filter(level >= least) if least is not None else counts.limit(0)
+    chosen = counts.filter(level >= least) if least is not None else counts.orderBy(F.desc("c"), "h").limit(HEAD)
     return chosen.select("h", "c").toPandas().sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
 
 
-def _seen_once(counts: DataFrame, units: Units) -> np.ndarray:
-    """Words seen once, by unit."""
-
-    def add(batches):
-        total = np.zeros(units.size, np.int64)
-        for batch in batches:
-            hashes = batch.column("h").to_numpy().view(np.uint64)
-            total += np.bincount(units.of(hashes, batch.column("ending").to_numpy()), minlength=units.size)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["unit", "n"])
-
-    once = counts.filter("c = 1").select("h", "ending").mapInArrow(add, "unit long, n long")
-    out = np.zeros(units.size)
-    for row in once.groupBy("unit").agg(F.sum("n").alias("n")).collect():
-        out[row["unit"]] = row["n"]
-    return out
-
-
 def score(docs: DataFrame, model: Model, counts: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
     """``doc_id``, extras, ``n_tokens, n_known, train_tokens, base_score, score, perplexity`` of every text.
 
     ``base_score`` is the add-one unigram model. Tokens of frequent words are scored where the text is read;
-    other tokens go to the word counts by a join and come back as sums. Null texts count as empty: one end. Repeated
+    other tokens get count and class by a join and come back to their text, where the steps beside them are added. Null texts count as empty: one end. Repeated
     rows are scored each; no rows give no rows; training on no texts leaves every word unseen.
     """
     extra = extra or {}
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "row long, h long, doc_id long, tail int, unseen double, n_tokens long, known long, base double, part double"
+    schema = "row long, h long, doc_id long, at long, side long, kind int, n_tokens long, known long, base double, part double"
 
     def walk(batches):
         model, row = shared.value, TaskContext.get().partitionId() << 40
@@ -278,19 +509,25 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, extra: dict[str, Col
                 before = np.append(0, line[:-1])
                 count = np.insert(seen[codes], words.bounds[1:], model.n_docs)
                 known = count > 0
-                part = model.moves[before, line] - model.totals[line] + np.where(known, np.log10(np.maximum(count, 1)), 0)
+                sure = known.copy()  # the class is known here
+                sure[ends] = True
+                step = sure & np.append(True, sure[:-1])
+                part = np.where(step, model.moves[before, line], 0) + np.where(
+                    known, np.log10(np.maximum(count, 1)) - model.totals[line], 0
+                )
                 base = np.where(known, np.log10(count + 1), 0)
                 if not model.n_docs:
-                    part[ends] = model.moves[before[ends], 0]
+                    part[ends] = np.where(step[ends], model.moves[before[ends], 0], 0)
                 ids = np.arange(row, row + n)
                 row += n
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids),
-                        pa.array(mix(ids.astype(np.uint64)).view(np.int64)),  # spreads the rows; tail = 0 makes a match void
+                        pa.array(mix(ids.astype(np.uint64)).view(np.int64)),  # spreads the rows; at = -1 makes a match void
                         rows.column("doc_id"),
+                        pa.array(np.full(n, -1)),
+                        pa.array(np.zeros(n, np.int64)),
                         pa.array(np.zeros(n, np.int32)),
-                        pa.array(np.zeros(n)),
                         pa.array(words.counts + 1),
                         pa.array(np.bincount(doc, known, n).astype(np.int64)),
                         pa.array(np.bincount(doc, base, n)),
@@ -298,33 +535,60 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, extra: dict[str, Col
                     ],
                     names,
                 )
-                rare = np.flatnonzero(seen[codes] == 0)
-                owner = np.repeat(np.arange(n), words.counts)[rare]
+                rare = np.flatnonzero(~sure)
+                owner = doc[rare]
+                first = np.append(True, sure[:-1])[rare]  # the class before is known here
+                left = np.where(first, before[rare], -1)
+                right = np.where(sure[rare + 1], line[rare + 1], -1)
                 none = lambda kind: pa.nulls(len(rare), kind)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[owner]),
-                        pa.array(words.hashes[rare].view(np.int64)),
+                        pa.array(np.insert(words.hashes, words.bounds[1:], 0)[rare].view(np.int64)),
                         none(pa.int64()),
-                        pa.array(np.ones(len(rare), np.int32)),
-                        pa.array(model.unseen[kind[codes[rare]]]),
+                        pa.array(rare - np.append(0, ends[:-1] + 1)[owner]),
+                        pa.array((left + 1) << 32 | (right + 1)),
+                        pa.array(line[rare].astype(np.int32)),
                         *(none(k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64())),
                     ],
                     names,
                 )
 
+    def add(batches):
+        """Steps beside rare tokens, and their own shares."""
+        model = shared.value
+        for batch in batches:
+            lists = batch.column("rare")
+            rare, row = lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+            at, side, kind, c = (rare.field(x).to_numpy(zero_copy_only=False) for x in ("at", "side", "kind", "c"))
+            order = np.lexsort((at, row))
+            side, kind, c, row = side[order], kind[order], c[order], row[order]
+            left, right = (side >> 32) - 1, (side & 0xFFFFFFFF) - 1
+            left = np.where(left < 0, np.append(0, kind[:-1]), left)  # the token before is rare too
+            part = model.moves[left, kind] + np.where(right < 0, 0, model.moves[kind, np.maximum(right, 0)])
+            part += np.where(c > 0, np.log10(np.maximum(c, 1)), model.unseen[kind]) - model.totals[kind]
+            score = batch.column("score").to_numpy() + np.bincount(row, part, len(lists))
+            columns = [*(batch.column(x) for x in ("doc_id", "n_tokens", "n_known", "base")), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base", "score"])
+
     names = [x.split()[0] for x in schema.split(", ")]
     walked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tokens = walked.mapInArrow(walk, schema)
-    joined = tokens.join(counts.select(F.col("h").alias("ch"), "c"), F.col("h") == F.col("ch"), "left")
-    rare, found = F.col("tail") == 1, F.col("c").isNotNull()
-    summed = joined.groupBy("row").agg(
+    table = counts.select(F.col("h").alias("ch"), "c", "cls")
+    joined = tokens.join(table, F.col("h") == F.col("ch"), "left")
+    rare, found = F.col("at") >= 0, F.col("c").isNotNull()
+    token = F.struct(
+        "at", "side", F.coalesce("cls", "kind").alias("kind"), F.coalesce("c", F.lit(0)).cast("long").alias("c")
+    )
+    grouped = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.sum("n_tokens").alias("n_tokens"),
         (F.sum("known") + F.count_if(rare & found)).alias("n_known"),
         F.sum(F.when(rare, F.when(found, F.log10(F.col("c") + 1)).otherwise(0.0)).otherwise(F.col("base"))).alias("base"),
-        F.sum(F.when(rare, F.when(found, F.log10("c")).otherwise(F.col("unseen"))).otherwise(F.col("part"))).alias("score"),
+        F.sum(F.when(rare, 0.0).otherwise(F.col("part"))).alias("score"),
+        F.collect_list(F.when(rare, token)).alias("rare"),
     )
+    summed = grouped.mapInArrow(add, "doc_id long, n_tokens long, n_known long, base double, score double")
     scale = float(np.log10(model.n_tokens + model.n_types + 1))
     return summed.select(
         "doc_id",

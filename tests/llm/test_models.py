@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from llm_helpers import clashing, docs, empty, frame, prose, rows, rows_of  # noqa: F401
 from pyspark.sql import functions as F
 
@@ -99,6 +100,48 @@ def test_exchange_reaches_a_local_optimum():
     assert best >= likelihood(pairs, kind) - 1e-6
 
 
+@pytest.mark.parametrize("head", [0, 5, 1 << 18])
+def test_every_training_word_is_clustered(spark, docs, rows, monkeypatch, head):
+    """Classes grow with the words, follow the neighbours and are used in scores, with and without a head."""
+    monkeypatch.setattr(class_lm, "HEAD", head)
+    monkeypatch.setattr(class_lm, "SPLIT", 16)
+    train = docs.filter("doc_id % 3 <> 2")
+    model, counts = class_lm.fit(train)
+    words = counts.toPandas()
+    kind = dict(zip(words["h"], words["cls"], strict=True))
+    seen = dict(zip(words["h"], words["c"], strict=True))
+    assert len(model.moves) == 1 + 31 * int(len(words) ** 0.5 / 16) > class_lm.CLASSES
+    assert len(model.head[0]) <= head and words["cls"].between(1, len(model.moves) - 1).all()
+    n = np.zeros_like(model.moves)
+    got = {r.doc_id: r.score for r in class_lm.score(docs, model, counts).collect()}
+    for doc_id, text, _ in rows:
+        found = class_lm.words_of(pa.array([text or ""]), lower=True)
+        codes, hashes, endings = class_lm._types(found)
+        guess = model.class_of[model.units.of(hashes, endings)]
+        names = hashes.view(np.int64)
+        line = [kind.get(h, g) for h, g in zip(names[codes], guess[codes], strict=True)]
+        if doc_id % 3 != 2:
+            np.add.at(n, ([0, *line], [*line, 0]), 1)
+        total = model.moves[[0, *line], [*line, 0]].sum() + math.log10(model.n_docs) - model.totals[0]
+        for h, k in zip(names[codes], line, strict=True):
+            total += (math.log10(seen[h]) if h in seen else model.unseen[k]) - model.totals[k]
+        assert math.isclose(got[doc_id], total, rel_tol=1e-9)
+    assert np.allclose(model.moves, np.log10((n + 0.5) / (n + 0.5).sum(axis=1, keepdims=True)))
+
+
+def test_words_move_to_the_class_of_their_neighbours(spark, monkeypatch):
+    """Two kinds of words in turn, nearly all without a unit of the coarse classes: only their own moves find the kinds."""
+    monkeypatch.setattr(class_lm, "WORD_UNITS", 2)
+    monkeypatch.setattr(class_lm, "HEAD", 8)
+    rng = random.Random(1)
+    text = " ".join(f"{'ab'[i % 2]}{rng.randint(100, 299)}xyz" for i in range(4000))
+    docs = frame(spark, [(1, text)])
+    monkeypatch.setattr(class_lm, "MOVES", 0)
+    before = class_lm.score(docs, *class_lm.fit(docs, 8)).first().score
+    monkeypatch.setattr(class_lm, "MOVES", 2)
+    assert class_lm.score(docs, *class_lm.fit(docs, 8)).first().score > before
+
+
 def test_language_model_edge_cases(spark, docs):
     model, counts = class_lm.fit(empty(spark))
     scored = class_lm.score(frame(spark, [(1, "a b"), (1, "a b"), (2, None)]), model, counts).collect()
