@@ -95,14 +95,47 @@ def missing_images(targets: DataFrame, presets: DataFrame, files: DataFrame) ->
     )
 
 
-def apply_preset_v2(spine: DataFrame, targets: DataFrame, presets: DataFrame, files: DataFrame) -> DataFrame:
-    """Spines rebuilt in template order for ``targets(volume_id, preset_id)``.
+def preset_errors(targets: DataFrame, presets: DataFrame, files: DataFrame) -> DataFrame:
+    """(volume_id, error): why the template of a volume cannot be applied, by its first bad entry."""
+    # Entries are checked once a template; only the verdicts meet the volumes.
+    entries = preset_entries(presets).join(files.select("path", F.lit(True).alias("_found")).distinct(), "path", "left")
+    kind, path = F.col("kind"), F.coalesce("path", F.lit(""))
+    inserted = kind == "inserted"
+    problem = (
+        F.when(inserted & (path != "") & F.col("_found").isNull(), F.concat(F.lit("Inserted image not found: "), path))
+        .when(inserted & ~F.coalesce(image_ext(path).isin("jpg", "png"), F.lit(False)), "Only JPEG and PNG images can be inserted")
+        .when(
+            ~F.coalesce(kind.isin("source", "blank", "inserted"), F.lit(False)),
+            F.concat(F.lit("Unsupported preset entry kind: "), F.coalesce(kind, F.lit("None"))),
+        )
+    )
+    bad = entries.withColumn("_problem", problem).where(F.col("_problem").isNotNull())
+    bad = bad.groupBy("preset_id").agg(F.min_by("_problem", "position").alias("_problem"))
+    unfit = ~F.coalesce(F.col("preset.version") == 2, F.lit(False))
+    known = presets.select("preset_id", F.lit(True).alias("_known"), F.when(unfit, "Unsupported preset version").alias("_version"))
+    found = targets.join(known, "preset_id", "left").join(bad, "preset_id", "left")
+    error = F.when(F.col("_known").isNull(), "Preset not found").otherwise(F.coalesce("_version", "_problem"))
+    return found.select("volume_id", error.alias("error")).where(F.col("error").isNotNull())
+
+
+def apply_preset_v2(
+    spine: DataFrame, targets: DataFrame, presets: DataFrame, files: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """(spines, errors): all spines, rebuilt in template order for ``targets(volume_id, preset_id)``.
+
+    Volumes without a target, and those with a row in ``errors(volume_id, error)``, keep their entries.
+    """
+    errors = preset_errors(targets, presets, files)
+    usable = targets.join(errors.select("volume_id").distinct(), "volume_id", "left_anti")
+    kept = spine.select(*SPINE_COLUMNS).join(usable.select("volume_id").distinct(), "volume_id", "left_anti")
+    return _rebuilt(spine, usable, presets, files).unionByName(kept), errors
+
+
+def _rebuilt(spine: DataFrame, usable: DataFrame, presets: DataFrame, files: DataFrame) -> DataFrame:
+    """Spines of ``usable(volume_id, preset_id)`` in template order.
 
-    Absent sources are skipped, pages beyond the template's page count follow at the end. Volumes
-    whose template needs a missing image are left out; ``missing_images`` names them.
+    Absent sources are skipped, pages beyond the template's page count follow at the end.
     """
-    failed = missing_images(targets, presets, files).select("volume_id").distinct()
-    usable = targets.join(failed, "volume_id", "left_anti")
     meta = preset_meta(presets)
     wanted = usable.join(preset_entries(presets), "preset_id")
     sources = spine.where(F.col("source_index").isNotNull())

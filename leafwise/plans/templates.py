@@ -121,7 +121,9 @@ applied AS (SELECT z.volume_id, row_number() OVER (PARTITION BY z.volume_id ORDE
 def _applied(spark, sf):
     spine = stored_spine(spark, sf).select(*ops.SPINE_COLUMNS)
     targets = _targets(spark, sf, spine).join(good_presets(spark, sf).select("preset_id"), "preset_id", "left_semi")
-    return presets.apply_preset_v2(spine, targets, good_presets(spark, sf), art_files(spark, sf)), targets
+    spines, errors = presets.apply_preset_v2(spine, targets, good_presets(spark, sf), art_files(spark, sf))
+    usable = targets.join(errors, "volume_id", "left_anti").select("volume_id")
+    return spines.join(usable, "volume_id", "left_semi"), targets
 
 
 @query("apply_preset_v2", f"WITH {_APPLIED} SELECT * FROM applied")
@@ -129,6 +131,18 @@ def apply_preset_v2(spark, sf):
     return _applied(spark, sf)[0]
 
 
+_UNTOUCHED = """SELECT volume_id, entry_index, kind, source_index, item_id, inserted_path, width, height, ext
+    FROM order_spine WHERE volume_id NOT IN (SELECT volume_id FROM usable)"""
+
+
+@query("apply_preset_v2_all", f"WITH {_APPLIED} SELECT * FROM applied UNION ALL {_UNTOUCHED}")
+def apply_preset_v2_all(spark, sf):
+    """All spines, also those that no template changes."""
+    spine = stored_spine(spark, sf).select(*ops.SPINE_COLUMNS)
+    targets = _targets(spark, sf, spine)
+    return presets.apply_preset_v2(spine, targets, good_presets(spark, sf), art_files(spark, sf))[0]
+
+
 @query(
     "preset_missing_images",
     f"""WITH {_APPLIED} SELECT volume_id, 'Inserted image not found: ' || art AS error FROM targets JOIN templates
