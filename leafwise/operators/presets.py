@@ -219,18 +219,25 @@ def preset_covers(spine: DataFrame, targets: DataFrame, presets: DataFrame) -> D
     )
 
 
-def apply_preset_to_scope(volumes: DataFrame, scopes: DataFrame, preset_of: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(targets, volumes): templates chosen for the volumes in scope, and the volumes afterwards.
+def apply_preset_to_scope(
+    volumes: DataFrame, scopes: DataFrame, preset_of: DataFrame, spine: DataFrame, presets: DataFrame, files: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(spines, volumes, errors): templates applied to the volumes in scope.
 
-    ``preset_of(series_id, preset_id)``. Series metadata wins over the template's, the status
-    becomes Edited.
+    ``preset_of(series_id, preset_id)``; templates have version 1 or 2. Series metadata wins over the template's, the
+    status becomes Edited. Volumes with a row in ``errors(volume_id, error)`` keep their entries and status.
     """
     hit = volumes_in_scope(volumes, scopes).join(preset_of, "series_id").select("volume_id", "preset_id")
-    marked = volumes.join(hit.select("volume_id", F.lit(True).alias("_hit")), "volume_id", "left")
-    chosen = F.coalesce("_hit", F.lit(False))
-    return hit, marked.withColumns(
-        {
-            "status": F.when(chosen, "Edited").otherwise(F.col("status")),
-            "book_title": generated_title(F.col("title"), F.col("volume_number")),
-        }
-    ).drop("_hit")
+    first = presets.where(F.coalesce(F.col("preset.version") == 1, F.lit(False)))
+    hit_v1 = hit.join(first.select("preset_id"), "preset_id", "left_semi").select("volume_id", "preset_id")
+    hit_v2 = hit.join(first.select("preset_id"), "preset_id", "left_anti").select("volume_id", "preset_id")
+    spines, errors = apply_preset_v2(spine, hit_v2, presets, files)
+    others = spines.join(hit_v1, "volume_id", "left_anti")
+    spines = others.unionByName(apply_preset_v1(spine, hit_v1, first))
+    done = hit.select("volume_id").distinct().join(errors, "volume_id", "left_anti")
+    marked = volumes.join(done.withColumn("_hit", F.lit(True)), "volume_id", "left")
+    after = {
+        "status": F.when(F.coalesce("_hit", F.lit(False)), "Edited").otherwise(F.col("status")),
+        "book_title": generated_title(F.col("title"), F.col("volume_number")),
+    }
+    return spines, marked.withColumns(after).drop("_hit"), errors

@@ -209,10 +209,29 @@ def apply_preset_v1(spark, sf):
       title || ' Vol.' || printf('%02d', volume_number) AS book_title FROM volumes""",
 )
 def apply_preset_to_scope(spark, sf):
+    return _scoped(spark, sf)[1].select("series_id", "volume_id", "status", "book_title")
+
+
+def _scoped(spark, sf):
+    """Each series takes one of the first five templates, all of which can be applied."""
     rows = volumes(spark, sf)
-    preset_of = rows.select("series_id").distinct().withColumn("preset_id", F.lit(0).cast("bigint"))
-    after = presets.apply_preset_to_scope(rows, _scopes(spark, sf), preset_of)[1]
-    return after.select("series_id", "volume_id", "status", "book_title")
+    preset_of = rows.select("series_id").distinct().withColumn("preset_id", F.col("series_id") % 5)
+    spine = stored_spine(spark, sf).select(*ops.SPINE_COLUMNS)
+    return presets.apply_preset_to_scope(rows, _scopes(spark, sf), preset_of, spine, good_presets(spark, sf), art_files(spark, sf))
+
+
+_SCOPE_TARGETS = f"""{VOLUMES}, targets AS (SELECT volume_id, series_id % 5 AS preset_id FROM volumes
+  WHERE CASE series_id % 6 WHEN 0 THEN true WHEN 1 THEN volume_number IN (1, 3, 7) WHEN 2 THEN volume_number BETWEEN 2 AND 5
+    WHEN 3 THEN false WHEN 4 THEN false ELSE volume_number IN (9, 10, 11, 12, 1, 3, 4) END)"""
+
+
+@query(
+    "apply_preset_to_scope_spines",
+    f"WITH {_APPLIED.replace(TARGETS, _SCOPE_TARGETS)} SELECT * FROM applied UNION ALL {_UNTOUCHED}",
+)
+def apply_preset_to_scope_spines(spark, sf):
+    """Spines of all volumes after the templates of their series."""
+    return _scoped(spark, sf)[0]
 
 
 def edit_log(spine):

@@ -48,3 +48,26 @@ def test_no_volume_is_lost_and_errors_are_named(spark):
         7: "Unsupported preset version",
         8: "Preset not found",
     }
+
+
+def test_templates_are_applied_to_the_volumes_in_scope(spark):
+    source, lost = {"kind": "source", "source_index": 2}, {"kind": "inserted", "path": "/lost.png"}
+    texts = parsed(
+        spark, {1: template(source), 2: template(lost), 3: {"version": 1, "deleted_source_pages": [1], "blank_positions": [1]}}
+    )
+    layout = [page(1), page(2), page(3), page(4)]
+    spine = table(spark, {v: layout for v in range(1, 7)})
+    volumes = spark.createDataFrame(
+        [(s, 2 * s + n - 2, "T", n, "Ready") for s in (1, 2, 3) for n in (1, 2)],
+        "series_id long, volume_id long, title string, volume_number long, status string",
+    )
+    scopes = spark.createDataFrame([(1, "2"), (2, "all"), (3, "1")], "series_id long, scope string")
+    preset_of = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "series_id long, preset_id long")
+    spines, after, errors = presets.apply_preset_to_scope(
+        volumes, scopes, preset_of, spine, texts, spark.createDataFrame([], FILES)
+    )
+    blank = ("blank", None, None, None, 102, 202, None)
+    got = entries(spines)
+    assert got == {v: layout for v in range(1, 7)} | {2: [page(2), page(4)], 5: [page(2), blank, page(3), page(4)]}
+    assert dict(rows_of(after.select("volume_id", "status"))) == {v: "Edited" if v in (2, 5) else "Ready" for v in range(1, 7)}
+    assert dict(rows_of(errors)) == {v: "Inserted image not found: /lost.png" for v in (3, 4)}
