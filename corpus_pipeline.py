@@ -31,9 +31,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language that most of their words agree on go; a missing ``lang`` is filled in."""
+    """Documents without a language that most of their words agree on go; a missing ``lang`` is filled in.
+
+    If nothing can be learned, as when all rows lack a ``lang``, there is nothing to reject by and all documents go on unchanged.
+    """
     rows = docs.select(*COLUMNS)
     model = crf_lang.fit(rows.select("lang", "text"))
+    if model is None:
+        return rows
     known = crf_lang.identify(rows, model).filter(
         (F.col("lang_pred") != crf_lang.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SHARE)
     )

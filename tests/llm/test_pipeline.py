@@ -46,6 +46,12 @@ def test_every_stage_takes_effect(spark, docs, sf_dir):  # noqa: F811
     assert check_packing(packed, SEQUENCE) <= sum(r.length for r in packed) // SEQUENCE + 2
 
 
+def test_documents_without_any_language_go_on(spark, sf_dir):
+    rows = [(1, "the bright river and the stone", None), (2, "der Winter und die Straße", None)]
+    blank = spark.createDataFrame([(i, text, lang, "s", len(text)) for i, text, lang in rows], DOCS)
+    assert sorted(rows_of(cp.language(spark, blank, sf_dir))) == sorted(rows_of(blank))
+
+
 def test_run_applies_all_stages(spark, sf_dir, tmp_path):
     found = cp.run(spark, sf_dir).collect()
     assert found and check_packing(found, SEQUENCE)
