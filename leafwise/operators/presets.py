@@ -10,6 +10,7 @@ from leafwise.operators.edits import apply_edit_log
 from leafwise.operators.ordered import running
 from leafwise.operators.series import DEFAULT_LANGUAGE, volumes_in_scope
 from leafwise.operators.spine import INSERTED_PREFIX, SPINE_COLUMNS, VOLUME, image_ext, inserted_number, is_blank
+from leafwise.session import durable
 
 ENTRY_TYPE = "struct<kind:string,source_index:bigint,path:string,entry_id:string>"
 PRESET_TYPE = (
@@ -227,13 +228,15 @@ def apply_preset_to_scope(
     ``preset_of(series_id, preset_id)``; templates have version 1 or 2. Series metadata wins over the template's, the
     status becomes Edited. Volumes with a row in ``errors(volume_id, error)`` keep their entries and status.
     """
-    hit = volumes_in_scope(volumes, scopes).join(preset_of, "series_id").select("volume_id", "preset_id")
+    # Read by many branches below: stored, so the scopes are resolved once.
+    hit = durable(volumes_in_scope(volumes, scopes).join(preset_of, "series_id").select("volume_id", "preset_id"))
     first = presets.where(F.coalesce(F.col("preset.version") == 1, F.lit(False)))
     hit_v1 = hit.join(first.select("preset_id"), "preset_id", "left_semi").select("volume_id", "preset_id")
     hit_v2 = hit.join(first.select("preset_id"), "preset_id", "left_anti").select("volume_id", "preset_id")
     spines, errors = apply_preset_v2(spine, hit_v2, presets, files)
-    others = spines.join(hit_v1, "volume_id", "left_anti")
-    spines = others.unionByName(apply_preset_v1(spine, hit_v1, first))
+    if not hit_v1.isEmpty():
+        others = spines.join(hit_v1, "volume_id", "left_anti")
+        spines = others.unionByName(apply_preset_v1(spine, hit_v1, first))
     done = hit.select("volume_id").distinct().join(errors, "volume_id", "left_anti")
     marked = volumes.join(done.withColumn("_hit", F.lit(True)), "volume_id", "left")
     after = {
