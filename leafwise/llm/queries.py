@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwise.llm import class_lm, crf_lang, icws, line_clean, onebit, orc_ids, packing, substring, token_cache, tree_bpe
+from leafwise.llm import (
+    class_lm,
+    crf_lang,
+    filter_audit,
+    icws,
+    line_clean,
+    onebit,
+    orc_ids,
+    packing,
+    ranked_search,
+    sharding,
+    substring,
+    token_cache,
+    tree_bpe,
+)
 from leafwise.llm.encoders import tokenizer_path
 from leafwise.llm.store import shared_path
 
@@ -110,3 +124,34 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     pieces = packing.cut_pieces(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return packing.pack(pieces)
+
+
+@_query
+def op11_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of equal weight, read back from the shards' files."""
+    path = shared_path(spark, "shards")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    sharding.write_shards(docs, path, [1.0] * sharding.N_SHARDS, grown=[1.0])
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
+    return sharding.read_shards(spark, path).select("doc_id", "size", crc, "law", "shard", "slot", "grown_shard")
+
+
+LLM_ORACLES["op11_rendezvous"] = sharding.SQL
+
+
+@_query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each language, in all orders of applying them."""
+    return filter_audit.audit_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+LLM_ORACLES["op12_filter_audit"] = filter_audit.SQL
+
+
+@_query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents for every benchmark item."""
+    return ranked_search.search_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+LLM_ORACLES["op13_ranked_search"] = ranked_search.SQL

@@ -86,11 +86,14 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE) -> I
         yield batch.slice(int(a), int(b - a))
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """Find and hash the words of every text; ``lower`` folds A-Z."""
+def words_of(texts: pa.Array, lower: bool = False, solid: np.ndarray | None = None) -> Words:
+    """Find and hash the words of every text; ``lower`` folds A-Z.
+
+    ``solid`` tells for each byte value whether it belongs to words, in place of all but blanks.
+    """
     data, offsets = text_buffer(texts)
     n = len(data)
-    solid = ~_blank()[data]
+    solid = ~_blank()[data] if solid is None else solid[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     first = solid.copy()
