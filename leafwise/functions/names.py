@@ -94,15 +94,6 @@ def natural_key(name: Column) -> Column:
     return F.transform(chunks, encode)
 
 
-def natural_lead(name: Column) -> Column:
-    """A number that never falls along ``natural_key``: leading numbers below zero, texts from zero on."""
-    digits = F.regexp_extract(name, "^([0-9]+)", 1)
-    number = F.least(digits.try_cast("double"), F.lit(1e300))
-    text = F.regexp_extract(name, "^([^0-9]+)", 1)
-    head = F.rpad(F.hex(F.substring(F.encode(F.lower(text), "utf-8"), 1, 7)), 14, "0")
-    return F.when(digits != "", number / (number + 1) - 1).otherwise(F.conv(head, 16, 10).cast("double"))
-
-
 def page_number(name: Column) -> Column:
     """Last digit run of a name, or null; null too for a number beyond 64 bits."""
     runs = F.regexp_extract_all(name, F.lit("([0-9]+)"), F.lit(1))

@@ -325,7 +325,7 @@ def order_insert_points(points: DataFrame) -> DataFrame:
     down, index = -F.col("score"), F.col("insertion_index").cast("double")
     lead = F.when(suggested, down).otherwise(index)
     order = [lead, F.when(suggested, index).otherwise(down), F.col("gap_id")]
-    return ranked(shown, ["volume_id", "kind"], order, "place", lead)
+    return ranked(shown, ["volume_id", "kind"], order, "place")
 
 
 def spine_markers(points: DataFrame) -> DataFrame:

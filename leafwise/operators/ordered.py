@@ -7,8 +7,9 @@ sequence into chunks of consecutive positions and combine the chunks:
 * ``halo`` / ``with_neighbours`` copy the few rows at a chunk border into the next chunk,
   so lag, lead and short range frames need one exchange on (keys, chunk);
 * ``running`` carries sums and nearest values across chunks through a small summary table;
-* ``ranked`` and ``number_rows`` number rows along any order. Rows are bucketed by quantiles of a
-  leading number, so a group with a large share of the rows is sorted in many tasks;
+* ``ranked`` and ``number_rows`` number rows along any order. Rows are bucketed by splitters of the whole
+  sort key, group included, that come from a sample: a group with a large share of the rows takes as large a share
+  of the splitters and is sorted in that many tasks, whatever its keys have in common;
 * ``group_median`` is the exact median through value counts, on buckets of the same kind.
 
 One plan serves every group size, and building it starts no job.
@@ -21,9 +22,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafwise.functions.frames import settle
+
 CHUNK_BITS_CONF = "leafwise.chunkBits"
 DEFAULT_CHUNK_BITS = 14
 BUCKETS = 256
+SAMPLED = 16  # sampled rows for each bucket
 
 
 def chunk_bits(spark: SparkSession) -> int:
@@ -172,26 +176,47 @@ def running(
     return joined.select(*kept, *[c.alias(n) for n, c in out.items()])
 
 
-def bucketed(df: DataFrame, lead: Column, nulls_last: bool = False) -> DataFrame:
-    """Rows with ``_bucket``, ascending along the number ``lead``, of about equal size over the whole table.
+def falling(number: Column | str) -> list[Column]:
+    """Sort keys for a number from high to low, nulls last."""
+    value = F.col(number) if isinstance(number, str) else number
+    return [value.isNull(), -value]
+
 
-    The bounds are approximate quantiles from a scalar subquery: a few hundred numbers, whatever the input.
+def bucketed(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """Rows with ``_key``, the values of ``order`` as one struct, and ``_bucket``, which never falls along it.
+
+    Buckets are of about equal size over the whole table. Their bounds are sampled keys, found by a scalar subquery:
+    the keys with the smallest hashes, a number of rows that does not grow with the input. Keys are formed once a
+    row, and a binary search finds the bucket.
     """
-    shares = [k / BUCKETS for k in range(1, BUCKETS)]
-    cuts = df.select(F.percentile_approx(lead.cast("double"), shares, 10 * BUCKETS).alias("_cuts")).scalar()
-    place = F.size(F.filter("_cuts", lambda c: c < lead.cast("double")))
-    place = F.when(lead.isNull(), F.lit(BUCKETS if nulls_last else -1)).otherwise(place)
-    return df.withColumn("_cuts", cuts).withColumn("_bucket", place).drop("_cuts")
+    settled = settle(df, {"_key": F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"k{i}") for i, c in enumerate(order)])})
+    n = 1 << (max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) - 1).bit_length()
+    sample = settled.select("_key").orderBy(F.xxhash64("_key")).limit(SAMPLED * n)
+    sampled = sample.agg(F.sort_array(F.collect_list("_key")).alias("_all"), F.count(F.lit(1)).alias("_n"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda k: F.get("_all", F.floor(k * F.col("_n") / n).cast("int")))
+    cuts = sampled.select(F.when(F.col("_n") > 0, F.array_distinct(at)).alias("_cuts")).scalar()
+    steps = F.array(*[F.lit(n >> k) for k in range(1, n.bit_length())])
+    place = F.aggregate(
+        steps,
+        F.lit(0),
+        lambda found, step: F.when(F.get("_cuts", found + step - 1) < F.col("_key"), found + step).otherwise(found),
+    )
+    return settle(settled.withColumn("_cuts", cuts), {"_bucket": place}).drop("_cuts")
 
 
-def _number(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str, first: int) -> DataFrame:
-    """Dense numbers along (``_bucket``, ``order``) in each group."""
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str, first: int = 1) -> DataFrame:
+    """Dense numbers from ``first`` along ascending ``order``, which must be unique within ``keys``.
+
+    Nulls come first; ``falling`` gives the sort keys of a descending number.
+    """
+    rows = bucketed(df, [*keys, *order])
     sizes = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_key")
     return (
         rows.withColumn("_place", F.row_number().over(inside))
+        .drop("_key")
         .join(offsets, [*keys, "_bucket"])
         .withColumn(out, (F.col("_offset") + F.col("_place") - 1 + first).cast("bigint"))
         .drop("_bucket", "_offset", "_place")
@@ -201,36 +226,15 @@ def _number(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
 def number_rows(
     df: DataFrame, keys: Sequence[str], key: str, out: str, tie: Sequence[Column | str] = (), first: int = 0
 ) -> DataFrame:
-    """Dense numbers from ``first`` along the number ``key`` (then ``tie``), dense or sparse."""
-    return _number(bucketed(df, F.col(key)), keys, [key, *tie], out, first)
-
-
-def ranked(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column | str],
-    out: str,
-    lead: Column,
-    nulls_last: bool = False,
-) -> DataFrame:
-    """1-based ranks along ``order``, which must be unique within ``keys``.
-
-    ``lead`` is a number that never falls along ``order``; ``nulls_last`` tells where its nulls stand.
-    """
-    return _number(bucketed(df, lead, nulls_last), keys, order, out, 1)
+    """Dense numbers from ``first`` along ``key`` (then ``tie``), dense or sparse."""
+    return ranked(df, keys, [key, *tie], out, first)
 
 
 def ranked_with_next(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column | str],
-    out: str,
-    nexts: Mapping[str, str],
-    lead: Column,
-    nulls_last: bool = False,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str, nexts: Mapping[str, str]
 ) -> DataFrame:
     """``ranked`` plus columns of the next-ranked row: ``nexts`` maps new names to columns."""
-    rows = with_neighbours(ranked(df, keys, order, out, lead, nulls_last), keys, out, {"_behind": 1}, [*nexts.values()])
+    rows = with_neighbours(ranked(df, keys, order, out), keys, out, {"_behind": 1}, [*nexts.values()])
     return rows.withColumns({name: F.col(f"_behind.{column}") for name, column in nexts.items()}).drop("_behind")
 
 
@@ -241,7 +245,8 @@ def group_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
     that bucket's values are looked at in order.
     """
     groups = df.groupBy(*keys).agg(F.count(value).alias("_n"))
-    counts = bucketed(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")), F.col(value))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    counts = bucketed(counts, [*keys, value]).drop("_key")
     upto = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     buckets = (
         counts.groupBy(*keys, "_bucket")

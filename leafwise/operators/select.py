@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafwise.functions.scores import is_auto_safe
 from leafwise.operators.adjust import span_start
-from leafwise.operators.ordered import halo, own_rows, ranked, ranked_with_next, running
+from leafwise.operators.ordered import falling, halo, own_rows, ranked, ranked_with_next, running
 
 # Thresholds of the decisions.
 THRESHOLD = 0.53
@@ -16,20 +16,18 @@ CLUSTER_MARGIN = 0.04
 EDGE_WINDOW = 3
 
 
-def _score_order() -> list[Column]:
-    return [F.col("spread").desc(), F.col("review_score").desc(), F.col("right_name"), F.col("left_name")]
+def _score_order() -> list[Column | str]:
+    return [*falling("spread"), *falling("review_score"), "right_name", "left_name"]
 
 
 def rank_scores(scores: DataFrame) -> DataFrame:
     """``rank`` per volume by spread, review score and names."""
-    return ranked(scores, ["volume_id"], _score_order(), "rank", -F.col("spread"), nulls_last=True)
+    return ranked(scores, ["volume_id"], _score_order(), "rank")
 
 
 def review_decisions(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """auto / review / borderline / reject by score and distance to the next-ranked pair."""
-    rows = ranked_with_next(
-        scores, ["volume_id"], _score_order(), "rank", {"_next": "spread"}, -F.col("spread"), nulls_last=True
-    )
+    rows = ranked_with_next(scores, ["volume_id"], _score_order(), "rank", {"_next": "spread"})
     rows = rows.withColumn("margin_to_next", F.col("spread") - F.coalesce("_next", F.lit(0.0))).drop("_next")
     spread, review = F.col("spread"), F.col("review_score")
     decision = (
@@ -88,14 +86,8 @@ def clusters(items: DataFrame) -> DataFrame:
     ).drop("_opens")
 
 
-def _cluster_order() -> list[Column]:
-    return [
-        F.col("spread").desc(),
-        F.col("review_score").desc(),
-        F.col("span_start"),
-        F.col("right_name"),
-        F.col("left_name"),
-    ]
+def _cluster_order() -> list[Column | str]:
+    return [*falling("spread"), *falling("review_score"), "span_start", "right_name", "left_name"]
 
 
 def cluster_table(
@@ -103,15 +95,7 @@ def cluster_table(
 ) -> DataFrame:
     """Clusters with the rank and decision of each member; only a clear safe winner is auto."""
     items = clusters(candidate_items_edge(scores, threshold, threshold - 0.01, page_counts))
-    rows = ranked_with_next(
-        items,
-        ["volume_id", "cluster"],
-        _cluster_order(),
-        "rank_in_cluster",
-        {"_next": "spread"},
-        -F.col("spread"),
-        nulls_last=True,
-    )
+    rows = ranked_with_next(items, ["volume_id", "cluster"], _cluster_order(), "rank_in_cluster", {"_next": "spread"})
     rows = rows.withColumn("margin_to_next", F.col("spread") - F.coalesce("_next", F.lit(0.0))).drop("_next")
     auto = (
         (F.col("rank_in_cluster") == 1)

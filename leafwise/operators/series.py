@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from leafwise.functions.names import (
     generated_title,
     natural_key,
-    natural_lead,
-    natural_lead,
     safe_filename,
     series_title_author,
     stem,
@@ -29,7 +27,7 @@ def build_series(files: DataFrame) -> DataFrame:
     """``files(series_id, path)`` in natural order with position and inferred volume number."""
     keyed = files.withColumn("_stem", stem(F.col("path")))
     order = [natural_key(F.col("_stem")), F.col("path")]
-    placed = ranked(keyed, SERIES, order, "position", natural_lead(F.col("_stem")))
+    placed = ranked(keyed, SERIES, order, "position")
     return placed.select(
         "series_id", "path", "position", volume_number(F.col("_stem"), F.col("position")).alias("volume_number")
     )

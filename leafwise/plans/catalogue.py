@@ -102,7 +102,7 @@ def natural_order(spark, sf):
 
     rows, name = _named(spark, sf), F.col("name")
     order = [names.natural_key(name), F.col("p_partkey")]
-    placed = ranked(rows, ["p_brand"], order, "place", names.natural_lead(name))
+    placed = ranked(rows, ["p_brand"], order, "place")
     return placed.select("p_partkey", "p_brand", "place")
 
 
@@ -315,7 +315,7 @@ def volumes(spark, sf):
 
     key = F.col("o_orderkey")
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus")
-    placed = ranked(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], "position", F.unix_date(F.col("o_orderdate").cast("date")))
+    placed = ranked(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], "position")
     return placed.select(
         F.col("o_custkey").alias("series_id"),
         key.alias("volume_id"),

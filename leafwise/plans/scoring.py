@@ -402,14 +402,14 @@ final AS (
 
 def final_scores(spark, sf):
     """Pair features through every adjustment stage."""
-    # The medians, the probes and the adjustment all read the scores: stored once.
+    # The medians, the probes and the adjustment all read the scores, ranks read the outcome again: each stored once.
     context = durable(_context(spark, sf))
-    return adjust.reliability_adjustment(context, adjust.stability_from_probes(probe_scores(context)))
+    return durable(adjust.reliability_adjustment(context, adjust.stability_from_probes(probe_scores(context))))
 
 
 @query("robust_relative", f"WITH {RELIABLE_SQL} SELECT {KEY_SQL}, {r6('relative_score')} FROM relatives")
 def robust_relative(spark, sf):
-    return rounded(adjust.robust_relative(_context(spark, sf)), ["relative_score"]).select(*KEY, "relative_score")
+    return rounded(adjust.robust_relative(durable(_context(spark, sf))), ["relative_score"]).select(*KEY, "relative_score")
 
 
 _FINAL = ["spread", "review_score", "raw_spread", "stability_score", "relative_score", "reliability_penalty", "reliability_boost"]

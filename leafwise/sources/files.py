@@ -10,7 +10,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwise.functions.names import base_name, extension, natural_key, natural_lead
+from leafwise.functions.names import base_name, extension, natural_key
 from leafwise.operators.ordered import ranked
 
 # Image files a folder scan takes.
@@ -70,4 +70,4 @@ def list_image_files(spark: SparkSession, path: str) -> DataFrame:
     files = list_files(spark, path).where(extension(F.col("path")).isin(*FOLDER_EXTENSIONS))
     rows = files.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), "path")
     name = base_name(F.col("path"))
-    return ranked(rows, ["folder"], [natural_key(name), F.col("path")], "position", natural_lead(name))
+    return ranked(rows, ["folder"], [natural_key(name), F.col("path")], "position")

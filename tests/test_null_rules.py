@@ -39,14 +39,6 @@ def test_long_digit_runs(spark):
     assert rows_of(df.select(names.volume_number(F.col("name"), F.lit(3).cast("bigint"))))[2] == (3,)
 
 
-def test_natural_lead_never_falls(spark):
-    words = ["1", "2", "10", "010", "a", "a1", "b", "B2", "é", "", "9" * 400, "99 x", "Zz" * 9, "zzzzzzz1"]
-    df = spark.createDataFrame([(w,) for w in words], "name string")
-    rows = df.select(names.natural_key(F.col("name")).alias("k"), names.natural_lead(F.col("name")).alias("l")).where(F.size("k") > 0)
-    leads = [r.l for r in sorted(rows.collect(), key=lambda r: r.k)]
-    assert leads == sorted(leads)
-
-
 def test_all_is_a_whole_scope_only(spark):
     scopes = spark.createDataFrame([(1, " ALL "), (2, "all,3"), (3, "2-3,5"), (4, "9" * 30)], "series_id long, scope string")
     volumes = spark.createDataFrame([(s, n) for s in range(1, 5) for n in range(1, 7)], "series_id long, volume_number long")

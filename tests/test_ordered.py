@@ -6,6 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from leafwise.functions.names import natural_key
 from leafwise.operators import ordered
 from tests.conftest import rows_of
 
@@ -69,8 +70,7 @@ def test_ranked_with_ties_in_the_first_key(spark, monkeypatch, buckets):
     rng = random.Random(7)
     rows = [(v, rng.choice([0.0, 0.5, 1.0, None]), u) for v, n in ((1, 60), (2, 9)) for u in range(n)]
     df = spark.createDataFrame(rows, "v long, s double, u long")
-    order = [F.col("s").desc(), F.col("u")]
-    got = ordered.ranked_with_next(df, ["v"], order, "r", {"nxt": "s"}, -F.col("s"), nulls_last=True).collect()
+    got = ordered.ranked_with_next(df, ["v"], [*ordered.falling("s"), "u"], "r", {"nxt": "s"}).collect()
     for v in (1, 2):
         want = sorted((r for r in rows if r[0] == v), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
         mine = sorted((r for r in got if r.v == v), key=lambda r: r.r)
@@ -84,12 +84,32 @@ def test_a_hot_group_is_numbered_in_many_tasks(spark):
     rng = random.Random(9)
     keys = rng.sample(range(10**15), 2000)
     df = spark.createDataFrame([(1, k) for k in keys], "v long, k long")
-    sizes = [r["count"] for r in ordered.bucketed(df, F.col("k")).groupBy("_bucket").count().collect()]
+    sizes = [r["count"] for r in ordered.bucketed(df, ["v", "k"]).groupBy("_bucket").count().collect()]
     assert len(sizes) > 100 and max(sizes) < 100
     got = {r.k: r.n for r in ordered.number_rows(df, ["v"], "k", "n").collect()}
     assert got == {k: i for i, k in enumerate(sorted(keys))}
 
 
+def test_names_of_one_series_are_sorted_in_many_tasks(spark):
+    """The order of names that begin alike is decided by their ends; buckets follow the whole key."""
+    numbers = random.Random(3).sample(range(10**6), 3000)
+    names = spark.createDataFrame([(1, f"My Series Vol.{n}") for n in numbers], "series_id long, name string")
+    order = ["series_id", natural_key(F.col("name"))]
+    sizes = [r["count"] for r in ordered.bucketed(names, order).groupBy("_bucket").count().collect()]
+    assert len(sizes) > 200 and max(sizes) < 100
+    got = {r.name: r.n for r in ordered.ranked(names, ["series_id"], order[1:], "n").collect()}
+    assert got == {f"My Series Vol.{n}": i for i, n in enumerate(sorted(numbers), 1)}
+
+
+def test_ranks_of_an_empty_table_and_of_null_keys(spark):
+    df = spark.createDataFrame([(1, None, "a"), (1, 2.0, "b"), (1, None, "b"), (1, 3.0, None)], "v long, s double, n string")
+    assert ordered.ranked(df.limit(0), ["v"], ["s", "n"], "r").count() == 0
+    up = {(r.s, r.n): r.r for r in ordered.ranked(df, ["v"], ["s", "n"], "r").collect()}
+    assert up == {(None, "a"): 1, (None, "b"): 2, (2.0, "b"): 3, (3.0, None): 4}
+    down = {(r.s, r.n): r.r for r in ordered.ranked(df, ["v"], [*ordered.falling("s"), "n"], "r").collect()}
+    assert down == {(3.0, None): 1, (2.0, "b"): 2, (None, "a"): 3, (None, "b"): 4}
+
+
 @pytest.mark.parametrize("buckets", [2, 256])
 def test_median(spark, monkeypatch, buckets):
     """All sizes, a narrow distribution, and a group without any value beside the others."""
