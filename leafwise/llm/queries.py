@@ -72,7 +72,8 @@ def op3_onebit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents by tree concatenation, and what they decode to, as digests."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tree_bpe.with_digests(tree_bpe.encode_documents(docs, tokenizer_path("word_bpe_49k.json")))
+    path = tokenizer_path("word_bpe_49k.json")
+    return tree_bpe.encode_documents(docs, path, then=tree_bpe.digests, schema=tree_bpe.DIGESTS)
 
 
 @_query

@@ -11,6 +11,7 @@ wherever the cut fell, inside a word or not.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -19,10 +20,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwise.llm.encoders import ENCODE_SLICE, encoder, load
+from leafwise.llm.encoders import encoder, load
 from leafwise.llm.words import slices
 
 LEAF = 16_384  # characters of a leaf
+SLICE = 1 << 21  # bytes of text encoded at once
+CODED = "doc_id long, ids array<int>, decoded string"
+Finish = Callable[[pa.RecordBatch], pa.RecordBatch]
 WINDOW = 48  # characters on either side of a joint, doubled until both sides agree
 
 
@@ -139,29 +143,33 @@ def encode_text(text: str, path: str, leaf: int = LEAF, window: int = WINDOW) ->
     return np.concatenate(out)
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, leaf: int = LEAF) -> DataFrame:
-    """``doc_id, ids array<int>, decoded string`` of every text.
+def encode_documents(
+    docs: DataFrame, tokenizer: str, leaf: int = LEAF, then: Finish | None = None, schema: str = CODED
+) -> DataFrame:
+    """``doc_id, ids array<int>, decoded string`` of every text, or what ``then`` makes of batches of these.
 
     Texts up to ``leaf`` characters are encoded where they are read. Longer ones become leaves, dealt over all
     tasks by (document, place), and meet again by document only as ids. Null texts count as empty;
-    repeated rows give repeated results; other columns are ignored; no rows give no rows.
+    repeated rows give repeated results; other columns are ignored; no rows give no rows. ``then`` works where the
+    ids are made, so that ids and texts which only it needs are not sent on; ``schema`` names its columns.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     long = F.char_length("text") > leaf
-    schema = "doc_id long, ids array<int>, decoded string"
+    finish = then or (lambda batch: batch)
 
     def whole(batches):
         code, tokens = encoder(tokenizer), _tokens(tokenizer)
         for batch in batches:
-            for part in slices(batch, limit=ENCODE_SLICE):
+            for part in slices(batch, limit=SLICE):
                 ids, bounds = code.encode(part.column("text"))
                 cuts = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
                 decoded = [" ".join(tokens[ids[a:b]]) for a, b in cuts]
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 columns = [part.column("doc_id"), lists, pa.array(decoded, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"])
+                yield finish(pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"]))
 
-    return rows.filter(~long).mapInArrow(whole, schema).unionByName(_encode_long(rows.filter(long), tokenizer, leaf))
+    short = rows.filter(~long).mapInArrow(whole, schema)
+    return short.unionByName(_encode_long(rows.filter(long), tokenizer, leaf, finish, schema))
 
 
 @lru_cache(4)
@@ -179,7 +187,7 @@ def _numbers() -> np.ndarray:
     return np.array([str(i) for i in range(1 << 17)], object)
 
 
-def _encode_long(rows: DataFrame, tokenizer: str, leaf: int) -> DataFrame:
+def _encode_long(rows: DataFrame, tokenizer: str, leaf: int, finish: Finish, schema: str) -> DataFrame:
     parts_schema = "row long, doc_id long, segment int, place int, special int, text string"
 
     def split(batches):
@@ -198,27 +206,32 @@ def _encode_long(rows: DataFrame, tokenizer: str, leaf: int) -> DataFrame:
 
     def encode(batches):
         for batch in batches:
-            codes = [
-                (np.array([s]), np.zeros(1, np.int64), np.ones(1, np.int64)) if s >= 0 else encode_leaf(t, tokenizer)
-                for s, t in zip(batch.column("special").to_pylist(), batch.column("text").to_pylist(), strict=True)
-            ]
-            packed = pa.array([_packed(c) for c in codes], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, packed], [*batch.schema.names, "code"])
-
-    def join(group):
-        group = group.sort_values("place")
+            for part in slices(batch, limit=SLICE):
+                packed = []
+                for special, text in zip(part.column("special").to_pylist(), part.column("text"), strict=True):
+                    one = (np.array([special]), np.zeros(1, np.int64), np.ones(1, np.int64))
+                    packed.append(_packed(one if special >= 0 else encode_leaf(text.as_py(), tokenizer)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(packed, pa.binary())], [*part.schema.names, "code"])
+
+    def join(group: pa.Table) -> pa.Table:
+        group = group.sort_by("place")
+        segment, tokens = group.column("segment").to_numpy(), _tokens(tokenizer)
+        cuts = np.append(np.flatnonzero(np.diff(segment, prepend=-1)), len(segment)).tolist()
         out = []
-        for _, part in group.groupby("segment", sort=True):
-            codes = [_unpacked(c) for c in part["code"]]
-            out.append(tree(part["text"].tolist(), codes, tokenizer)[0])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            part = group.slice(a, b - a)
+            codes = [_unpacked(c.as_py()) for c in part.column("code")]
+            out.append(tree(part.column("text").to_pylist(), codes, tokenizer)[0].astype(np.int32))
         ids = np.concatenate(out)
-        decoded = load(tokenizer).decode(ids.tolist(), skip_special_tokens=False)
-        return group.iloc[:1].assign(ids=[ids.tolist()], decoded=decoded)[["doc_id", "ids", "decoded"]]
+        decoded = pa.array([" ".join(tokens[ids])], pa.string())
+        lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids))
+        row = pa.RecordBatch.from_arrays([pa.array(group.column("doc_id")[:1].to_pylist(), pa.int64()), lists, decoded], ["doc_id", "ids", "decoded"])
+        return pa.Table.from_batches([finish(row)])
 
     keyed = rows.withColumn("row", F.monotonically_increasing_id())
     parts = keyed.mapInArrow(split, parts_schema).repartition("row", "place")
     coded = parts.mapInArrow(encode, parts_schema + ", code binary")
-    return coded.groupBy("row").applyInPandas(join, "doc_id long, ids array<int>, decoded string")
+    return coded.groupBy("row").applyInArrow(join, schema)
 
 
 def _packed(code: Code) -> bytes:
@@ -240,23 +253,22 @@ def _arrow(ddl: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
 
 
-def with_digests(coded: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of encoded documents."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    def digest(batches):
-        numbers = _numbers()
-        for batch in batches:
-            lists = batch.column("ids")
-            bounds = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1].tolist()
-            flat = lists.values.to_numpy(zero_copy_only=False)
-            counts = np.diff(bounds)
-            ids = [
-                hashlib.sha256(" ".join(numbers[flat[a:b]]).encode()).hexdigest()
-                for a, b in zip(bounds[:-1], bounds[1:], strict=True)
-            ]
-            texts = [hashlib.sha256(x.encode()).hexdigest() for x in batch.column("decoded").to_pylist()]
-            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids), pa.array(texts)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return coded.mapInArrow(digest, schema)
+
+def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of a batch of encoded documents."""
+    numbers, lists = _numbers(), batch.column("ids")
+    bounds = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1].tolist()
+    flat = lists.values.to_numpy(zero_copy_only=False)
+    ids = [
+        hashlib.sha256(" ".join(numbers[flat[a:b]]).encode()).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)
+    ]
+    texts = [hashlib.sha256(x.as_py().encode()).hexdigest() for x in batch.column("decoded")]
+    columns = [batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(ids), pa.array(texts)]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def with_digests(coded: DataFrame) -> DataFrame:
+    """``digests`` of encoded documents."""
+    return coded.mapInArrow(lambda batches: map(digests, batches), DIGESTS)

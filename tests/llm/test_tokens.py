@@ -63,6 +63,8 @@ def test_tree_is_exact_wherever_it_cuts(path):
 
 def test_documents_by_tree(spark, docs, rows):
     coded = tree_bpe.with_digests(tree_bpe.encode_documents(docs, WORD, leaf=300))
+    at_once = tree_bpe.encode_documents(docs, WORD, leaf=300, then=tree_bpe.digests, schema=tree_bpe.DIGESTS)
+    assert sorted(rows_of(at_once)) == sorted(rows_of(coded))
     want = []
     for r in rows:
         ids = library(WORD, r[1])
