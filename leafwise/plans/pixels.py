@@ -79,3 +79,53 @@ def seam_features(spark, sf):
 @query("score_rasters")
 def score_rasters(spark, sf):
     return rasters.score_rasters(tall_rasters(spark, sf))
+
+
+@query(
+    "rejected_rasters",
+    f"""WITH {EMBEDDING_PAGES_SQL}
+    SELECT volume_id::BIGINT AS volume_id, page, 'raster of ' || CASE WHEN page % 10 = 0 THEN 'no' ELSE '63' END || ' bytes for 8 x 8' AS error
+    FROM embedding_pages WHERE page % 5 = 0""",
+)
+def rejected_rasters(spark, sf):
+    """Every fifth page lost its last byte, every tenth all of them."""
+    broken = F.when(F.col("page") % 10 == 0, F.lit(None).cast("binary")).when(F.col("page") % 5 == 0, F.substring("gray", 1, 63))
+    pages = small_rasters(spark, sf)
+    return rasters.rejected_rasters(pages.withColumn("gray", F.when(F.col("page") % 5 != 0, F.col("gray")).otherwise(broken)))
+
+
+@query("trimmed_probes")
+def trimmed_probes(spark, sf):
+    """Probes of all pairs of pages with white margins."""
+    pages = _framed_rasters(spark, sf)
+    return rasters.trimmed_probes(pages, rasters.score_rasters(pages).select("volume_id", "right_page", "left_page"))
+
+
+def _framed_rasters(spark, sf):
+    """48 x 48 pages; two of three have a white frame of ten pixels."""
+    inside = "(i div 48) BETWEEN 10 AND 37 AND (i % 48) BETWEEN 10 AND 37"
+    place = "(i div 48 * 7 + i % 48 * (1 + i div 480)) % 64"
+    grey = lambda x: F.floor(clamp01((x.cast("double") + 0.55) / 1.1) * 255).cast("int")
+    pages = settle(embedding_pages(spark, sf), {"_p": F.transform("embedding", grey)})
+    digits = F.expr(
+        f"transform(sequence(0, 2303), i -> CASE WHEN page % 3 = 0 OR {inside} THEN lpad(hex(_p[cast({place} as int)]), 2, '0') ELSE 'FF' END)"
+    )
+    return pages.select(
+        F.col("volume_id").cast("bigint").alias("volume_id"),
+        "page",
+        F.lit(48).alias("width"),
+        F.lit(48).alias("height"),
+        F.unhex(F.array_join(digits, "")).alias("gray"),
+    )
+
+
+_SCANNED = ("spread", "review_score", "stability_score", "relative_score")
+
+
+@query("scan_rasters")
+def scan_rasters(spark, sf):
+    """The whole scan in both reading directions."""
+    pages = _framed_rasters(spark, sf)
+    found = [rasters.scan_rasters(pages, reading).withColumn("reading", F.lit(reading)) for reading in ("rtl", "ltr")]
+    columns = ("reading", "volume_id", "right_page", "left_page", *_SCANNED, "rank", "cluster", "rank_in_cluster", "decision", "selected")
+    return rounded(found[0].unionByName(found[1]), _SCANNED).select(*columns)
