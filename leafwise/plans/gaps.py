@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from leafwise.operators import gaps
+from leafwise.operators.gaps import RATIOS
 from leafwise.plans.inputs import PAGE_FEATURES_SQL, page_features
 from leafwise.plans.registry import query
 from leafwise.plans.sqltext import c01, r6
+from leafwise.session import checkpoint_folder
+from leafwise.sources import tables
 
 DIFFERENCE = c01(
     "(abs({a}.ink_ratio - {b}.ink_ratio) * 1.7 + abs({a}.edge_density - {b}.edge_density) * 1.4"
@@ -211,3 +216,29 @@ def gap_report(spark, sf):
     return gaps.gap_report(_pages(spark, sf)).select(
         "volume_id", "gap_after_page", "gap_before_page", "label", "rank", "left_outer_missing", "right_outer_missing"
     )
+
+
+# --- files ----------------------------------------------------------------------------------------
+
+@query(
+    "gap_files",
+    f"""WITH {GAPS_SQL} SELECT volume_id, gap_after_page, gap_before_page, label, reasons,
+    {r6('safe_insert_score', 'visual_difference', 'continuity_risk')} FROM gaps""",
+)
+def gap_files(spark, sf):
+    """The gap table after writing it as gap files and reading these back."""
+    path = f"{checkpoint_folder(spark)}/files-{uuid.uuid4().hex}"
+    tables.write_gaps(gaps.gap_table(_pages(spark, sf)), path)
+    back = tables.read_table(spark, path, tables.GAP_FIELDS)
+    names = {"after_page": "gap_after_page", "before_page": "gap_before_page"}
+    reasons = F.coalesce("reasons", F.lit("")).alias("reasons")
+    scores = ("safe_insert_score", "visual_difference", "continuity_risk")
+    return back.select("volume_id", *[F.col(old).alias(new) for old, new in names.items()], "label", reasons, *scores)
+
+
+@query("feature_files", f"WITH {SCORED_PAGES_SQL} SELECT volume_id, page, {r6(*RATIOS)} FROM pages_scored")
+def feature_files(spark, sf):
+    """The page features after writing them as feature files and reading these back."""
+    path = f"{checkpoint_folder(spark)}/files-{uuid.uuid4().hex}"
+    tables.write_features(_pages(spark, sf), path)
+    return tables.read_table(spark, path, tables.FEATURE_FIELDS).select("volume_id", "page", *RATIOS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from leafwise.functions.frames import rounded
@@ -16,9 +18,10 @@ from leafwise.plans.inputs import (
     probe_scores,
     table,
 )
-from leafwise.plans.registry import query
+from leafwise.plans.registry import ORACLES, query
 from leafwise.plans.sqltext import c01, r6
-from leafwise.session import durable
+from leafwise.session import checkpoint_folder, durable
+from leafwise.sources import tables
 
 # --- pairs ----------------------------------------------------------------------------------------
 
@@ -549,3 +552,70 @@ def mutual_best_pairs(spark, sf):
         "review_score",
     )
     return rounded(select.mutual_best_pairs(scored.unionByName(swapped), 0.3), ["spread"]).select(*KEY, "spread")
+
+
+# --- score files ----------------------------------------------------------------------------------
+
+def _through(spark, rows, write, fields):
+    """The rows after writing them as score files and reading these back."""
+    path = f"{checkpoint_folder(spark)}/files-{uuid.uuid4().hex}"
+    write(rows, path)
+    back = tables.read_table(spark, path, fields)
+    names = {"right": "right_name", "left": "left_name", "start_page": "span_start"}
+    return back.withColumn("volume_id", F.col("volume_id").cast(dict(rows.dtypes)["volume_id"])).withColumnsRenamed(
+        {old: new for old, new in names.items() if old in fields}
+    )
+
+
+def _file_rows(spark, sf):
+    """Final scores with the columns that only files have."""
+    return final_scores(spark, sf).withColumn("expected", F.lit(False))
+
+
+@query("score_files", f"WITH {SELECT_SQL} SELECT {KEY_SQL}, rank, {r6(*_FINAL)} FROM ranked")
+def score_files(spark, sf):
+    back = _through(spark, select.rank_scores(_file_rows(spark, sf)), tables.write_scores, tables.SCORE_FIELDS)
+    return back.select(*KEY, "rank", *_FINAL)
+
+
+@query("review_files", ORACLES["review_decisions"])
+def review_files(spark, sf):
+    back = _through(spark, select.review_decisions(_file_rows(spark, sf)), tables.write_review, tables.REVIEW_FIELDS)
+    return back.select(*KEY, "rank", "margin_to_next", "decision")
+
+
+@query("cluster_files", ORACLES["cluster_table"])
+def cluster_files(spark, sf):
+    found = select.cluster_table(_file_rows(spark, sf), 0.53, _page_counts(spark, sf))
+    back = _through(spark, found, tables.write_clusters, tables.CLUSTER_FIELDS)
+    return back.select(*KEY, "cluster", "rank_in_cluster", "span_start", "margin_to_next", "decision")
+
+
+@query("spread_candidates", f"""WITH {SELECT_SQL}, {_EDGE_SQL}, {_cluster_sql('edge_items')}
+    SELECT volume_id::VARCHAR AS volume_id, lpad(span_start::VARCHAR, 3, '0') || '-' || lpad((span_start + 1)::VARCHAR, 3, '0') AS pair_id,
+      span_start::INT AS start_page, (span_start + 1)::INT AS end_page, {r6('spread', 'review_score')}, 'spread-continuity' AS source,
+      CASE WHEN rank_in_cluster = 1 AND spread >= 0.53 AND margin >= 0.04 AND auto_safe THEN 'auto' ELSE 'review' END
+      AS decision FROM members""")
+def spread_candidates(spark, sf):
+    """Cluster files read as candidates; half of the volumes have their columns in another order."""
+    found = select.cluster_table(_file_rows(spark, sf), 0.53, _page_counts(spark, sf)).withColumnRenamed("span_start", "start_page")
+    found = found.withColumn("end_page", F.col("start_page") + 1).withColumn("_odd", F.crc32(F.col("volume_id").cast("string").cast("binary")) % 2 == 1)
+    path = f"{checkpoint_folder(spark)}/files-{uuid.uuid4().hex}"
+    for odd, columns in ((False, tables.SPREAD_COLUMNS), (True, tables.SPREAD_COLUMNS[::-1])):
+        part = found.where(F.col("_odd") == odd).select("volume_id", *columns)
+        part.write.mode("append").partitionBy("volume_id").option("header", "true").csv(path)
+    volume = F.regexp_extract("file", "/volume_id=([^/]*)/", 1)
+    read = tables.spread_candidates(tables.read_named(spark, path, tables.SPREAD_COLUMNS).withColumn("volume", volume))
+    return rounded(read.withColumnsRenamed({"volume": "volume_id", "score": "spread"}), ["spread", "review_score"])
+
+
+@query("selected_files", f"""WITH {SELECT_SQL}, {_ITEMS_SQL}, {_cluster_sql('items')} SELECT {KEY_SQL}, {r6('spread')}
+    FROM members WHERE rank_in_cluster = 1 AND spread >= 0.53 AND margin >= 0.04 AND auto_safe""")
+def selected_files(spark, sf):
+    back = _through(spark, select.select_non_overlapping(_file_rows(spark, sf)), tables.write_selected, tables.MATCHING_FIELDS)
+    return back.select(*KEY, "spread")
+
+
+@query("matching_files", ORACLES["reliability_adjustment"])
+def matching_files(spark, sf):
+    return _through(spark, _file_rows(spark, sf), tables.write_matching, tables.MATCHING_FIELDS).select(*KEY, *_FINAL)

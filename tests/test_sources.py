@@ -10,6 +10,7 @@ from leafwise.functions import names, paths
 from leafwise.operators import package, presets
 from leafwise.operators import spine as ops
 from leafwise.sources import documents, files, tables
+from tests.conftest import rows_of
 from leafwise.streaming import events
 
 
@@ -55,6 +56,38 @@ def test_missing_csv_columns_are_listed_in_order(spark, tmp_path):
         tables.read_spread_candidates(spark, str(tmp_path / "c.csv"))
 
 
+def test_every_csv_file_has_a_header_of_its_own(spark, tmp_path):
+    """Files that order their columns differently, quote them, add others or start with a mark are read by name."""
+    files = {
+        "a": "start_page,end_page,decision,spread,review_score\n1,2,auto,0.1,0.9\n",
+        "b": "review_score,spread,note,decision,end_page,start_page\n0.8,0.2,x,review,4,3\n\n0.7,0.3,\"a, b\",auto,6,5\n",
+        "c d+e": '\ufeff"spread","start_page","end_page","decision","review_score"\r\n0.4,7,8,auto,0.6\r\n',
+        "e": "start_page,end_page,decision,spread,review_score\n",
+    }
+    for name, text in files.items():
+        (tmp_path / f"{name}.csv").write_bytes(text.encode())
+    got = tables.read_spread_candidates(spark, str(tmp_path)).select("volume", "start_page", "score", "review_score", "decision")
+    assert sorted(rows_of(got)) == [
+        ("a", 1, 0.1, 0.9, "auto"), ("b", 3, 0.2, 0.8, "review"), ("b", 5, 0.3, 0.7, "auto"), ("c d+e", 7, 0.4, 0.6, "auto"),
+    ]
+    (tmp_path / "f.csv").write_text("start_page,spread\n1,0.5\n")
+    (tmp_path / "g.csv").write_text("end_page,start_page,decision,spread\n")
+    with pytest.raises(ValueError, match="f.csv is missing .*: decision, end_page, review_score; g.csv is missing .*: review_score$"):
+        tables.read_spread_candidates(spark, str(tmp_path))
+    assert tables.files_without_columns(spark, str(tmp_path), tables.SPREAD_COLUMNS).count() == 2
+
+
+def test_written_tables_come_back(spark, tmp_path):
+    """Volume names with marks, null values, and a volume whose rows stand in several files."""
+    rows = [(v, n, 100, 90, *[0.5 if k else None for k in range(len(tables.RATIOS))]) for v in ("a+b/c d", "007", None) for n in range(40)]
+    schema = "volume_id string, page long, width long, height long, " + ", ".join(f"{r} double" for r in tables.RATIOS)
+    features = spark.createDataFrame(rows, schema)
+    tables.write_features(features, str(tmp_path / "out"))
+    got = tables.read_table(spark, str(tmp_path / "out"), tables.FEATURE_FIELDS)
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted(rows_of(got), key=key) == sorted(rows, key=key)
+
+
 def test_gap_files_round_trip(spark, tmp_path):
     gap = spark.createDataFrame(
         [("v", 1, 2, 0.1234567, "A chapter_boundary", 0.5, 0.25, ["a", "b"])],
