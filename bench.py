@@ -30,7 +30,6 @@ HEADLINES = (
     "delete_entries",
     "normalize_spine",
     "apply_preset_v2",
-    "apply_edit_log",
     "build_series",
     "validate_volumes",
     "preflight_report",

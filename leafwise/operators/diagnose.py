@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwise.functions.names import is_reviewable, pair_id
-from leafwise.operators.ordered import ranked, running
+from leafwise.operators.ordered import chunk_bits, ranked, running
 
 REVIEW_STATUSES = ("pending", "true", "false")
 # Texts of the damage reports.
@@ -237,7 +237,7 @@ def what_if_insert(
     Breaking and repairing depend only on the spreads that start at or behind the insertion index
     (see ``repair_ranges``), so suffix aggregates over one ordered pass replace the
     candidate x spread product. ``fix_count`` and ``first_fix`` describe the repaired spreads;
-    ``expand_fixes`` lists them.
+    ``with_fixes`` and ``expand_fixes`` list them. Stale gaps have no place and stay out of that pass.
     """
     damage = diagnose_damage(spine, confirmed, cover_gap)
     gaps = candidates.where(is_reviewable(F.col("label")))
@@ -250,13 +250,15 @@ def what_if_insert(
     spreads = spreads.where(F.col("_intact").isNotNull() | F.col("_fixable").isNotNull())
     points = gaps.withColumns(
         {
-            "_at": F.coalesce("insertion_index", F.lit(0)),
+            "_at": F.col("insertion_index"),
             "_intact": F.lit(None).cast("string"),
             "_fixable": F.lit(None).cast("string"),
             "_point": F.lit(0),
         }
     )
-    both = points.unionByName(spreads.withColumn("_point", F.lit(1)), allowMissingColumns=True)
+    stale = F.col("insertion_index").isNull()
+    lost = points.where(stale).drop("_at", "_intact", "_fixable", "_point")
+    both = points.where(~stale).unionByName(spreads.withColumn("_point", F.lit(1)), allowMissingColumns=True)
     seen = running(
         both,
         ["volume_id"],
@@ -265,7 +267,7 @@ def what_if_insert(
         later_sums={"fix_count": F.when(F.col("_fixable").isNotNull(), 1).otherwise(0)},
         tie=["_point"],
     ).where(F.col("_point") == 0)
-    stale = F.col("insertion_index").isNull()
+    seen = seen.unionByName(lost, allowMissingColumns=True)
     inside, broken, fixed = F.col("inside_pair"), F.col("_broken"), F.col("_fixed")
     kind = (
         F.when(stale, "stale")
@@ -302,12 +304,26 @@ def what_if_insert(
 def expand_fixes(points: DataFrame, ranges: DataFrame) -> DataFrame:
     """(volume_id, gap_id, pair_id): every spread repaired by the given suggested points.
 
-    Meant for chosen points, such as the best one of each volume: the result lists all repaired
-    spreads per point.
+    A range stands in every chunk of positions that it covers, a point in one: they meet by volume and chunk, so that
+    the result, which lists all repaired spreads of each point, is the largest table that is made.
+    """
+    bits = chunk_bits(points.sparkSession)
+    index = F.col("insertion_index")
+    chosen = points.where(F.col("kind") == "suggested").select("volume_id", "gap_id", "insertion_index", F.shiftright(index, bits).alias("_chunk"))
+    covered = F.explode(F.sequence(F.shiftright("repair_from", bits), F.shiftright("repair_to", bits)))
+    spread_out = ranges.select("volume_id", "pair_id", "repair_from", "repair_to", covered.alias("_chunk"))
+    met = chosen.join(spread_out, ["volume_id", "_chunk"])
+    return met.where(index.between(F.col("repair_from"), F.col("repair_to"))).select("volume_id", "gap_id", "pair_id")
+
+
+def with_fixes(points: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``points`` with ``fixes``, the sorted ids of the spreads that a suggested point repairs; empty for others.
+
+    A list may hold all damaged spreads of its volume. For many points of long volumes use ``expand_fixes``.
     """
-    chosen = points.where(F.col("kind") == "suggested").select("volume_id", "gap_id", "insertion_index")
-    hit = F.col("insertion_index").between(F.col("repair_from"), F.col("repair_to"))
-    return chosen.join(ranges, "volume_id").where(hit).select("volume_id", "gap_id", "pair_id")
+    lists = expand_fixes(points, ranges).groupBy("volume_id", "gap_id").agg(F.array_sort(F.collect_set("pair_id")).alias("fixes"))
+    none = F.array().cast("array<string>")
+    return points.join(lists, ["volume_id", "gap_id"], "left").withColumn("fixes", F.coalesce("fixes", none))
 
 
 def best_suggestion(points: DataFrame) -> DataFrame:

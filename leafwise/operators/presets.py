@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwise.functions.names import generated_title, padded4
-from leafwise.operators.edits import apply_edit_log
 from leafwise.operators.ordered import running
 from leafwise.operators.series import DEFAULT_LANGUAGE, volumes_in_scope
 from leafwise.operators.spine import INSERTED_PREFIX, SPINE_COLUMNS, VOLUME, image_ext, inserted_number, is_blank
@@ -59,11 +63,47 @@ def preset_meta(presets: DataFrame) -> DataFrame:
     )
 
 
+def blank_slots(count: int, positions: Iterable[int | None]) -> list[int]:
+    """Final places, ascending, of blanks put one after the other into ``count`` entries at limited positions.
+
+    The last blank stands where it was put. Every earlier one was put at a place counted without the blanks that came
+    after it: its final place is as many free places away from the start. Null positions are passed over.
+    """
+    indexes: list[int] = []
+    for position in positions:
+        if position is not None:
+            indexes.append(min(max(position, 0), count + len(indexes)))
+    taken: list[int] = []
+    for index in reversed(indexes):
+        passed = bisect_right(range(len(taken)), index, key=lambda i: taken[i] - i)
+        taken.insert(passed, index + passed)
+    return taken
+
+
+def _slots(wanted: DataFrame) -> DataFrame:
+    """``preset_id, _count, place, gap`` of the blanks of each template in volumes of each length.
+
+    ``place`` is final, ``gap`` the number of entries ahead. ``wanted`` holds ``preset_id, _count, positions``.
+    """
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                place = np.array(blank_slots(row["_count"], row["positions"] or ()), np.int64)
+                keys = [pa.array(np.full(len(place), row[k], np.int64)) for k in ("preset_id", "_count")]
+                columns = [*keys, pa.array(place), pa.array(place - np.arange(len(place)))]
+                yield pa.RecordBatch.from_arrays(columns, ["preset_id", "_count", "place", "gap"])
+
+    rows = wanted.select(F.col("preset_id").cast("long").alias("preset_id"), F.col("_count").cast("long").alias("_count"), "positions")
+    return rows.mapInArrow(fill, "preset_id long, _count long, place long, gap long")
+
+
 def apply_preset_v1(spine: DataFrame, targets: DataFrame, presets: DataFrame) -> DataFrame:
     """Drop the listed sources, then insert blanks one after the other at limited positions.
 
-    ``targets(volume_id, preset_id)``. Later blanks see the earlier ones, so they go through the
-    edit log.
+    ``targets(volume_id, preset_id)``. Where the blanks of a template end up depends on the number of entries alone, so it
+    is found once for each template and length; one ordered pass then moves the entries behind them and sizes each blank by
+    the nearest earlier page, or else the next one. Volumes without a page get no blank.
     """
     chosen = targets.join(presets.select("preset_id", "preset"), "preset_id")
     gone = chosen.select("volume_id", F.explode("preset.deleted_source_pages").alias("source_index")).distinct()
@@ -71,20 +111,32 @@ def apply_preset_v1(spine: DataFrame, targets: DataFrame, presets: DataFrame) ->
     kept = named.join(gone, ["volume_id", "source_index"], "left_anti").select(*SPINE_COLUMNS)
     dense = running(kept, VOLUME, "entry_index", sums={"_n": F.lit(1)})
     dense = dense.withColumn("entry_index", (F.col("_n") - 1).cast("bigint")).select(*SPINE_COLUMNS)
-    # Without a page to size it by, no blank is inserted.
-    paged = dense.where(~is_blank()).select("volume_id").distinct()
-    sized = chosen.join(paged, "volume_id", "left_semi")
-    log = sized.select("volume_id", F.posexplode("preset.blank_positions").alias("seq", "a")).select(
-        "volume_id",
-        F.col("seq").cast("bigint").alias("seq"),
-        F.lit("insert_blank_clamped").alias("op"),
-        "a",
-        F.lit(None).cast("bigint").alias("b"),
-        F.lit(None).cast("string").alias("path"),
-        F.lit(None).cast("bigint").alias("width"),
-        F.lit(None).cast("bigint").alias("height"),
+    sizes = dense.groupBy("volume_id").agg(F.count(F.lit(1)).alias("_count"), F.bool_or(~is_blank()).alias("_paged"))
+    sized = targets.join(sizes.where("_paged"), "volume_id").select("volume_id", "preset_id", "_count")
+    positions = presets.select("preset_id", F.col("preset.blank_positions").alias("positions"))
+    slots = _slots(sized.select("preset_id", "_count").distinct().join(positions, "preset_id"))
+    blanks = sized.join(slots, ["preset_id", "_count"]).select(
+        "volume_id", F.col("gap").alias("entry_index"), F.lit("blank").alias("kind"), "place", F.lit(0).alias("_tie")
     )
-    return apply_edit_log(dense, log)
+    both = dense.withColumn("_tie", F.lit(1)).unionByName(blanks, allowMissingColumns=True)
+    size = F.when(~is_blank(), F.struct("width", "height"))
+    new = F.col("_tie") == 0
+    seen = running(
+        both,
+        VOLUME,
+        "entry_index",
+        sums={"_shift": F.when(new, 1).otherwise(0)},
+        before={"_earlier": size},
+        after={"_next": size},
+        tie=["_tie"],
+    )
+    near = F.coalesce("_earlier", "_next")
+    found = {
+        "entry_index": F.when(new, F.col("place")).otherwise(F.col("entry_index") + F.col("_shift")).cast("bigint"),
+        "width": F.when(new, near["width"]).otherwise(F.col("width")),
+        "height": F.when(new, near["height"]).otherwise(F.col("height")),
+    }
+    return seen.select(*[found[c].alias(c) if c in found else F.col(c) for c in SPINE_COLUMNS])
 
 
 def missing_images(targets: DataFrame, presets: DataFrame, files: DataFrame) -> DataFrame:

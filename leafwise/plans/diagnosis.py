@@ -327,6 +327,24 @@ def insert_point_fixes(spark, sf):
     return diagnose.expand_fixes(diagnose.best_suggestion(points), ranges)
 
 
+@query(
+    "what_if_fixes",
+    f"""WITH {WHAT_IF}, fixed AS (SELECT volume_id, gap_id, list_sort(list(DISTINCT pair_id)) AS fixes
+        FROM tested WHERE status = 'damaged' AND intact_after GROUP BY ALL)
+    SELECT p.volume_id, p.gap_id, p.kind, p.fix_count,
+      CASE WHEN p.kind = 'suggested' THEN array_to_string(f.fixes, ' ') ELSE '' END AS fixes
+    FROM points p LEFT JOIN fixed f USING (volume_id, gap_id)""",
+)
+def what_if_fixes(spark, sf):
+    """Every insertion point with the list of spreads that it repairs."""
+    spine = stored_spine(spark, sf)
+    marked = confirmed(spine)
+    points = diagnose.what_if_insert(spine, marked, insert_gaps(spine), _gap())
+    ranges = diagnose.repair_ranges(diagnose.diagnose_damage(spine, marked, _gap()), _gap())
+    found = diagnose.with_fixes(points, ranges)
+    return found.select("volume_id", "gap_id", "kind", "fix_count", F.array_join("fixes", " ").alias("fixes"))
+
+
 @query(
     "order_insert_points",
     f"""WITH {WHAT_IF} SELECT volume_id, kind, gap_id, row_number() OVER (PARTITION BY volume_id, kind ORDER BY

@@ -172,7 +172,7 @@ def _texts(df: DataFrame, fields: Sequence[str]) -> DataFrame:
         source = named[field] if field not in kinds and field in named else field
         value = F.col(source)
         if kinds[source] == "double":
-            value = F.format_string("%.6f", value)
+            value = F.when(value.isNotNull(), F.format_string("%.6f", value))
         elif kinds[source] == "boolean":
             value = F.when(value, "yes").otherwise("no")
         return value.alias(field)

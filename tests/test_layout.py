@@ -1,12 +1,13 @@
 """Diagnosis and edits against a plain list model of a page order."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from leafwise.functions.names import pair_id
-from leafwise.operators import diagnose, edits
+from leafwise.operators import diagnose, presets
 from leafwise.operators import spine as ops
 from tests.conftest import rows_of
 
@@ -88,6 +89,8 @@ def test_what_if_equals_list_insertion(spark, seed, gap):
     fixes = {}
     for _, g, p in rows_of(diagnose.expand_fixes(points, ranges)):
         fixes.setdefault(g, set()).add(p)
+    for r in diagnose.with_fixes(points, ranges).collect():
+        assert r.fixes == sorted(fixes.get(r.gap_id, [])) and len(r.fixes) == r.fix_count
     at = {e[1]: i for i, e in enumerate(layout) if e[0] != "blank"}
     before = {c: status(layout, *c, gap) for c in confirmed}
     for a, b, _ in gaps:
@@ -133,58 +136,37 @@ def test_blanks_take_the_size_of_the_nearest_page(spark):
     assert errors == ["Blank insertion index out of range"]
 
 
-def apply(layout, log):
-    layout, used = list(layout), 0
-    for _, op, a, b, path, w, h in log:
-        n = len(layout)
-        if op == "delete_first" and n:
-            del layout[: min(a, n)]
-        elif op == "delete_last" and n:
-            del layout[max(n - a, 0) :]
-        elif op == "delete_range" and 0 <= a <= b and a < n:
-            del layout[a : b + 1]
-        elif op == "move" and a < n and b < n:
-            layout.insert(b, layout.pop(a))
-        elif op.startswith("insert_blank") and n == 0:
-            continue
-        elif op == "insert_blank" and a <= n:
-            layout.insert(a, blank(*reference_size(layout, a)))
-        elif op == "insert_blank_clamped":
-            layout.insert(min(max(a, 0), n), blank(*reference_size(layout, min(max(a, 0), n))))
-        elif op == "insert_image" and a <= n:
-            used += 1
-            layout.insert(a, ("inserted", None, f"inserted-{used:04d}", path, w, h, "png"))
-    return layout
-
-
 @pytest.mark.usefixtures("tiny_chunks")
-def test_edit_log_equals_list_edits(spark):
+def test_blanks_of_a_template_equal_list_insertion(spark):
+    """Volumes with pages, blanks and nothing left; positions before, inside and behind the entries, and null ones."""
     rng = random.Random(3)
-    volumes, logs = {}, {}
+    templates, volumes, chosen = {}, {}, []
+    for key in range(6):
+        positions = [rng.choice([None, -2, *range(14), 99]) for _ in range(rng.randint(0, 9))]
+        templates[key] = {"version": 1, "deleted_source_pages": rng.sample(range(1, 9), 3), "blank_positions": positions}
     for v in range(25):
         volumes[v] = [page(n) if rng.random() < 0.7 else blank(n, n) for n in range(1, rng.randint(2, 18))]
-        logs[v] = []
-        for seq in range(rng.randint(0, 7)):
-            op = rng.choice(["delete_range", "move", "insert_blank", "insert_blank", "insert_image", "insert_blank_clamped", "delete_first", "delete_last"])
-            a = rng.randint(1, 2) if op in ("delete_first", "delete_last") else rng.randint(0, 14)
-            logs[v].append((seq, op, a, a + rng.randint(0, 2), f"/x/{seq}.png", 7 + seq, 9 + seq))
-    log = spark.createDataFrame(
-        [(v, *command) for v, commands in logs.items() for command in commands],
-        "volume_id long, seq long, op string, a long, b long, path string, width long, height long",
-    )
-    got = entries(edits.apply_edit_log(table(spark, volumes), log))
-    for v, layout in volumes.items():
-        assert got.get(v, []) == apply(layout, logs[v]), v
-
-
-def test_commands_without_arguments_are_rejected(spark):
-    log = spark.createDataFrame(
-        [(1, 1, "insert_image", 0, None, None, 1, 1), (1, 2, "move", 0, None, None, None, None), (1, 3, None, 0, 0, None, None, None),
-         (1, 4, "delete_first", 5, None, None, None, None), (1, 5, "insert_blank", 0, None, None, None, None)],
-        "volume_id long, seq long, op string, a long, b long, path string, width long, height long",
-    )
-    errors = dict(rows_of(edits.rejected_commands(table(spark, {1: [page(1), page(2)]}), log).select("seq", "error")))
-    assert set(errors) == {1, 2, 3, 5} and errors[5] == "Cannot insert blank page into an empty layout"
+        chosen.append((v, v % 6))
+    texts = spark.createDataFrame([(k, json.dumps(t)) for k, t in templates.items()], "preset_id long, json string")
+    targets = spark.createDataFrame(chosen[:-1], "volume_id long, preset_id long")
+    got = entries(presets.apply_preset_v1(table(spark, volumes), targets, presets.parse_presets(texts)))
+    for v, key in chosen[:-1]:
+        layout = [e for e in volumes[v] if e[1] not in templates[key]["deleted_source_pages"]]
+        for position in templates[key]["blank_positions"] if any(e[0] != "blank" for e in layout) else []:
+            if position is not None:
+                at = min(max(position, 0), len(layout))
+                layout.insert(at, blank(*reference_size(layout, at)))
+        assert got.get(v, []) == layout, v
+    assert chosen[-1][0] not in got
+
+
+def test_a_template_with_many_blanks():
+    rng = random.Random(4)
+    positions = [rng.randint(0, 30_000) for _ in range(10_000)]
+    layout = [False] * 500
+    for p in positions:
+        layout.insert(min(p, len(layout)), True)
+    assert presets.blank_slots(500, positions) == [i for i, new in enumerate(layout) if new]
 
 
 @pytest.mark.usefixtures("tiny_chunks")
