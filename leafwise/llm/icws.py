@@ -106,9 +106,15 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def weights(hashes: np.ndarray, counts: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """TF-IDF weights; idf is 1 for what is as rare as the sketch can tell and 0 for what is in every cell."""
-    seen = np.min([sketch[row][_cells(hashes, row)] for row in range(len(sketch))], axis=0)
-    idf = np.log((sketch[0].sum() + 1) / (seen + 1)) / np.log(1 << SKETCH_BITS)
+    """TF-IDF weights: idf is 1 for a shingle of one document and 0 for one that makes up all there are.
+
+    What other shingles add to a cell on the average is taken off it, so that rare shingles keep the idf of rare ones however
+    many shingles share a cell.
+    """
+    total = int(sketch[0].sum())
+    cells = np.stack([sketch[row][_cells(hashes, row)] for row in range(len(sketch))])
+    seen = (cells - (total - cells) / (sketch.shape[1] - 1)).min(axis=0)
+    idf = 1 - np.log(np.maximum(seen, 1)) / np.log(max(total, 2))
     return counts * (1 + IDF_SHARE * np.clip(idf, 0, 1))
 
 

@@ -145,6 +145,20 @@ def test_near_duplicate_edge_cases(spark):
     assert sorted(rows_of(found), key=str) == sorted([(None, None), (5, 4), (5, 4), (4, 4), (7, 7), (8, 8), (9, 9)], key=str)
 
 
+def test_weights_do_not_fade_with_the_number_of_shingles():
+    """A shingle of one document keeps its weight when a thousand times as many shingles share the cells as there are cells."""
+    rng = np.random.default_rng(5)
+    rare, common = np.array([1, 2, 3], np.uint64) * np.uint64(977), np.array([4], np.uint64)
+    width = 1 << icws.SKETCH_BITS
+    for load in (0, 1, 1000):
+        sketch = rng.poisson(load, (icws.SKETCH_ROWS, width)) if load else np.zeros((icws.SKETCH_ROWS, width), int)
+        for row in range(icws.SKETCH_ROWS):
+            np.add.at(sketch[row], icws._cells(rare, row), 1)
+            sketch[row][icws._cells(common, row)] += load * width // 10 + 1000
+        assert (icws.weights(rare, np.ones(3), sketch) > 1 + 0.7 * icws.IDF_SHARE).all()
+        assert icws.weights(common, np.ones(1), sketch)[0] < 1 + 0.2 * icws.IDF_SHARE
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 140)]
