@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwise.llm.words import Words, mix, slices, words_of
@@ -21,7 +21,8 @@ from leafwise.llm.words import Words, mix, slices, words_of
 BUCKETS = 1 << 17
 UNKNOWN = "und"
 DOCS_PER_LANG = 150  # labelled documents used for each language
-MAX_BYTES = 1 << 16  # longer labelled documents are not drawn
+MAX_BYTES = 1 << 16  # longer labelled documents are drawn last and cut to as many characters
+MOST_KEYS = 100_000  # chosen texts whose keys are sent to all tasks (about 3 MB)
 SPAN = 15  # mean words of a span in the code-switched training sequences
 LEXICON_COUNT = 3  # times a word must be seen in a language to enter its lexicon
 STEPS = 60
@@ -139,16 +140,23 @@ def posteriors(
 
 
 def draw(labelled: DataFrame, per_lang: int, seed: int) -> pd.DataFrame:
-    """At most ``per_lang`` documents of each language, by a hash of their content."""
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= MAX_BYTES))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    """At most ``per_lang`` different texts of each language, the first by a hash of their content.
+
+    Equal texts of a language count as one, so a group of copies fills one place. Texts over ``MAX_BYTES`` are
+    drawn only where a language has too few others, and learned from up to that many characters. Keys are chosen without
+    the texts; only the chosen texts are fetched.
+    """
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = rows.select("lang", "text", F.xxhash64("text", F.lit(seed)).alias("order"))
+    keys = rows.groupBy("lang", "order").agg((F.min(F.octet_length("text")) > MAX_BYTES).alias("long"))
+    first = Window.partitionBy("lang").orderBy("long", "order")
+    chosen = keys.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_lang).select("lang", "order").collect()
+    if not chosen:
         return pd.DataFrame({"lang": [], "text": []})
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * per_lang / n))])
-    order = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30))
-    drawn = rows.select("lang", "text", order.alias("order")).filter(F.col("order") < share[F.col("lang")] * (1 << 30))
-    frame = drawn.limit(4 * per_lang * len(counts)).toPandas()
-    return frame.sort_values(["lang", "order", "text"]).groupby("lang").head(per_lang)[["lang", "text"]]
+    wanted = labelled.sparkSession.createDataFrame(chosen, "lang string, order long")
+    wanted = F.broadcast(wanted) if len(chosen) <= MOST_KEYS else wanted
+    found = rows.join(wanted, ["lang", "order"]).groupBy("lang", "order").agg(F.min(F.substring("text", 1, MAX_BYTES)).alias("text"))
+    return found.toPandas().sort_values(["lang", "order"], ignore_index=True)[["lang", "text"]]
 
 
 def fit(labelled: DataFrame, per_lang: int = DOCS_PER_LANG, seed: int = 7) -> Model | None:

@@ -188,6 +188,18 @@ def test_held_out_accuracy_and_code_switching(spark):
     assert len(labels) == 60 and sum(a == b for a, b in zip(labels, truth, strict=True)) >= 56
 
 
+def test_the_sample_takes_copies_once_and_long_texts_at_need(spark, monkeypatch):
+    monkeypatch.setattr(crf_lang, "MAX_BYTES", 200)
+    rng = random.Random(5)
+    rows = [(i, "a copy of one text", "en") for i in range(300)] + [(400 + i, f"other text {i}", "en") for i in range(30)]
+    rows += [(500 + i, prose(rng, 100, "de"), "de") for i in range(4)] + [(600, "kurz und gut", "de"), (700, None, "fr"), (701, "x", None)]
+    drawn = crf_lang.draw(frame(spark, rows).repartition(3), 8, 1)
+    counts = drawn.groupby("lang").size().to_dict()
+    assert counts == {"de": 5, "en": 8} and drawn["text"].is_unique and drawn["text"].str.len().max() == 200
+    again = crf_lang.draw(frame(spark, rows[::-1]).repartition(2), 8, 1)
+    assert drawn.equals(again)
+
+
 def test_identification_edge_cases(spark, docs, rows):
     model = crf_lang.fit(docs)
     found = crf_lang.identify(clashing(docs), model)
