@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwise.llm.words import Words, mix, slices, text_buffer, windows_of, words_of
+from leafwise.llm.words import Words, mix, slices, tidy, text_buffer, windows_of, words_of
 
 WINDOW = 13
 ROWS = 2
@@ -120,10 +120,10 @@ def merged_sketch(docs: DataFrame, size: int, bits: int) -> list[np.ndarray]:
             {"row": pa.array([now[0]], pa.int32()), "part": pa.array([now[1]], pa.int32()), "cells": pa.array(cells, pa.binary())}
         )
 
-    partial = docs.select("text").mapInArrow(sketch, "row int, part int, once binary, twice binary")
+    partial = docs.select("text").mapInArrow(tidy(sketch), "row int, part int, once binary, twice binary")
     shards = partial.repartition("row", "part").sortWithinPartitions("row", "part")
     out = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(ROWS)]
-    for found in shards.mapInArrow(merge, "row int, part int, cells binary").toLocalIterator(prefetchPartitions=True):
+    for found in shards.mapInArrow(tidy(merge), "row int, part int, cells binary").toLocalIterator(prefetchPartitions=True):
         cells = np.frombuffer(found["cells"], np.uint8)
         low = found["part"] << (inner - 3)
         out[found["row"]][low : low + len(cells)] = cells
@@ -221,9 +221,9 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW, bits: int | None = Non
     kinds = "bucket long, ids binary, sizes binary, spots binary"
     names = ["shard", "h", "g", "places", *out]
     schema = "shard long, h binary, g binary, places binary, " + kinds
-    packed = docs.filter("doc_id IS NOT NULL").mapInArrow(candidates, schema)
-    settled = packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(resolve, kinds)
-    return settled.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "doc_id long, spots array<binary>")
+    packed = docs.filter("doc_id IS NOT NULL").mapInArrow(tidy(candidates), schema)
+    settled = packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(tidy(resolve), kinds)
+    return settled.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(gather), "doc_id long, spots array<binary>")
 
 
 def _only(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
@@ -334,7 +334,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, bits: int | None = None,
                 columns += [pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, [*kept, *added])
 
-    return both.select(*[f"`{c}`" for c in kept], "__at").mapInArrow(remove, schema)
+    return both.select(*[f"`{c}`" for c in kept], "__at").mapInArrow(tidy(remove), schema)
 
 
 def with_digest(cleaned: DataFrame) -> DataFrame:

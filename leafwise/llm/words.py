@@ -7,6 +7,7 @@ equal hashes, and different words collide with a chance of about 2^-64 a pair.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -30,6 +31,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def tidy(fn):
+    """A batch function that hands freed memory back to the system at its end: workers outlive their tasks and share a machine."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 class Words(NamedTuple):
     """Words of a run of documents: byte ranges in ``data``, hashes, and each document's word range."""
 
