@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwise.llm.store import scratch, stored
-from leafwise.llm.words import Words, mix, slices, words_of
+from leafwise.llm.words import Words, mix, slices, tidy, words_of
 
 WORD_UNITS = 512  # of the coarse classes
 ENDING_UNITS = 255
@@ -37,10 +37,11 @@ CELLS = 1 << 23  # numbers held at once while words are compared with classes
 MANY = 32  # cells from which a word's are laid out by all classes
 ROUNDS = 8
 HEAD = 1 << 18  # most frequent words whose counts every task holds; all others are joined
-FLUSH = 1 << 22  # tokens counted before a partition hands out what it has
+FLUSH = 1 << 21  # tokens counted before a partition hands out what it has
 PRIOR = 0.5  # added to every class transition
 OUT_ROWS = 1 << 16
-CELL = np.dtype([("key", "<u2"), ("n", "<u4")])
+LINE = 1 << 18  # words of a stored line
+CELL = np.dtype([("key", "<u4"), ("n", "<u4")])
 
 
 class Units(NamedTuple):
@@ -99,6 +100,7 @@ def _types(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def count_words(docs: DataFrame) -> DataFrame:
     """``h, c, ending``: how often each word stands in all texts; partitions count their own words first."""
 
+    @tidy
     def count(batches):
         held: list[tuple] = []
         n = 0
@@ -136,6 +138,7 @@ def count_bigrams(docs: DataFrame, units: Units) -> np.ndarray:
     """How often each unit follows each other one, over all texts with their ends."""
     size = units.size
 
+    @tidy
     def count(batches):
         total = np.zeros(size * size, np.int64)
         for batch in batches:
@@ -203,62 +206,166 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
     return class_of
 
 
-def word_pairs(docs: DataFrame, head: np.ndarray) -> DataFrame:
-    """``a, b, n``: how often words follow one another, counted by each partition for itself.
+def _coded(names: np.ndarray) -> bytes:
+    """Names from -1 on as bytes, all lowest bytes first: the highest ones are nearly all zero and pack well."""
+    return (names + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    A word of ``head`` is its place there plus one, any other word its hash, and 0 the end of a text.
+
+def _decoded(lines: pa.Array) -> Iterator[np.ndarray]:
+    for value in lines:
+        planes = np.frombuffer(value.as_buffer(), np.uint8).reshape(4, -1)
+        yield np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64) - 1
+
+
+def _named(words: Words, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names of all words with a 0 ahead of, between and behind the texts; places of words without one, their hashes and endings.
+
+    A word of ``head`` is its place there plus one, any other word -1, and 0 the end of a text.
     """
+    codes, hashes, endings = _types(words)
+    names = _looked_up(head, np.arange(1, len(head) + 1), hashes, -1)
+    line = np.append(0, np.insert(names[codes], words.bounds[1:], 0))
+    rare = np.flatnonzero(names[codes] < 0)
+    at = 1 + rare + np.searchsorted(words.bounds[1:], rare, "right")
+    return line, at, hashes[codes[rare]].view(np.int64), endings[codes[rare]]
 
-    def count(batches):
-        held: list[np.ndarray] = []
-        n = 0
+
+def word_lines(docs: DataFrame, head: np.ndarray) -> DataFrame:
+    """``line``: the names of the words of some texts, see ``_named``, as bytes."""
+
+    @tidy
+    def name(batches):
         for batch in batches:
             for rows in slices(batch):
-                words = words_of(rows.column("text"), lower=True)
-                codes, hashes = pd.factorize(words.hashes)
-                names = _looked_up(head, np.arange(1, len(head) + 1), hashes, hashes.view(np.int64))
-                held.append(np.insert(names[codes], words.bounds[1:], 0))
-                n += len(held[-1])
-                if n >= FLUSH:
-                    yield from flush(held)
-                    held, n = [], 0
-        if n:
-            yield from flush(held)
+                line = _named(words_of(rows.column("text"), lower=True), head)[0]
+                for at in range(0, len(line) - 1, LINE):  # a line begins with the last name of the one before
+                    yield pa.RecordBatch.from_arrays([pa.array([_coded(line[at : at + LINE + 1])], pa.binary())], ["line"])
+
+    return docs.select("text").mapInArrow(name, "line binary")
 
-    def flush(held):
-        codes, names = pd.factorize(np.concatenate(held))
-        end = np.flatnonzero(names == 0)[0]
-        both, n = np.unique(np.append(end, codes[:-1]) * len(names) + codes, return_counts=True)
-        columns = names[both // len(names)], names[both % len(names)], n
-        for at in range(0, len(n), OUT_ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + OUT_ROWS]) for x in columns], ["a", "b", "n"])
 
-    return docs.select("text").mapInArrow(count, "a long, b long, n long")
+def rare_words(docs: DataFrame, head: np.ndarray, units: Units, coarse: np.ndarray, split: int) -> DataFrame:
+    """One row ``h, ending, beside, after, met, cls`` for each word outside ``head``, with its first class.
 
+    ``beside`` holds the names on both sides of every occurrence (left << 32 | right, each plus one), ``after`` the hashes
+    of following words outside the head; ``met`` is true when such a word stands before it somewhere. A word outside the
+    head makes up less than one part in ``HEAD`` of all tokens.
+    """
 
-def _packed(w: np.ndarray, key: np.ndarray, n: np.ndarray, keys: int) -> Iterator[pa.RecordBatch]:
+    @tidy
+    def find(batches):
+        for batch in batches:
+            for rows in slices(batch):
+                line, at, hashes, endings = _named(words_of(rows.column("text"), lower=True), head)
+                sides = (line[at - 1] + 1) << 32 | (line[at + 1] + 1)
+                follows = np.append(at[1:] == at[:-1] + 1, False) if len(at) else np.zeros(0, bool)
+                after = pa.array(np.append(hashes[1:], 0)[: len(at)], mask=~follows)
+                columns = [pa.array(hashes), pa.array(endings.astype(np.int32)), pa.array(sides), after]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "ending", "sides", "after"])
+
+    def begin(batches):
+        for batch in batches:
+            hashes = batch.column("h").to_numpy().view(np.uint64)
+            cls = _first_class(hashes, batch.column("ending").to_numpy(), units, coarse, split)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cls.astype(np.int32))], [*batch.schema.names, "cls"])
+
+    found = docs.select("text").mapInArrow(find, "h long, ending int, sides long, after long")
+    grouped = found.groupBy("h").agg(
+        F.min("ending").alias("ending"),
+        F.collect_list("sides").alias("beside"),
+        F.collect_list("after").alias("after"),
+        F.bool_or(F.col("sides") < 1 << 32).alias("met"),
+    )
+    return grouped.mapInArrow(begin, "h long, ending int, beside array<long>, after array<long>, met boolean, cls int")
+
+
+def _first_class(hashes: np.ndarray, endings: np.ndarray, units: Units, coarse: np.ndarray, split: int) -> np.ndarray:
+    """The parts of a coarse class begin with words by their hashes."""
+    kind = coarse[units.of(hashes, endings)]
+    return 1 + (kind - 1) * split + (hashes >> np.uint64(40)).astype(np.int64) % split
+
+
+def _beside(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, and name to the left and to the right, of each occurrence of a batch of ``rare_words``."""
+    lists = batch.column("beside")
+    row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+    sides = lists.flatten().to_numpy()
+    return row, (sides >> 32) - 1, (sides & 0xFFFFFFFF) - 1
+
+
+def _meetings(rare: DataFrame) -> DataFrame:
+    """``a, b, left, right``: words outside the head that stand one behind the other, and their classes."""
+    first = rare.select(F.col("h").alias("a"), F.col("cls").alias("left"), F.explode("after").alias("b"))
+    return first.join(rare.filter("met").select(F.col("h").alias("b"), F.col("cls").alias("right")), "b")
+
+
+def class_pairs(lines: DataFrame, rare: DataFrame, head_class: np.ndarray, classes: int) -> np.ndarray:
+    """How often each class follows each other one."""
+    schema = "pair long, n long"
+
+    def counted(parts):
+        total = np.zeros(classes * classes, np.int64)
+        for left, right in parts:
+            total += np.bincount(left * classes + right, minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["pair", "n"])
+
+    @tidy
+    def inside(batches):
+        def parts():
+            for batch in batches:
+                for line in _decoded(batch.column("line")):
+                    both = (line[:-1] >= 0) & (line[1:] >= 0)
+                    yield head_class[line[:-1][both]], head_class[line[1:][both]]
+
+        return counted(parts())
+
+    @tidy
+    def beside(batches):
+        def parts():
+            for batch in batches:
+                row, left, right = _beside(batch)
+                cls = batch.column("cls").to_numpy().astype(np.int64)[row]
+                yield head_class[left[left >= 0]], cls[left >= 0]
+                yield cls[right >= 0], head_class[right[right >= 0]]
+
+        return counted(parts())
+
+    met = _meetings(rare).groupBy((F.col("left").cast("long") * classes + F.col("right")).alias("pair")).agg(F.count("*").alias("n"))
+    pairs = lines.mapInArrow(inside, schema).unionByName(rare.select("beside", "cls").mapInArrow(beside, schema)).unionByName(met)
+    found = pairs.groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # at most classes^2 rows
+    out = np.zeros(classes * classes)
+    out[found["pair"].to_numpy(int)] = found["n"].to_numpy(int)
+    return out.reshape(classes, classes)
+
+
+def _summed(row: np.ndarray, key: np.ndarray, keys: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of row and key in order, and how often each stands there."""
+    both = np.sort(row * keys + key)
+    starts = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
+    return both[starts] // keys, both[starts] % keys, np.diff(np.append(starts, len(both)))
+
+
+def _packed(w: np.ndarray, key: np.ndarray, keys: int) -> Iterator[pa.RecordBatch]:
     """One row for each word with its summed cells as bytes."""
-    codes, names = pd.factorize(w)
-    both, at = np.unique(codes * keys + key, return_inverse=True)
-    cells = np.zeros(len(both), CELL)
-    cells["key"], cells["n"] = both % keys, np.bincount(at, n, len(both))
-    bounds = np.searchsorted(both, np.arange(len(names) + 1) * keys) * CELL.itemsize
+    words, key, n = _summed(w, key, keys)
+    cells = np.empty(len(words), CELL)
+    cells["key"], cells["n"] = key, n
+    firsts = np.flatnonzero(np.append(True, words[1:] != words[:-1])) if len(words) else np.zeros(0, np.int64)
+    bounds = np.append(firsts, len(words)) * CELL.itemsize
     data = cells.tobytes()
-    for low in range(0, len(names), OUT_ROWS):
+    for low in range(0, len(firsts), OUT_ROWS):
         part = bounds[low : low + OUT_ROWS + 1]
         offsets = pa.py_buffer((part - part[0]).astype(np.int32))
         blobs = pa.Array.from_buffers(pa.binary(), len(part) - 1, [None, offsets, pa.py_buffer(data[part[0] : part[-1]])])
-        yield pa.RecordBatch.from_arrays([pa.array(names[low : low + len(part) - 1]), blobs], ["w", "cells"])
+        yield pa.RecordBatch.from_arrays([pa.array(words[firsts[low : low + OUT_ROWS]]), blobs], ["w", "cells"])
 
 
-def neighbours(pairs: DataFrame, named: DataFrame, head_class: np.ndarray, classes: int) -> DataFrame:
-    """The rows of ``named(w, h, c, ending, cls)`` and of the end with ``cells``, the counts by class of what follows
-    (key ``class``) and of what stands before (key ``classes + class``).
-
-    Classes of head words are looked up where pairs are read, those of other words come by a join; no such word is
-    frequent, so the join has no hot keys.
+def neighbours(lines: DataFrame, rare: DataFrame, head_class: np.ndarray, free: np.ndarray, classes: int) -> DataFrame:
+    """``w, cells`` of the ``free`` words of the head: the counts by class of what follows (key ``class``) and of what
+    stands before (key ``classes + class``).
     """
-    keys, known = 2 * classes, len(head_class)
+    keys = 2 * classes
 
     def packed(parts):
         held: list[tuple] = []
@@ -272,104 +379,139 @@ def neighbours(pairs: DataFrame, named: DataFrame, head_class: np.ndarray, class
         if n:
             yield from _packed(*(np.concatenate(x) for x in zip(*held, strict=True)), keys)
 
-    def looked_up(batches):
+    @tidy
+    def inside(batches):
         def parts():
             for batch in batches:
-                a, b, n = (x.to_numpy() for x in batch.columns)
-                for side, (w, other) in enumerate(((a, b), (b, a))):
-                    hit = np.flatnonzero((other >= 0) & (other < known))
-                    yield w[hit], side * classes + head_class[other[hit]], n[hit]
+                for line in _decoded(batch.column("line")):
+                    both = (line[:-1] >= 0) & (line[1:] >= 0)
+                    left, right = line[:-1][both], line[1:][both]
+                    for side, (w, other) in enumerate(((left, right), (right, left))):
+                        yield w[free[w]], side * classes + head_class[other[free[w]]]
 
         return packed(parts())
 
-    def joined(batches):
-        return packed(tuple(x.to_numpy() for x in batch.columns) for batch in batches)
+    @tidy
+    def beside(batches):
+        def parts():
+            for batch in batches:
+                row, *sides = _beside(batch)
+                cls = batch.column("cls").to_numpy().astype(np.int64)[row]
+                for side, w in enumerate(sides):
+                    hit = np.flatnonzero(w >= 0)
+                    hit = hit[free[w[hit]]]
+                    yield w[hit], side * classes + cls[hit]
+
+        return packed(parts())
 
     schema = "w long, cells binary"
-    rare = lambda name: ~F.col(name).between(0, known - 1)
-    after = pairs.filter(rare("b")).select(F.col("a").alias("v"), F.col("b").alias("w"), F.lit(0).alias("side"), "n")
-    before = pairs.filter(rare("a")).select(F.col("b").alias("v"), F.col("a").alias("w"), F.lit(classes).alias("side"), "n")
-    tail = after.unionByName(before).join(named.filter(rare("w")).select("w", "cls"), "w")
-    tail = tail.select(F.col("v").alias("w"), (F.col("side") + F.col("cls")).cast("long").alias("key"), "n")
-    cells = pairs.mapInArrow(looked_up, schema).unionByName(tail.mapInArrow(joined, schema))
-    return cells.groupBy("w").agg(F.collect_list("cells").alias("cells")).join(named, "w", "left").select(
-        "w", "h", "c", "ending", F.coalesce("cls", F.lit(0)).alias("cls"), "cells"
-    )
+    cells = lines.mapInArrow(inside, schema).unionByName(rare.select("beside", "cls").mapInArrow(beside, schema))
+    return cells.groupBy("w").agg(F.collect_list("cells").alias("cells"))
 
 
-def _cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, key and count of each cell of a batch."""
+def _cells(batch: pa.RecordBatch, keys: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, key and count of each cell of a batch of ``neighbours``, in this order and summed over partitions."""
     lists = batch.column("cells")
     blobs = lists.flatten()
     row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
     row = np.repeat(row, pc.binary_length(blobs).to_numpy() // CELL.itemsize)
     cells = np.frombuffer(b"".join(blobs.to_pylist()), CELL)
-    return row, cells["key"].astype(np.int64), cells["n"].astype(np.int64)
+    both = row * keys + cells["key"].astype(np.int64)
+    order = np.argsort(both)
+    both = both[order]
+    starts = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+    return both[starts] // keys, both[starts] % keys, np.add.reduceat(cells["n"][order].astype(np.int64), starts)
 
 
-def class_pairs(near: DataFrame, classes: int) -> np.ndarray:
-    """How often each class follows each other one."""
+class Fit:
+    """Finds the class in which the neighbours of words are likeliest, each word itself not counted."""
 
-    def count(batches):
-        total = np.zeros(classes * classes, np.int64)
+    def __init__(self, n: np.ndarray):
+        classes = len(n)
+        self.counts = np.concatenate([n.T, n])  # by key and class
+        self.sides = np.concatenate([np.broadcast_to(x, n.shape) for x in (n.sum(axis=1), n.sum(axis=0))])
+        self.smooth = PRIOR * classes
+        self.fit = np.log((self.counts + PRIOR) / (self.sides + self.smooth)).astype(np.float32)
+
+    def best(self, was: np.ndarray, c: np.ndarray, row: np.ndarray, key: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """The classes of words that are in ``was`` and seen ``c`` times, from their cells in the order of ``row``; words without cells stay."""
+        fit, classes = self.fit, self.fit.shape[1]
+        own = np.maximum(self.counts[key, was[row]] - m, 0) + PRIOR
+        own /= np.maximum(self.sides[key, was[row]] - c[row], 0) + self.smooth
+        stays = np.bincount(row, m * np.log(own), len(was))
+        bounds, best = np.searchsorted(row, np.arange(len(was) + 1)), was.copy()
+        size = np.diff(bounds)
+        for many in (False, True):
+            chosen = np.flatnonzero((size > 0) & ((size >= MANY) == many))
+            step = max(1, CELLS // classes // (2 if many else MANY))
+            for low in range(0, len(chosen), step):
+                part = chosen[low : low + step]
+                at = np.repeat(bounds[part] - np.cumsum(size[part]) + size[part], size[part]) + np.arange(size[part].sum())
+                if many:
+                    place = np.repeat(np.arange(len(part)), size[part]) * len(fit) + key[at]
+                    scores = np.bincount(place, m[at], len(part) * len(fit)).astype(np.float32).reshape(-1, len(fit)) @ fit
+                else:
+                    firsts = np.cumsum(size[part]) - size[part]
+                    scores = np.add.reduceat(fit[key[at]] * m[at, None].astype(np.float32), firsts)
+                scores[:, 0] = -np.inf  # the end's own
+                mine, now = np.arange(len(part)), was[part]
+                scores[mine, now] = stays[part]
+                top = scores.argmax(axis=1)
+                best[part] = np.where(scores[mine, top] > stays[part] + 1e-4, top, now)
+        return best
+
+
+def moved_head(lines: DataFrame, rare: DataFrame, head_class: np.ndarray, seen: np.ndarray, free: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Classes of the head after its ``free`` words have moved; ``seen`` is how often each word stands."""
+    spark = lines.sparkSession
+    shared = spark.sparkContext.broadcast((n, head_class, seen))
+
+    @tidy
+    def move(batches):
+        n, head_class, seen = shared.value
+        fit = Fit(n)
         for batch in batches:
-            row, key, n = _cells(batch)
-            after = key < classes
-            at = batch.column("cls").to_numpy()[row[after]] * classes + key[after]
-            total += np.bincount(at, n[after], classes * classes).astype(np.int64)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["pair", "n"])
-
-    counted = near.select("cls", "cells").mapInArrow(count, "pair long, n long")
-    found = counted.groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # at most classes^2 rows
-    out = np.zeros(classes * classes)
-    out[found["pair"].to_numpy(int)] = found["n"].to_numpy(int)
-    return out.reshape(classes, classes)
+            w = batch.column("w").to_numpy()
+            cls = fit.best(head_class[w], seen[w], *_cells(batch, 2 * len(n)))
+            yield pa.RecordBatch.from_arrays([batch.column("w"), pa.array(cls)], ["w", "cls"])
 
+    found = neighbours(lines, rare, head_class, free, len(n)).mapInArrow(move, "w long, cls long").toPandas()  # at most HEAD rows
+    out = head_class.copy()
+    out[found["w"].to_numpy(int)] = found["cls"].to_numpy(int)
+    return out
 
-def moved(near: DataFrame, n: np.ndarray, turn: int) -> DataFrame:
-    """``w, h, c, ending, cls`` with the class in which each word's neighbours are likeliest, itself not counted.
 
-    Words whose hash is even stay in odd turns, the others in even ones.
-    """
-    shared = near.sparkSession.sparkContext.broadcast(n)
+def moved_rare(rare: DataFrame, head_class: np.ndarray, n: np.ndarray, turn: int) -> DataFrame:
+    """``rare`` after the words that are free in this turn have moved. Most meet only words of the head and move where they are."""
+    classes = len(n)
+    shared = rare.sparkSession.sparkContext.broadcast((n, head_class))
 
+    @tidy
     def move(batches):
-        n = shared.value
-        classes = len(n)
-        left, right = n.sum(axis=1), n.sum(axis=0)
-        counts = np.concatenate([n.T, n])  # by key and class
-        sides = np.concatenate([np.broadcast_to(x, n.shape) for x in (left, right)])
-        fit = np.log((counts + PRIOR) / (sides + PRIOR * classes)).astype(np.float32)
+        n, head_class = shared.value
+        fit = Fit(n)
         for batch in batches:
-            row, key, m = _cells(batch)
-            was, c = batch.column("cls").to_numpy().astype(np.int64), batch.column("c").to_numpy()
-            own = np.maximum(counts[key, was[row]] - m, 0) + PRIOR
-            own /= np.maximum(sides[key, was[row]] - c[row], 0) + PRIOR * classes
-            stays = np.bincount(row, m * np.log(own), len(was))
-            bounds, best = np.searchsorted(row, np.arange(len(was) + 1)), was.copy()
-            size, free = np.diff(bounds), batch.column("h").to_numpy() % 2 == turn % 2
-            for many in (False, True):
-                chosen = np.flatnonzero(((size >= MANY) == many) & free)
-                step = max(1, CELLS // classes // (2 if many else MANY))
-                for low in range(0, len(chosen), step):
-                    part = chosen[low : low + step]
-                    at = np.repeat(bounds[part] - np.cumsum(size[part]) + size[part], size[part]) + np.arange(size[part].sum())
-                    if many:
-                        place = np.repeat(np.arange(len(part)), size[part]) * len(fit) + key[at]
-                        scores = np.bincount(place, m[at], len(part) * len(fit)).astype(np.float32).reshape(-1, len(fit)) @ fit
-                    else:
-                        firsts = np.cumsum(size[part]) - size[part]
-                        scores = np.add.reduceat(fit[key[at]] * m[at, None].astype(np.float32), firsts)
-                    scores[:, 0] = -np.inf  # the end's own
-                    mine, now = np.arange(len(part)), was[part]
-                    scores[mine, now] = stays[part]
-                    top = scores.argmax(axis=1)
-                    best[part] = np.where(scores[mine, top] > stays[part] + 1e-4, top, now)
-            columns = [batch.column(x) for x in ("w", "h", "c", "ending")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(best.astype(np.int32))], ["w", "h", "c", "ending", "cls"])
-
-    return near.filter("w <> 0").mapInArrow(move, "w long, h long, c long, ending int, cls int")
+            was = batch.column("cls").to_numpy().astype(np.int64)
+            free = batch.column("h").to_numpy() % 2 != turn % 2
+            row, left, right = _beside(batch)
+            c = np.bincount(row, minlength=len(was))
+            lists = batch.column("keys")
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            rows = [row[right >= 0], row[left >= 0], np.repeat(np.arange(len(was)), size)]
+            keys = [head_class[right[right >= 0]], classes + head_class[left[left >= 0]], lists.flatten().to_numpy()]
+            row, key = np.concatenate(rows), np.concatenate(keys).astype(np.int64)
+            part = _summed(row[free[row]], key[free[row]], 2 * classes)
+            cls = np.where(free, fit.best(was, c, *part), was).astype(np.int32)
+            columns = [batch.column(x) for x in ("h", "ending", "beside", "after", "met")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cls)], ["h", "ending", "beside", "after", "met", "cls"])
+
+    meet = F.col("met") | (F.size("after") > 0)
+    cell = lambda h, key: F.struct(F.col(h).alias("h"), key.alias("key"))
+    both = F.explode(F.array(cell("a", F.col("right")), cell("b", F.col("left") + classes)))
+    keys = _meetings(rare).select(both.alias("x")).select("x.h", "x.key").groupBy("h").agg(F.collect_list("key").alias("keys"))
+    alone = rare.filter(~meet).withColumn("keys", F.lit(None).cast("array<int>"))
+    beside = rare.filter(meet).join(keys, "h", "left")
+    return alone.unionByName(beside).mapInArrow(move, rare.schema)
 
 
 def _likelihood(n: np.ndarray) -> float:
@@ -377,49 +519,36 @@ def _likelihood(n: np.ndarray) -> float:
     return f(n) - f(n.sum(axis=0)) - f(n.sum(axis=1))
 
 
-def _begin(counts: DataFrame, head: np.ndarray, units: Units, coarse: np.ndarray, split: int) -> DataFrame:
-    """All words as ``w, h, c, ending, cls``: the parts of a coarse class begin with words by their hashes."""
-
-    def name(batches):
-        for batch in batches:
-            hashes = batch.column("h").to_numpy().view(np.uint64)
-            kind = coarse[units.of(hashes, batch.column("ending").to_numpy())]
-            cls = 1 + (kind - 1) * split + (hashes >> np.uint64(40)).astype(np.int64) % split
-            names = _looked_up(head, np.arange(1, len(head) + 1), hashes, hashes.view(np.int64))
-            columns = [pa.array(names), *(batch.column(x) for x in ("h", "c", "ending")), pa.array(cls.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["w", "h", "c", "ending", "cls"])
-
-    return counts.select("h", "c", "ending").mapInArrow(name, "w long, h long, c long, ending int, cls int")
-
-
-def _head_class(named: DataFrame, size: int) -> np.ndarray:
-    found = named.filter(F.col("w").between(1, size)).select("w", "cls").toPandas()
-    out = np.zeros(size + 1, np.int64)
-    out[found["w"].to_numpy(int)] = found["cls"].to_numpy(int)
-    return out
-
-
-def cluster(docs: DataFrame, counts: DataFrame, head: np.ndarray, units: Units, coarse: np.ndarray, classes: int, split: int):
-    """Table of all words with their classes, classes of the head, and counts of class pairs.
+def cluster(docs: DataFrame, frequent: pd.DataFrame, units: Units, coarse: np.ndarray, classes: int, split: int):
+    """Table of all words ``h, c, ending, cls``, classes of the head, and counts of class pairs.
 
-    Rounds end early when one does not raise the likelihood; that round's moves are undone.
+    ``frequent`` holds the head in the order of its hashes. Rounds end early when one does not raise the likelihood;
+    that round's moves are undone.
     """
     spark = docs.sparkSession
-    best = None
+    hashes = frequent["h"].to_numpy(np.int64)
+    seen = np.append(0, frequent["c"].to_numpy(np.int64))
+    head = hashes.view(np.uint64)
+    endings = frequent["ending"].to_numpy(np.int64)
+    head_class = np.append(0, _first_class(head, endings, units, coarse, split))
     with scratch(spark):
-        pairs = stored(word_pairs(docs, head), "word-pairs")
-        named = stored(_begin(counts, head, units, coarse, split), "word-classes", keep=True)
-        for step in range(MOVES + 1):
-            head_class = _head_class(named, len(head))
-            with scratch(spark):
-                near = stored(neighbours(pairs, named, head_class, classes), "neighbours")
-                n = class_pairs(near, classes)
-                if best is not None and _likelihood(n) <= _likelihood(best[2]):
-                    break
-                best = named, head_class, n
-                if step < MOVES:
-                    named = stored(moved(near, n, step), "word-classes", keep=True)
-    return best
+        lines = stored(word_lines(docs, head), "word-lines")
+        rare = stored(rare_words(docs, head, units, coarse, split), "rare-words")
+        best = rare, head_class, class_pairs(lines, rare, head_class, classes)
+        for turn in range(MOVES):
+            rare, head_class, n = best
+            free = np.append(False, hashes % 2 != turn % 2)
+            next_class = moved_head(lines, rare, head_class, seen, free, n)
+            rare = stored(moved_rare(rare, head_class, n, turn), "rare-words")
+            found = class_pairs(lines, rare, next_class, classes)
+            if _likelihood(found) <= _likelihood(n):
+                break
+            best = rare, next_class, found
+        rare, head_class, n = best
+        table = frequent[["h", "c", "ending"]].assign(cls=head_class[1:])
+        named = spark.createDataFrame(table, "h long, c long, ending int, cls int")
+        others = rare.select("h", F.size("beside").cast("long").alias("c"), "ending", "cls")
+        return stored(named.unionByName(others), "word-classes", keep=True), head_class, n
 
 
 def fit(docs: DataFrame, classes: int = CLASSES) -> tuple[Model, DataFrame]:
@@ -436,11 +565,11 @@ def fit(docs: DataFrame, classes: int = CLASSES) -> tuple[Model, DataFrame]:
     endings = rest.groupBy("ending").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "ending").limit(ENDING_UNITS)
     units = _sorted_units(words, [r["ending"] for r in endings.collect()])
     coarse = exchange(count_bigrams(docs, units), classes)
+    frequent = frequent.iloc[np.argsort(frequent["h"].to_numpy(np.int64).view(np.uint64))]
     hashes = frequent["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    head = (hashes[order], frequent["c"].to_numpy(np.int64)[order])
+    head = (hashes, frequent["c"].to_numpy(np.int64))
     split = max(1, int(sums["v"] ** 0.5 / SPLIT))
-    named, head_class, n = cluster(docs, counts, head[0], units, coarse, 1 + (classes - 1) * split, split)
+    named, head_class, n = cluster(docs, frequent, units, coarse, 1 + (classes - 1) * split, split)
     classes = len(n)
     moves = np.log10((n + PRIOR) / (n + PRIOR).sum(axis=1, keepdims=True))
     mass, once = np.zeros(classes), np.ones(classes)
@@ -480,7 +609,7 @@ def _frequent(counts: DataFrame) -> pd.DataFrame:
             break
         least = row["level"]
     chosen = counts.filter(level >= least) if least is not None else counts.orderBy(F.desc("c"), "h").limit(HEAD)
-    return chosen.select("h", "c").toPandas().sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
+    return chosen.select("h", "c", "ending").toPandas().sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
@@ -494,6 +623,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, extra: dict[str, Col
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "row long, h long, doc_id long, at long, side long, kind int, n_tokens long, known long, base double, part double"
 
+    @tidy
     def walk(batches):
         model, row = shared.value, TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -554,6 +684,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, extra: dict[str, Col
                     names,
                 )
 
+    @tidy
     def add(batches):
         """Steps beside rare tokens, and their own shares."""
         model = shared.value
