@@ -129,6 +129,28 @@ def test_every_training_word_is_clustered(spark, docs, rows, monkeypatch, head):
     assert np.allclose(model.moves, np.log10((n + 0.5) / (n + 0.5).sum(axis=1, keepdims=True)))
 
 
+@pytest.mark.parametrize("line", [2, 1 << 18])
+def test_lines_and_rare_words_hold_every_pair(spark, monkeypatch, line):
+    """Null, empty and repeated texts, lines cut between any two words, and words outside the head side by side."""
+    monkeypatch.setattr(class_lm, "LINE", line)
+    texts = ["a b c a x y z a", None, "", " x y", "x y", "x y", "q", "a x x x b"]
+    docs = frame(spark, list(enumerate(texts)))
+    named = lambda w: class_lm.words_of(pa.array([w])).hashes[0]
+    head = np.sort([named(w) for w in "abc"])
+    units, coarse = class_lm._sorted_units([], []), np.array([0, 1])
+    kind = lambda h: class_lm._first_class(np.atleast_1d(h), np.zeros(np.size(h), np.int64), units, coarse, 7)
+    rare = class_lm.rare_words(docs, head, units, coarse, 7)
+    found = {r.h: (len(r.beside), r.cls) for r in rare.collect()}
+    seen = Counter(w for t in texts for w in (t or "").split())
+    assert found == {int(named(w).view(np.int64)): (seen[w], kind(named(w))[0]) for w in "xyzq"}
+    n = np.zeros((8, 8))
+    for t in texts:
+        row = [0, *(kind(named(w))[0] for w in (t or "").split()), 0]
+        np.add.at(n, (row[:-1], row[1:]), 1)
+    got = class_lm.class_pairs(class_lm.word_lines(docs, head), rare, np.append(0, kind(head)), 8)
+    assert (got == n).all()
+
+
 def test_words_move_to_the_class_of_their_neighbours(spark, monkeypatch):
     """Two kinds of words in turn, nearly all without a unit of the coarse classes: only their own moves find the kinds."""
     monkeypatch.setattr(class_lm, "WORD_UNITS", 2)
