@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafwise.llm.words import Words, mix, slices, words_of
+from leafwise.llm.words import Words, mix, slices, tidy, words_of
 
 BUCKETS = 1 << 17
 UNKNOWN = "und"
@@ -248,7 +248,7 @@ def identify(docs: DataFrame, model: Model | None, spans: bool = False) -> DataF
                     columns.append(pa.array(runs, pa.list_(kind)))
                 yield pa.RecordBatch.from_arrays(columns, [*kept, *added])
 
-    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(label, schema)
+    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(tidy(label), schema)
 
 
 def _label(model: Model | None, texts: pa.Array, spans: bool) -> tuple[list, np.ndarray, list]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwise.llm.store import scratch, stored
-from leafwise.llm.words import Words, mix, slices, windows_of, words_of
+from leafwise.llm.words import Words, mix, slices, tidy, windows_of, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -98,9 +98,9 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
         return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "cells": pa.array([total.tobytes()], pa.binary())})
 
     schema = "part int, cells binary"
-    partial = docs.select("text").mapInArrow(count, schema).repartition("part").sortWithinPartitions("part")
+    partial = docs.select("text").mapInArrow(tidy(count), schema).repartition("part").sortWithinPartitions("part")
     sketch = np.zeros((SKETCH_ROWS << SKETCH_BITS) // inner * inner, np.int64).reshape(-1, inner)
-    for row in partial.mapInArrow(add, schema).collect():  # as large as the sketch
+    for row in partial.mapInArrow(tidy(add), schema).collect():  # as large as the sketch
         sketch[row["part"]] = np.frombuffer(row["cells"], np.int64)
     return sketch.reshape(SKETCH_ROWS, -1)
 
@@ -175,7 +175,7 @@ def signatures(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "d1", "d2", "keys", "sig"])
 
     digested = docs.select("doc_id", "text", F.xxhash64("text").alias("d1"), F.xxhash64("text", F.lit(1)).alias("d2"))
-    return digested.mapInArrow(sign, "doc_id long, d1 long, d2 long, keys array<long>, sig binary")
+    return digested.mapInArrow(tidy(sign), "doc_id long, d1 long, d2 long, keys array<long>, sig binary")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, sketch: np.ndarray) -> DataFrame:
@@ -201,7 +201,7 @@ def verify(pairs: DataFrame, texts: DataFrame, sketch: np.ndarray) -> DataFrame:
 
     ta = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
     tb = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(ta, "a").join(tb, "b").mapInArrow(compare, "a long, b long, similarity double")
+    return pairs.select("a", "b").join(ta, "a").join(tb, "b").mapInArrow(tidy(compare), "a long, b long, similarity double")
 
 
 def components(links: DataFrame, keep: bool = False) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from leafwise.llm.encoders import ENCODE_SLICE, encoder
 from leafwise.llm.store import stored
-from leafwise.llm.words import slices
+from leafwise.llm.words import slices, tidy
 
 SEQUENCE = 1024
 END_ID = 2
@@ -65,7 +65,7 @@ def cut_pieces(
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(tidy(cut), schema)
 
 
 def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
