@@ -1,6 +1,7 @@
 """Registered queries; importing this package fills the registry."""
 
 from leafwise.plans import (  # noqa: F401
+    archives,
     catalogue,
     diagnosis,
     documents,

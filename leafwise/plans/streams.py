@@ -10,7 +10,7 @@ from leafwise.plans.catalogue import _EVENTS, export_events
 from leafwise.plans.diagnosis import _MARKS, _marks
 from leafwise.plans.inputs import table
 from leafwise.plans.registry import query
-from leafwise.streaming import events
+from leafwise.streaming import events, state
 
 # Worker output made from the event table: progress lines, broken lines and plain log lines.
 LINES = """lines AS (SELECT event_id, user_id, CASE event_type
@@ -85,9 +85,9 @@ def export_rollup_stream(spark, sf):
     rolled = events.export_rollup(arriving.select(F.col("user_id").alias("series_id"), event.alias("event")))
     run = uuid.uuid4().hex
     folder = f"{checkpoint_folder(spark)}/export-rollup-{run}"
-    stream = events.upsert_state(rolled, f"{folder}/state", f"{folder}/offsets")
+    stream = state.upsert_state(rolled, ["series_id", "event"], f"{folder}/state", f"{folder}/offsets")
     stream.awaitTermination()
-    return events.current_state(spark, ["series_id", "event"], f"{folder}/state")
+    return state.current_state(spark, ["series_id", "event"], f"{folder}/state")
 
 
 @query(

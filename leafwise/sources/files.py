@@ -1,12 +1,7 @@
-"""Files and archives as tables."""
+"""Files as tables."""
 
 from __future__ import annotations
 
-import zipfile
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,18 +11,6 @@ from leafwise.operators.ordered import ranked
 # Image files a folder scan takes.
 FOLDER_EXTENSIONS = ("jpg", "jpeg", "png", "webp", "tif", "tiff")
 
-_MEMBERS = pa.schema(
-    [
-        ("archive_path", pa.string()),
-        ("member_ordinal", pa.int64()),
-        ("member_name", pa.string()),
-        ("is_dir", pa.bool_()),
-        ("size", pa.int64()),
-        ("error", pa.string()),
-    ]
-)
-_MEMBERS_DDL = "archive_path string, member_ordinal long, member_name string, is_dir boolean, size long, error string"
-
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, length) of every file under ``path``; no content is read."""
@@ -35,36 +18,6 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length")
 
 
-def _directory(path: str) -> Iterator[tuple]:
-    """Members of one archive in directory order. Only the end of the file is read."""
-    uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
-    try:
-        system, name = fs.FileSystem.from_uri(uri)
-        with system.open_input_file(name) as handle, zipfile.ZipFile(handle) as archive:
-            for ordinal, info in enumerate(archive.infolist()):
-                yield (path, ordinal, info.filename, info.is_dir(), info.file_size, None)
-    except (zipfile.BadZipFile, pa.ArrowInvalid):  # too short for an archive: the seek is refused
-        yield (path, None, None, None, None, f"Cannot read archive source: {path}")
-
-
-def scan_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Members of all CBZ and ZIP files under ``path``, by entry: repeated names stay separate.
-
-    An unreadable archive gives one row with ``error``.
-    """
-    archives = list_files(spark, path).where(extension(F.col("path")).isin("cbz", "zip")).select("path")
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name in batch.column(0).to_pylist():
-                columns = zip(*_directory(name), strict=True)
-                arrays = [pa.array(v, f.type) for v, f in zip(columns, _MEMBERS, strict=False)]
-                if arrays:
-                    yield pa.RecordBatch.from_arrays(arrays, schema=_MEMBERS)
-
-    return archives.mapInArrow(scan, _MEMBERS_DDL)
-
-
 def list_image_files(spark: SparkSession, path: str) -> DataFrame:
     """Image files of each folder in natural order: (folder, path, position)."""
     files = list_files(spark, path).where(extension(F.col("path")).isin(*FOLDER_EXTENSIONS))

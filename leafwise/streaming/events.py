@@ -3,14 +3,13 @@
 Every function takes a DataFrame and works on a streaming or a static one. The aggregations keep
 one state row per job, series or pair, and no event time is involved: the newest event wins by its
 sequence number, so late rows need no watermark. Run them in ``update`` mode (``complete`` for
-small summaries) with a checkpoint location.
+small summaries) with a checkpoint location; ``streaming.state`` keeps their result as files.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 # Fixed value: marker in front of a progress line.
 PROGRESS_MARKER = "MTE_PROGRESS "
@@ -62,24 +61,3 @@ def review_state(marks: DataFrame) -> DataFrame:
 
     valid = marks.where(F.col("status").isin(*REVIEW_STATUSES))
     return valid.groupBy("volume_id", "pair_id").agg(F.max_by("status", "seq").alias("status"))
-
-
-def upsert_state(result: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Keep the newest state per key as one parquet folder per micro-batch.
-
-    Each batch replaces its own folder, so a batch that is repeated after a failure writes the same
-    rows again. ``current_state`` reads the newest row of every key.
-    """
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
-
-    writer = result.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-    return writer.foreachBatch(write).trigger(availableNow=True).start()
-
-
-def current_state(spark: SparkSession, keys: list[str], folder: str) -> DataFrame:
-    rows = spark.read.parquet(f"{folder}/epoch=*")
-    rest = [c for c in rows.columns if c not in (*keys, "_epoch", "epoch")]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_epoch").alias("_s"))
-    return newest.select(*keys, "_s.*")

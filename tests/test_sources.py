@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from leafwise.functions import names, paths
 from leafwise.operators import package, presets
 from leafwise.operators import spine as ops
-from leafwise.sources import documents, files, tables
+from leafwise.sources import archives, documents, files, tables
 from tests.conftest import rows_of
-from leafwise.streaming import events
+from leafwise.streaming import events, state
 
 
 def test_archive_members_by_entry(spark, tmp_path):
@@ -25,7 +25,7 @@ def test_archive_members_by_entry(spark, tmp_path):
         z.writestr("notes.txt", b"")
         z.mkdir("empty")
     (tmp_path / "b.zip").write_bytes(b"not a zip")
-    members = files.scan_archives(spark, str(tmp_path))
+    members = archives.scan_archives(spark, str(tmp_path))
     kept = members.where(names.is_image_member(F.col("member_name"), F.col("is_dir")))
     assert [(r.member_name, r.size) for r in kept.orderBy("member_ordinal").collect()] == [
         ("art/10.jpg", 1), ("art/2.jpg", 2), ("art/2.jpg", 3),
@@ -34,6 +34,62 @@ def test_archive_members_by_entry(spark, tmp_path):
     assert len(errors) == 1 and errors[0].startswith("Cannot read archive source: ")
 
 
+def test_archives_that_cannot_be_read_are_rows(spark, tmp_path):
+    """Vanished, empty and cut archives, one without members, a folder under an archive's name, and a path that was never there."""
+    with zipfile.ZipFile(tmp_path / "good.ZIP", "w") as z:
+        z.writestr("1.jpg", b"x")
+    with zipfile.ZipFile(tmp_path / "none.zip", "w"):
+        pass
+    whole = (tmp_path / "good.ZIP").read_bytes()
+    (tmp_path / "cut.cbz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "empty.cbz").write_bytes(b"")
+    (tmp_path / "folder.cbz").mkdir()
+    names_ = ["good.ZIP", "none.zip", "cut.cbz", "empty.cbz", "folder.cbz", "gone.cbz"]
+    paths_ = spark.createDataFrame([(f"file:{tmp_path}/{n}",) for n in names_] + [(None,)], "archive_path string")
+    rows = archives.archive_members(paths_).collect()
+    short = lambda r: r.archive_path.rsplit("/", 1)[1]
+    assert sorted(short(r) for r in rows if r.error) == ["cut.cbz", "empty.cbz", "folder.cbz", "gone.cbz"]
+    assert [(short(r), r.member_name) for r in rows if not r.error] == [("good.ZIP", "1.jpg")]
+    scanned = archives.scan_archives(spark, str(tmp_path)).collect()
+    assert sorted(short(r) for r in scanned if r.error) == ["cut.cbz", "empty.cbz"]
+    (row,) = archives.scan_archives(spark, str(tmp_path / "never")).collect()
+    assert row.error == f"Cannot read archive source: {tmp_path}/never"
+    (tmp_path / "bare").mkdir()
+    assert archives.scan_archives(spark, str(tmp_path / "bare")).count() == 0
+
+
+def test_a_filter_on_the_path_leaves_other_archives_unopened(spark, tmp_path):
+    for n in range(3):
+        with zipfile.ZipFile(tmp_path / f"{n}.cbz", "w") as z:
+            z.writestr(f"{n}.jpg", b"x")
+    reader = archives.PruningReader(str(tmp_path))
+    list(reader.pushFilters([archives.In(("archive_path",), (f"{tmp_path}/1.cbz", f"{tmp_path}/2.cbz"))]))
+    list(reader.pushFilters([archives.EqualTo(("archive_path",), f"{tmp_path}/1.cbz")]))
+    assert [lot.paths for lot in reader.partitions()] == [[f"{tmp_path}/1.cbz"]]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        rows = archives.scan_archives(spark, str(tmp_path)).where(F.col("archive_path") == f"{tmp_path}/2.cbz")
+        assert [r.member_name for r in rows.collect()] == ["2.jpg"]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_written_archives_are_listed_as_they_were(spark, tmp_path):
+    rows = [("a/b", 2, "y.png", b"22"), ("a/b", 1, "x.png", b"1"), ("a/b", 2, "y.png", b"333"), ("c", 1, "z.png", None), (None, 1, None, b"")]
+    members = spark.createDataFrame(rows, "archive string, position long, name string, content binary")
+    written = archives.write_archives(members, str(tmp_path / "out"))
+    assert sorted((r.archive, r.members) for r in written.collect()) == [(archives.UNNAMED, 1), ("a/b", 3), ("c", 1)]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"{archives.UNNAMED}.cbz", "a%2Fb.cbz", "c.cbz"]
+    got = [(r.member_name, r.size) for r in archives.scan_archives(spark, str(tmp_path / "out" / "a%2Fb.cbz")).orderBy("member_ordinal").collect()]
+    assert got[0] == ("x.png", 1) and sorted(got[1:]) == [("y.png", 2), ("y.png", 3)]
+    assert archives.write_archives(members.limit(0), str(tmp_path / "no")).count() == 0
+    uri = f"file:{tmp_path}/uri"  # names inside a URI are encoded once more, and found again
+    archives.write_archives(members, uri).collect()
+    assert sorted(p.name for p in (tmp_path / "uri").iterdir()) == [f"{archives.UNNAMED}.cbz", "a%2Fb.cbz", "c.cbz"]
+    scanned = archives.scan_archives(spark, uri).where("error IS NULL")
+    assert sorted(r.size for r in archives.archive_members(scanned.select("archive_path").distinct()).collect()) == [0, 0, 1, 2, 3]
+
+
 def test_folder_images_in_natural_order(spark, tmp_path):
     for name in ("p10.png", "P2.jpg", "p1.webp", "skip.txt"):
         (tmp_path / name).write_bytes(b"x")
@@ -178,9 +234,9 @@ def test_progress_stream(spark, tmp_path):
     (tmp_path / "in" / "log.txt").write_text("\n".join(lines) + "\n")
     stream = events.read_lines(spark, str(tmp_path / "in"))
     found = events.progress_events(stream).select("job", F.lit(1).alias("seq"), "event.*")
-    query = events.upsert_state(events.progress_latest(found), str(tmp_path / "state"), str(tmp_path / "cp"))
+    query = state.upsert_state(events.progress_latest(found), ["job"], str(tmp_path / "state"), str(tmp_path / "cp"))
     query.awaitTermination()
-    (row,) = events.current_state(spark, ["job"], str(tmp_path / "state")).collect()
+    (row,) = state.current_state(spark, ["job"], str(tmp_path / "state")).collect()
     assert (row.completed, row.total, row.message) == (2, 2, "m")
     static = spark.read.text(str(tmp_path / "in"))
     assert sorted(r.value for r in events.log_lines(static).collect()) == ["MTE_PROGRESS {broken", "plain"]
@@ -193,12 +249,51 @@ def test_state_survives_a_second_run(spark, tmp_path):
     def arrive(name, rows):
         (tmp_path / "in" / name).write_text("\n".join(json.dumps(dict(zip(("volume_id", "pair_id", "status", "seq"), r, strict=True))) for r in rows))
         marks = spark.readStream.schema(schema).json(str(tmp_path / "in"))
-        run = events.upsert_state(events.review_state(marks), str(tmp_path / "state"), str(tmp_path / "cp"))
+        run = state.upsert_state(events.review_state(marks), ["volume_id", "pair_id"], str(tmp_path / "state"), str(tmp_path / "cp"))
         run.awaitTermination()
-        state = events.current_state(spark, ["volume_id", "pair_id"], str(tmp_path / "state"))
-        return {(r.volume_id, r.pair_id): r.status for r in state.collect()}
+        rows = state.current_state(spark, ["volume_id", "pair_id"], str(tmp_path / "state"))
+        return {(r.volume_id, r.pair_id): r.status for r in rows.collect()}
 
     assert arrive("a.json", [(1, "001-002", "true", 5), (1, "003-004", "maybe", 6)]) == {(1, "001-002"): "true"}
     assert arrive("b.json", [(1, "001-002", "false", 4), (2, "001-002", "false", 7)]) == {
         (1, "001-002"): "true", (2, "001-002"): "false",
     }
+
+
+def test_state_files_stay_bounded_over_many_batches(spark, tmp_path):
+    """Two runs of many micro-batches: few folders, the newest state, and a half-written base that is not read."""
+    (tmp_path / "in").mkdir()
+    keys, root = ["volume_id", "pair_id"], tmp_path / "state"
+    want = {}
+
+    def arrive(numbers):
+        for n in numbers:
+            marks = [(n % 3, f"p{n % 2}", "true" if n % 5 else "false", n), (100 + n, "p", "pending", n)]
+            want.update({(v, p): s for v, p, s, _ in marks})
+            text = [json.dumps({"volume_id": v, "pair_id": p, "status": s, "seq": q}) for v, p, s, q in marks]
+            (tmp_path / "in" / f"{n:03}.json").write_text("\n".join(text))
+        stream = spark.readStream.option("maxFilesPerTrigger", 1)
+        marks = stream.schema("volume_id long, pair_id string, status string, seq long").json(str(tmp_path / "in"))
+        state.upsert_state(events.review_state(marks), keys, str(root), str(tmp_path / "cp"), merge_every=3).awaitTermination()
+        return {(r.volume_id, r.pair_id): r.status for r in state.current_state(spark, keys, str(root)).collect()}
+
+    assert arrive(range(7)) == want
+    (root / "base=99").mkdir()  # a merge that did not end
+    assert arrive(range(7, 14)) == want
+    assert len([p for p in root.iterdir() if p.name != "base=99"]) <= 2 + 2 * 3
+    assert arrive([]) == want
+
+
+def test_a_repeated_merge_changes_nothing(spark, tmp_path):
+    folder = str(tmp_path / "state")
+    schema = "k long, v string, _epoch int"
+    for epoch in range(6):
+        spark.createDataFrame([(epoch % 2, f"v{epoch}", epoch)], schema).write.parquet(f"{folder}/delta={epoch}")
+        if epoch in (1, 3, 5):
+            for _ in range(2):
+                state.merge_state(spark, ["k"], folder, epoch)
+                rows = state.current_state(spark, ["k"], folder).collect()
+                assert {r.k: r.v for r in rows} == {epoch % 2: f"v{epoch}", (epoch + 1) % 2: f"v{epoch - 1}"}
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["base=3", "base=5", "delta=4", "delta=5"]
+    with pytest.raises(ValueError, match="no state under"):
+        state.current_state(spark, ["k"], str(tmp_path / "none"))
