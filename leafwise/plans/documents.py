@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from leafwise.operators import spine as spine_ops
 from leafwise.plans.inputs import ORDER_SPINE_SQL, order_spine, table
 from leafwise.plans.registry import query
+from leafwise.session import checkpoint_folder
 from leafwise.sources import documents
 
 
@@ -38,21 +41,40 @@ def project_series(spark, sf):
     return documents.project_series(projects).select("project_path", "title", "author", "language")
 
 
-@query(
-    "project_volumes",
-    f"""SELECT {_P} AS project_path, 1::BIGINT AS position, '/shelf/in/' || c_custkey || '.cbz' AS path, 1::BIGINT AS volume_number,
-      'Unreviewed' AS status, NULL AS output_path, 'w1; w2' AS warnings FROM customer WHERE c_custkey % 5 <> 4
-    UNION ALL SELECT {_P}, 2, '/abs/' || c_custkey || '.zip', c_custkey, 'Ready',
-      '/shelf/' || c_mktsegment || '/out/' || c_custkey || '.epub', '' FROM customer WHERE c_custkey % 5 <> 4""",
-)
+_VOLUMES = f"""SELECT {_P} AS project_path, 1::BIGINT AS position, '/shelf/in/' || c_custkey || '.cbz' AS path, 1::BIGINT AS volume_number,
+  'Unreviewed' AS status, NULL AS output_path, 'w1; w2' AS warnings FROM customer WHERE c_custkey % 5 <> 4
+UNION ALL SELECT {_P}, 2, '/abs/' || c_custkey || '.zip', c_custkey, 'Ready',
+  '/shelf/' || c_mktsegment || '/out/' || c_custkey || '.epub', '' FROM customer WHERE c_custkey % 5 <> 4"""
+
+
+@query("project_volumes", _VOLUMES)
 def project_volumes(spark, sf):
-    found = documents.project_volumes(documents.parse_projects(project_texts(spark, sf)))
+    return _volume_columns(documents.project_volumes(documents.parse_projects(project_texts(spark, sf))))
+
+
+def _volume_columns(found):
     return found.select(
         "project_path", "position", "path", "volume_number", "status", "output_path",
         F.array_join("warnings", "; ").alias("warnings"),
     )
 
 
+@query("project_files", _VOLUMES)
+def project_files(spark, sf):
+    """The volumes of all projects after writing them as project files and reading these back."""
+    parsed = documents.parse_projects(project_texts(spark, sf))
+    number = F.regexp_extract("project_path", "([0-9]+)[.]json$", 1).cast("bigint").alias("series_id")
+    series = documents.project_series(parsed).select(number, "*")
+    rows = documents.project_volumes(parsed).select(number, "*").drop("project_path")
+    folder = f"{checkpoint_folder(spark)}/projects-{uuid.uuid4().hex}"
+    documents.write_documents(documents.project_document_lines(series, rows), "series_id", folder)
+    # Paths inside a file are relative to where the project lives, not to this folder.
+    files = documents.read_documents(spark, folder)
+    files = files.select(F.regexp_extract("path", "/series_id=([0-9]+)/", 1).cast("bigint").alias("series_id"), "json")
+    back = files.join(series.select("series_id", F.col("project_path").alias("path")), "series_id").select("path", "json")
+    return _volume_columns(documents.project_volumes(documents.parse_projects(back)))
+
+
 @query(
     "rejected_projects",
     f"""SELECT {_P} AS path, 'Unsupported series project version' AS error FROM customer WHERE c_custkey % 5 = 4""",

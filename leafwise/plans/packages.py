@@ -221,15 +221,34 @@ def package_page_languages(spark, sf):
     FROM p WHERE ref <> '' AND NOT contains(split_part(ref, '/', 1), ':')""",
 )
 def extract_refs(spark, sf):
+    return package.extract_refs(_page_texts(spark, sf), 'href="([^"]*)"')
+
+
+@query(
+    "extract_image_refs",
+    """WITH p AS (SELECT page_id, regexp_replace(split_part(split_part(regexp_replace(url, '^[a-z]+://[^/]+', ''), '?', 1), '#', 1),
+        '/[^/]*$', '') AS folder, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS ref FROM pages)
+    SELECT DISTINCT page_id AS book_id, 'p' || page_id AS item_id, CASE WHEN starts_with(ref, '/')
+        THEN '/' || trim(regexp_replace(ref, '/+', '/', 'g'), '/') ELSE folder || '/' || ref END AS path
+    FROM p WHERE ref <> '' AND NOT contains(split_part(ref, '/', 1), ':') AND page_id % 3 <> 2""",
+)
+def extract_image_refs(spark, sf):
+    """Links turned into images: of every three pages one has them with a prefix, one plainly, and one keeps its links."""
+    turned = F.when(F.col("book_id") % 3 == 0, F.replace("text", F.lit("<a href="), F.lit("<svg:image width='1' xlink:href = "))).otherwise(
+        F.when(F.col("book_id") % 3 == 1, F.replace("text", F.lit("<a href="), F.lit("<image\nhref="))).otherwise(F.col("text"))
+    )
+    return package.extract_refs(_page_texts(spark, sf).withColumn("text", turned), package.IMAGE_REF)
+
+
+def _page_texts(spark, sf):
     path = F.regexp_replace("url", r"^[a-z]+://[^/]+", "")
     path = F.split_part(F.split_part(path, F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1))
-    rows = table(spark, sf, "pages").select(
+    return table(spark, sf, "pages").select(
         F.col("page_id").alias("book_id"),
         F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("item_id"),
         path.alias("page_path"),
         F.col("html").alias("text"),
     )
-    return package.extract_refs(rows, 'href="([^"]*)"')
 
 
 _READ = f"""{ORDER_SPINE_SQL}, {_NORMAL}, {_META},
