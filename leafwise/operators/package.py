@@ -95,15 +95,13 @@ def missing_hrefs(manifest: DataFrame, entries: DataFrame) -> DataFrame:
     return _found(lost, "missing_href", F.concat(F.lit("Manifest href missing from EPUB: "), "archive_path"))
 
 
-def _marked(items: DataFrame, name: str, books: DataFrame | None) -> DataFrame:
-    """How many items of each book have a property; ``books(book_id)`` adds those without any manifest row."""
+def _marked(items: DataFrame, name: str, books: DataFrame) -> DataFrame:
+    """How many items of each book have a property; ``books(book_id)`` names all books, also those without any manifest row."""
     count = items.groupBy("book_id").agg(F.count_if(has_property(name)).alias("_n"))
-    if books is None:
-        return count
     return books.select("book_id").distinct().join(count, "book_id", "full").select("book_id", F.coalesce("_n", F.lit(0)).alias("_n"))
 
 
-def navigation(manifest: DataFrame, books: DataFrame | None = None) -> DataFrame:
+def navigation(manifest: DataFrame, books: DataFrame) -> DataFrame:
     """Exactly one navigation item, with the right path and type."""
     items = resolve_manifest(manifest)
     wrong = has_property("nav") & ((F.col("archive_path") != NAV_PATH) | (F.col("media_type") != XHTML))
@@ -137,7 +135,7 @@ def page_images(page_refs: DataFrame, spine_refs: DataFrame, manifest: DataFrame
     return _found(seen, "page_image", F.concat(text, "path"))
 
 
-def cover_items(manifest: DataFrame, books: DataFrame | None = None) -> DataFrame:
+def cover_items(manifest: DataFrame, books: DataFrame) -> DataFrame:
     """Exactly one cover item, and it is an image."""
     items = resolve_manifest(manifest)
     cover = has_property("cover-image")

@@ -168,6 +168,9 @@ def _check(name, entry_rows, manifest_rows, refs, images):
         return package.unknown_idrefs(refs, manifest_rows)
     if name == "page_images":
         return package.page_images(images, refs, manifest_rows)
+    if name in ("navigation", "cover_items"):
+        # These two queries ask about the books of the manifest rows; package_all_books about all.
+        return getattr(package, name)(manifest_rows, manifest_rows.select("book_id"))
     return getattr(package, name)(manifest_rows)
 
 
@@ -181,6 +184,23 @@ for _name in _CHECKS:
     _register(_name)
 
 
+_BARE = "SELECT book_id FROM entries EXCEPT SELECT book_id FROM resolved"
+
+
+@query(
+    "package_all_books",
+    f"""WITH {BOOKS}, bare AS ({_BARE}), v AS ({_CHECKS["navigation"]} UNION ALL {_CHECKS["cover_items"]}
+      UNION ALL SELECT book_id, 'navigation', 'EPUB nav item missing' FROM bare
+      UNION ALL SELECT book_id, 'cover', 'EPUB must have exactly one cover image' FROM bare)
+    SELECT book_id, rule, detail FROM v""",
+)
+def package_all_books(spark, sf):
+    """Navigation and cover of every book that has a file, also of books without any manifest row."""
+    entry_rows, items, _, _ = _tables(spark, sf, stored_spine(spark, sf))
+    books = entry_rows.select("book_id").unionByName(items.select("book_id"))
+    return package.navigation(items, books).unionByName(package.cover_items(items, books))
+
+
 @query(
     "package_violations",
     f"WITH {BOOKS}, v AS ({' UNION ALL '.join(_CHECKS.values())}) SELECT rule, count(*) AS violations FROM v GROUP BY 1",
