@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from leafwise.operators import spine as spine_ops
+from leafwise.operators.ordered import spread
 from leafwise.plans.inputs import ORDER_SPINE_SQL, order_spine, table
 from leafwise.plans.registry import query
-from leafwise.session import checkpoint_folder
+from leafwise.session import checkpoint_folder, durable
 from leafwise.sources import documents
 
 
@@ -62,17 +63,17 @@ def _volume_columns(found):
 @query("project_files", _VOLUMES)
 def project_files(spark, sf):
     """The volumes of all projects after writing them as project files and reading these back."""
-    parsed = documents.parse_projects(project_texts(spark, sf))
+    # Parsing is costly for its few bytes; the writer reads its result several times.
+    parsed = documents.parse_projects(spread(project_texts(spark, sf), "path"))
     number = F.regexp_extract("project_path", "([0-9]+)[.]json$", 1).cast("bigint").alias("series_id")
-    series = documents.project_series(parsed).select(number, "*")
-    rows = documents.project_volumes(parsed).select(number, "*").drop("project_path")
+    series = durable(documents.project_series(parsed).select(number, "*"))
+    rows = durable(documents.project_volumes(parsed).select(number, "*").drop("project_path"))
     folder = f"{checkpoint_folder(spark)}/projects-{uuid.uuid4().hex}"
-    documents.write_documents(documents.project_document_lines(series, rows), "series_id", folder)
+    files = documents.write_documents(documents.project_document_lines(series, rows), "series_id", folder)
     # Paths inside a file are relative to where the project lives, not to this folder.
-    files = documents.read_documents(spark, folder)
-    files = files.select(F.regexp_extract("path", "/series_id=([0-9]+)/", 1).cast("bigint").alias("series_id"), "json")
-    back = files.join(series.select("series_id", F.col("project_path").alias("path")), "series_id").select("path", "json")
-    return _volume_columns(documents.project_volumes(documents.parse_projects(back)))
+    files = documents.documents_at(files).select("series_id", "json")
+    back = files.join(series.select("series_id", F.col("project_path").alias("path")), "series_id")
+    return _volume_columns(documents.project_volumes(documents.parse_projects(back.select("path", "json"))))
 
 
 @query(

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from itertools import islice
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwise.functions.names import stem
 from leafwise.functions.paths import loaded_path, stored_path
+from leafwise.operators.ordered import spread
 from leafwise.operators.presets import PRESET_TYPE, parse_presets
 from leafwise.operators.series import DEFAULT_LANGUAGE, DEFAULT_TITLE
+from leafwise.session import durable
+from leafwise.sources.archives import UNNAMED, _child, open_path
 
 VOLUME_TYPE = (
     "struct<pdf_path:string,volume_number:bigint,status:string,output_path:string,warnings:array<string>,"
@@ -19,6 +29,7 @@ PROJECT_TYPE = (
     f"volumes:array<{VOLUME_TYPE}>>"
 )
 PROJECT_VERSION = 1
+FILES_A_BATCH = 256
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -27,6 +38,30 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
 
 
+def documents_at(files: DataFrame) -> DataFrame:
+    """``json`` for each row of ``files(path, ...)``, read where the rows are: no folder is listed on the driver."""
+    names = [c for c in files.columns if c != "path"]
+    at = files.columns.index("path")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, FILES_A_BATCH):
+                part = batch.slice(start, FILES_A_BATCH)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array([_text_at(p) for p in part.column(at).to_pylist()], pa.string())],
+                    [*part.schema.names, "json"],
+                )
+
+    schema = files.schema.add("json", "string")
+    return spread(files, *(names or ["path"])).mapInArrow(read, schema)
+
+
+def _text_at(path: str) -> str:
+    system, name = open_path(path)
+    with system.open_input_stream(name, compression=None) as handle:
+        return handle.read().decode()
+
+
 def read_presets(spark: SparkSession, path: str) -> DataFrame:
     """Presets by file stem; unsupported versions carry ``error``."""
     rows = read_documents(spark, path)
@@ -107,10 +142,59 @@ def document_lines(heads: DataFrame, items: DataFrame, key: str, list_name: str)
     return frame.unionByName(body)
 
 
-def write_documents(lines: DataFrame, key: str, path: str) -> None:
-    """One file per document: its lines are sorted and streamed by one task."""
-    rows = lines.repartition(key).sortWithinPartitions(key, "part", "position")
-    rows.select(key, "value").write.mode("errorifexists").partitionBy(key).text(path)
+def write_documents(lines: DataFrame, key: str, path: str) -> DataFrame:
+    """One file per document, in a folder named by its key: (key, path) of each.
+
+    Its lines are sorted and streamed by one task, which writes many files, each under another name until it is whole.
+    Documents are dealt over a fixed number of tasks, because the cost lies in the files, not in their few bytes.
+    """
+    system, root = open_path(path)
+    if system.get_file_info(root).type != fs.FileType.NotFound:
+        raise FileExistsError(f"{path} already exists")
+    system.create_dir(root, recursive=True)
+    rows = spread(lines, key).sortWithinPartitions(key, "part", "position")
+    rows = rows.select(F.col(key), F.col(key).cast("string").alias("_name"), "value")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents = _documents(batches, path, key)
+        while done := list(islice(documents, FILES_A_BATCH)):
+            keys, paths = zip(*done, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(paths, pa.string())], ["_name", "path"])
+
+    written = durable(rows.mapInArrow(write, "_name string, path string"))
+    return written.select(F.col("_name").cast(lines.schema[key].dataType).alias(key), "path")
+
+
+def _documents(batches: Iterator[pa.RecordBatch], path: str, key: str) -> Iterator[tuple[str | None, str]]:
+    """Write the documents whose sorted lines arrive, and name each one when its file is whole."""
+    current: _Document | None = None
+    for batch in batches:
+        for name, value in zip(batch.column("_name").to_pylist(), batch.column("value").to_pylist(), strict=True):
+            if current is None or current.name != name:
+                if current is not None:
+                    yield current.close()
+                current = _Document(path, key, name)
+            current.stream.write(f"{value or ''}\n".encode())
+    if current is not None:
+        yield current.close()
+
+
+class _Document:
+    """One document on its way: written under another name, then moved to its own."""
+
+    def __init__(self, folder: str, key: str, name: str | None) -> None:
+        self.name = name
+        self.path = _child(folder, f"{key}={UNNAMED if name is None else quote(name, safe=' ')}/document.txt")
+        self.system, self.target = open_path(self.path)
+        parent, _, file = self.target.rpartition("/")
+        self.system.create_dir(parent, recursive=True)
+        self.draft = f"{parent}/.{file}.{uuid.uuid4().hex}"
+        self.stream = self.system.open_output_stream(self.draft, compression=None)
+
+    def close(self) -> tuple[str | None, str]:
+        self.stream.close()
+        self.system.move(self.draft, self.target)
+        return self.name, self.path
 
 
 def preset_document_lines(meta: DataFrame, entries: DataFrame) -> DataFrame:

@@ -198,6 +198,21 @@ def test_projects_round_trip(spark, tmp_path):
     assert (row.path, row.volume_number, row.status) == (str(tmp_path / "in" / "a.cbz"), 4, "Ready")
 
 
+def test_many_documents_are_written_and_read_by_many_tasks(spark, tmp_path):
+    parts = [(k, p, 1, f"{k}-{p}" if k != 3 else None) for k in [*range(40), None] for p in (2, 0, 1)]
+    lines = spark.createDataFrame(parts, "book string, position long, part int, value string")
+    folder = str(tmp_path / "out")
+    files = documents.write_documents(lines, "book", folder)
+    assert files.count() == 41 and {len(list(f.iterdir())) for f in (tmp_path / "out").iterdir()} == {1}
+    read = documents.documents_at(files)
+    assert read.rdd.getNumPartitions() >= 4
+    found = {r.book: r.json for r in read.collect()}
+    want = {k: "".join(f"{k}-{p}\n" for p in range(3)) for k in [str(i) for i in range(40)]}
+    assert found == {**want, "3": "\n\n\n", None: "None-0\nNone-1\nNone-2\n"}
+    with pytest.raises(FileExistsError):
+        documents.write_documents(lines, "book", folder)
+
+
 @pytest.mark.parametrize(
     ("path", "want"),
     [("a/../b", "b"), ("../a/./b//c", "../a/b/c"), ("/../x", "/x"), ("", "."), ("a/..", "."), ("../../x/..", "../..")],
