@@ -110,7 +110,8 @@ def apply_preset_v1(spine: DataFrame, targets: DataFrame, presets: DataFrame) ->
     named = spine.join(targets.select("volume_id").distinct(), "volume_id", "left_semi")
     kept = named.join(gone, ["volume_id", "source_index"], "left_anti").select(*SPINE_COLUMNS)
     dense = running(kept, VOLUME, "entry_index", sums={"_n": F.lit(1)})
-    dense = dense.withColumn("entry_index", (F.col("_n") - 1).cast("bigint")).select(*SPINE_COLUMNS)
+    # Three branches read the kept entries.
+    dense = durable(dense.withColumn("entry_index", (F.col("_n") - 1).cast("bigint")).select(*SPINE_COLUMNS))
     sizes = dense.groupBy("volume_id").agg(F.count(F.lit(1)).alias("_count"), F.bool_or(~is_blank()).alias("_paged"))
     sized = targets.join(sizes.where("_paged"), "volume_id").select("volume_id", "preset_id", "_count")
     positions = presets.select("preset_id", F.col("preset.blank_positions").alias("positions"))
@@ -190,7 +191,9 @@ def _rebuilt(spine: DataFrame, usable: DataFrame, presets: DataFrame, files: Dat
     Absent sources are skipped, pages beyond the template's page count follow at the end.
     """
     meta = preset_meta(presets)
-    wanted = usable.join(preset_entries(presets), "preset_id")
+    used = presets.join(usable.select("preset_id").distinct(), "preset_id", "left_semi")
+    template = preset_entries(used)
+    wanted = usable.join(template.where(F.col("kind") != "inserted"), "preset_id")
     sources = spine.where(F.col("source_index").isNotNull())
     rest = [c for c in SPINE_COLUMNS if c not in ("volume_id", "source_index")]
     last = sources.groupBy("volume_id", "source_index").agg(
@@ -203,7 +206,9 @@ def _rebuilt(spine: DataFrame, usable: DataFrame, presets: DataFrame, files: Dat
         .select("volume_id", F.col("position").alias("_pos"), "source_index", "_row.*")
     )
     blanks = wanted.where(F.col("kind") == "blank").select("volume_id", F.col("position").alias("_pos"), "kind")
-    images = _template_images(wanted).join(files.select(F.col("path").alias("inserted_path"), "width", "height"), "inserted_path")
+    # Images meet their files once a template: many templates share a path, and all their volumes would share a task.
+    images = _template_images(template).join(files.select(F.col("path").alias("inserted_path"), "width", "height"), "inserted_path")
+    images = usable.select("volume_id", "preset_id").join(images, "preset_id").drop("preset_id")
     applied = wanted.where(F.col("kind") == "source").select("volume_id", "source_index").distinct()
     beyond = (
         sources.join(usable.join(meta.select("preset_id", "template_pages", "entry_total"), "preset_id"), "volume_id")
@@ -218,7 +223,7 @@ def _rebuilt(spine: DataFrame, usable: DataFrame, presets: DataFrame, files: Dat
     first_page = spine.where(~is_blank()).groupBy("volume_id").agg(
         F.min_by(F.struct("width", "height"), "entry_index").alias("_first")
     )
-    rows = rows.drop("entry_index")
+    rows = durable(rows.drop("entry_index"))  # an ordered pass reads its input twice
     size = F.when(~is_blank(), F.struct("width", "height"))
     rows = running(rows, VOLUME, "_pos", sums={"_n": F.lit(1)}, before={"_earlier": size})
     # A leading blank takes the size of the first page the volume had.
@@ -232,18 +237,18 @@ def _rebuilt(spine: DataFrame, usable: DataFrame, presets: DataFrame, files: Dat
     ).select(*SPINE_COLUMNS)
 
 
-def _template_images(wanted: DataFrame) -> DataFrame:
+def _template_images(entries: DataFrame) -> DataFrame:
     """Inserted template entries with their ids.
 
     An id ``inserted-N`` raises the counter to N; an entry without a number takes the next one. In
     closed form: unnumbered entries so far + the largest (N - unnumbered entries before it).
     """
-    rows = wanted.where(F.col("kind") == "inserted").withColumn("_given", inserted_number(F.col("entry_id")))
-    rows = running(rows, VOLUME, "position", sums={"_free": F.col("_given").isNull().cast("bigint")})
-    rows = running(rows, VOLUME, "position", maxes={"_lead": F.col("_given") - F.col("_free")})
+    rows = entries.where(F.col("kind") == "inserted").withColumn("_given", inserted_number(F.col("entry_id")))
+    rows = running(rows, ["preset_id"], "position", sums={"_free": F.col("_given").isNull().cast("bigint")})
+    rows = running(rows, ["preset_id"], "position", maxes={"_lead": F.col("_given") - F.col("_free")})
     number = F.col("_free") + F.greatest(F.coalesce("_lead", F.lit(0)), F.lit(0))
     return rows.select(
-        "volume_id",
+        "preset_id",
         F.col("position").alias("_pos"),
         "kind",
         F.coalesce(F.nullif("entry_id", F.lit("")), F.concat(F.lit(INSERTED_PREFIX), padded4(number))).alias("item_id"),

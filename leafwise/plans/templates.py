@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from leafwise.operators import presets
 from leafwise.operators import spine as ops
+from leafwise.operators.ordered import spread
 from leafwise.plans.catalogue import VOLUMES, _scopes, volumes
 from leafwise.plans.inputs import ORDER_SPINE_SQL, order_spine, stored_spine, table
 from leafwise.plans.registry import query
@@ -40,7 +41,8 @@ def preset_texts(spark, sf):
 
 
 def good_presets(spark, sf):
-    return presets.parse_presets(preset_texts(spark, sf)).where(F.col("error").isNull())
+    # Parsing is costly for its few bytes.
+    return presets.parse_presets(spread(preset_texts(spark, sf), "preset_id")).where(F.col("error").isNull())
 
 
 def art_files(spark, sf):

@@ -71,3 +71,19 @@ def test_templates_are_applied_to_the_volumes_in_scope(spark):
     assert got == {v: layout for v in range(1, 7)} | {2: [page(2), page(4)], 5: [page(2), blank, page(3), page(4)]}
     assert dict(rows_of(after.select("volume_id", "status"))) == {v: "Edited" if v in (2, 5) else "Ready" for v in range(1, 7)}
     assert dict(rows_of(errors)) == {v: "Inserted image not found: /lost.png" for v in (3, 4)}
+
+
+def test_images_are_numbered_once_a_template(spark):
+    """A path that all templates share meets its file once a template, not once a volume."""
+    shared = [{"kind": "inserted", "path": "/a.png"}, {"kind": "inserted", "path": "/a.png", "entry_id": "inserted-0007"}]
+    texts = parsed(spark, {k: template(*shared, shared[0], {"kind": "source", "source_index": 1}) for k in (1, 2)})
+    images = presets._template_images(presets.preset_entries(texts))
+    assert sorted(rows_of(images.select("preset_id", "_pos", "item_id"))) == [
+        (k, p, f"inserted-{n:04d}") for k in (1, 2) for p, n in ((0, 1), (1, 7), (2, 8))
+    ]
+    spine = table(spark, {v: [page(1), page(2)] for v in range(40)})
+    targets = spark.createDataFrame([(v, v % 2 + 1) for v in range(40)], "volume_id long, preset_id long")
+    spines, errors = presets.apply_preset_v2(spine, targets, texts, spark.createDataFrame([("/a.png", 5, 6)], FILES))
+    assert errors.count() == 0
+    got = spines.where("kind = 'inserted'").groupBy("item_id", "width").count()
+    assert sorted(rows_of(got)) == [(f"inserted-{n:04d}", 5, 40) for n in (1, 7, 8)]
