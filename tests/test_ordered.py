@@ -4,6 +4,7 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leafwise.functions.names import natural_key
@@ -130,3 +131,27 @@ def test_no_window_over_a_whole_sequence(spark):
     plan = ordered.with_neighbours(df, ["v"], "i", {"b": 1}, ["x"])._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert len(exchanges) == 1 and "_chunk" in exchanges[0]
+
+
+def test_only_groups_with_a_bound_inside_are_counted(spark):
+    """Thousands of small groups and a large one: offsets are kept for the groups of bounds, numbers are dense in all."""
+    small = spark.range(6000).select((F.col("id") % 2000).alias("g"), "id")
+    rows = small.unionByName(spark.range(6000, 12000).select(F.lit(-1).cast("long").alias("g"), "id"))
+    rows = rows.unionByName(spark.range(3).select(F.lit(None).cast("long").alias("g"), "id"))
+    keyed, cuts = ordered._keyed(rows, ["g", "id"])
+    groups = ordered.split_groups(cuts, ["g"])
+    assert 0 < groups.count() < 256 and groups.where("g = -1").count() == 1
+    got = ordered.ranked(rows, ["g"], ["id"], "n")
+    want = got.withColumn("w", F.row_number().over(Window.partitionBy("g").orderBy("id")))
+    assert got.count() == 12000 and want.where("n <> w").count() == 0
+
+
+def test_running_values_carry_only_between_chunks(spark, tiny_chunks):
+    rows = [(g, p, p + g) for g in range(30) for p in range(3)] + [(99, p, p) for p in range(11)] + [(None, 0, 1), (5, None, 1)]
+    df = spark.createDataFrame(rows, "g long, p long, v long")
+    out = ordered.running(df, ["g"], "p", sums={"s": F.col("v")}, totals={"t": F.col("v")}, later_mins={"m": F.col("v")})
+    assert "LeftOuter" in out._jdf.queryExecution().toString()
+    for r in out.collect():
+        same = sorted(x[2] for x in rows if x[0] == r.g and x[1] is not None)
+        assert (r.s, r.t, r.m) == (sum(v for v in same if v <= r.v), sum(same), r.v)
+    assert out.count() == 101
