@@ -281,7 +281,7 @@ def _books(spark, sf):
     covers = _covers(spark, sf).select("volume_id", "cover_entry_index", "exclude_cover")
     pages = spine_ops.normalize_spine(_spine(spark, sf)).join(covers, "volume_id", "left")
     cover = F.col("page_index") - 1 == F.col("cover_entry_index")
-    pages = pages.withColumn("is_read", F.coalesce(~(F.col("exclude_cover") & cover), F.lit(True)))
+    pages = durable(pages.withColumn("is_read", F.coalesce(~(F.col("exclude_cover") & cover), F.lit(True))))
     ids = pages.where(cover).select("volume_id", F.col("item_id").alias("cover_id"))
     return pages, ids
 
