@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from leafwise.functions.frames import rounded, settle
 from leafwise.functions.numeric import clamp01
 from leafwise.operators import rasters
+from leafwise.operators.ordered import spread
 from leafwise.plans.inputs import EMBEDDING_PAGES_SQL, embedding_pages
 from leafwise.plans.registry import query
 from leafwise.plans.sqltext import c01, r6
+from leafwise.session import durable
 
 
 def _pixels(spark, sf, width: int, height: int, place: str):
@@ -106,7 +108,9 @@ def _framed_rasters(spark, sf):
     inside = "(i div 48) BETWEEN 10 AND 37 AND (i % 48) BETWEEN 10 AND 37"
     place = "(i div 48 * 7 + i % 48 * (1 + i div 480)) % 64"
     grey = lambda x: F.floor(clamp01((x.cast("double") + 0.55) / 1.1) * 255).cast("int")
-    pages = settle(embedding_pages(spark, sf), {"_p": F.transform("embedding", grey)})
+    # Pixels are costly for the few bytes they come from.
+    found = spread(embedding_pages(spark, sf), "volume_id", "page")
+    pages = settle(found, {"_p": F.transform("embedding", grey)})
     digits = F.expr(
         f"transform(sequence(0, 2303), i -> CASE WHEN page % 3 = 0 OR {inside} THEN lpad(hex(_p[cast({place} as int)]), 2, '0') ELSE 'FF' END)"
     )
@@ -125,7 +129,7 @@ _SCANNED = ("spread", "review_score", "stability_score", "relative_score")
 @query("scan_rasters")
 def scan_rasters(spark, sf):
     """The whole scan in both reading directions."""
-    pages = _framed_rasters(spark, sf)
+    pages = durable(_framed_rasters(spark, sf))  # read four times
     found = [rasters.scan_rasters(pages, reading).withColumn("reading", F.lit(reading)) for reading in ("rtl", "ltr")]
     columns = ("reading", "volume_id", "right_page", "left_page", *_SCANNED, "rank", "cluster", "rank_in_cluster", "decision", "selected")
     return rounded(found[0].unionByName(found[1]), _SCANNED).select(*columns)
