@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from leafwise.functions.names import padded, padded4
 from leafwise.operators.ordered import chunk_bits, number_rows, ranked, running
+from leafwise.session import durable
 
 VOLUME = ["volume_id"]
 SPINE_COLUMNS = (
@@ -165,11 +166,11 @@ def merged_ranges(ranges: DataFrame) -> DataFrame:
     return grouped.groupBy("volume_id", "_group").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_group")
 
 
-def _in_ranges(spine: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join on ranges. Ranges are merged, then cut at chunk borders: the join key is
+def _in_ranges(spine: DataFrame, merged: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join on merged ranges. They are cut at chunk borders: the join key is
     (volume, chunk), a long volume spreads over many tasks, and an entry meets one range at most."""
     bits = chunk_bits(spine.sparkSession)
-    cut = merged_ranges(ranges.select("volume_id", "start", "end").distinct()).select(
+    cut = merged.select(
         "volume_id",
         "start",
         "end",
@@ -188,8 +189,10 @@ def _in_ranges(spine: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
 def delete_entries(spine: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept and renumbered, deleted with their old indexes) for ``ranges(volume_id, start, end)``."""
     valid = check_ranges(spine, ranges).where(F.col("error").isNull())
-    kept = _in_ranges(spine, valid, "left_anti").withColumn("_pos", F.col("entry_index"))
-    deleted = _in_ranges(spine, valid, "left_semi")
+    # Merging takes three ordered passes, each of which reads its input twice, and both joins read the merged ranges.
+    merged = durable(merged_ranges(durable(valid.select("volume_id", "start", "end").distinct())))
+    kept = _in_ranges(spine, merged, "left_anti").withColumn("_pos", F.col("entry_index"))
+    deleted = _in_ranges(spine, merged, "left_semi")
     return _renumbered(kept, "_pos", []).select(*SPINE_COLUMNS), deleted.select(*SPINE_COLUMNS)
 
 
@@ -361,7 +364,7 @@ def selected_image_names(spine: DataFrame, selection: DataFrame, existing: DataF
     """
     pages = spine.where(~is_blank()).select("volume_id", F.col("entry_index").alias("index"), "ext")
     rows = selection.join(pages, ["volume_id", "index"]).join(lengths(spine), "volume_id")
-    rows = rows.withColumn("_stem", padded(F.col("index") + 1, F.col("entry_count")))
+    rows = durable(rows.withColumn("_stem", padded(F.col("index") + 1, F.col("entry_count"))))  # numbering reads it three times
     nth = number_rows(rows, ["volume_id", "_stem", "ext"], "seq", "_nth")
     if existing is None:
         place = F.col("_nth")
@@ -390,11 +393,12 @@ def _free_suffixes(rows: DataFrame, existing: DataFrame) -> DataFrame:
             F.nullif(F.regexp_extract("name", r"^([0-9]+)(?:-([0-9]+))?\.([^.]+)$", 2), F.lit("")).cast("bigint"),
             F.lit(0).cast("bigint"),
         ).alias("_used"),
-    ).distinct()
+    )
+    parts = durable(parts.distinct())
     used = number_rows(parts, keys, "_used", "_rank").select(
         *keys, (F.col("_used") - F.col("_rank")).alias("_key"), F.lit(0).alias("_side")
     )
-    both = rows.withColumns({"_key": F.col("_nth"), "_side": F.lit(1)}).unionByName(used, allowMissingColumns=True)
+    both = durable(rows.withColumns({"_key": F.col("_nth"), "_side": F.lit(1)}).unionByName(used, allowMissingColumns=True))
     counted = running(both, keys, "_key", sums={"_before": (F.col("_side") == 0).cast("bigint")}, tie=["_side"])
     return counted.where(F.col("_side") == 1).withColumn("_suffix", F.col("_nth") + F.col("_before"))
 

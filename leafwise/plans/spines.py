@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafwise.operators import spine as ops
-from leafwise.plans.inputs import ORDER_SPINE_SQL, order_spine, table
+from leafwise.plans.inputs import ORDER_SPINE_SQL, order_spine, stored_spine, table
 from leafwise.plans.registry import query
+from leafwise.session import durable
 
 BASE = ORDER_SPINE_SQL
 COLUMNS = ", ".join(ops.SPINE_COLUMNS)
@@ -16,6 +17,10 @@ def _spine(spark, sf):
     return order_spine(spark, sf).select(*ops.SPINE_COLUMNS, "part", "supp", "quantity")
 
 
+def _stored(spark, sf):
+    return stored_spine(spark, sf).select(*ops.SPINE_COLUMNS, "part", "supp", "quantity")
+
+
 # Blank points: up to two per entry, some past the end of the volume.
 _POINTS = """points AS (SELECT volume_id, entry_index + CASE WHEN part % 40 = 0 THEN 9 ELSE 0 END AS idx,
   entry_index * 10 + k AS seq FROM (SELECT *, unnest(generate_series(1, supp % 3)) AS k FROM order_spine)),
@@ -211,9 +216,9 @@ def move_entries(spark, sf):
 @query("recover_deleted", f"WITH {BASE} SELECT {COLUMNS} FROM order_spine")
 def recover_deleted(spark, sf):
     """Deleting and recovering gives the old spine back."""
-    spine = _spine(spark, sf)
+    spine = _stored(spark, sf)
     kept, deleted = ops.delete_entries(spine, _ranges(spine))
-    return ops.recover_deleted(kept, deleted)
+    return ops.recover_deleted(durable(kept), durable(deleted))
 
 
 @query(
@@ -233,12 +238,12 @@ def recover_deleted(spark, sf):
 )
 def recover_deleted_clamped(spark, sf):
     """Recovery after further deletions: old indexes past the end are appended."""
-    spine = _spine(spark, sf)
+    spine = _stored(spark, sf)
     at = F.col("entry_index")
     gone = spine.where(F.col("quantity") % 2 == 0)
     cut = spine.where((F.col("quantity") % 2 == 0) | (F.col("quantity") % 5 == 0))
     kept, _ = ops.delete_entries(spine, cut.select("volume_id", at.alias("start"), at.alias("end")))
-    back = ops.recover_deleted(kept, gone.select(*ops.SPINE_COLUMNS))
+    back = ops.recover_deleted(durable(kept), gone.select(*ops.SPINE_COLUMNS))
     return back.select("volume_id", "entry_index", "source_index", "kind")
 
 
@@ -392,7 +397,7 @@ def _picks(spine):
       stem || CASE WHEN nth > 0 THEN '-' || nth ELSE '' END || '.' || ext AS file_name FROM chosen""",
 )
 def selected_image_names(spark, sf):
-    spine = _spine(spark, sf)
+    spine = _stored(spark, sf)
     return ops.selected_image_names(spine, _picks(spine))
 
 
@@ -408,7 +413,7 @@ def selected_image_names(spark, sf):
 )
 def selected_image_names_existing(spark, sf):
     """Names that avoid files already in the folder."""
-    spine = _spine(spark, sf)
+    spine = _stored(spark, sf)
     plain = ops.selected_image_names(spine, _picks(spine))
     suffix = F.coalesce(F.nullif(F.regexp_extract("file_name", r"-([0-9]+)\.", 1), F.lit("")).cast("int"), F.lit(0))
     there = plain.where((F.col("index") + suffix) % 2 == 0).select("volume_id", F.col("file_name").alias("name"))
