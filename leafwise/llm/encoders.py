@@ -10,12 +10,15 @@ Texts take one of three ways, all with the ids of the library:
   batches of bytes, pieces told apart by 64-bit hashes inside one slice of a batch;
 * other texts below U+0250: cut by the pattern, one text at a time;
 * all else, and texts with the mark of a special string: given to the library as a whole.
+
+Pieces of the byte file go to the library's model alone: its other steps, cutting and spelling the bytes, are done here.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import struct
 from collections.abc import Callable
 from functools import lru_cache
 from typing import NamedTuple
@@ -65,6 +68,14 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ODD = regex.compile("[^\t\n\r\x20-\x7e¡-¬®-įı-ɏ]|<\\|")
 
 
+@lru_cache(1)
+def _spelling() -> dict[int, str]:
+    """The letter by which byte-level files spell each byte: itself if it can be printed, else one from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(shown)]
+    return {**{b: chr(b) for b in shown}, **{b: chr(0x100 + i) for i, b in enumerate(others)}}
+
+
 class _Memo(dict):
     """Answers for pieces in two generations: a full one is kept until the next is full."""
 
@@ -114,7 +125,21 @@ class Encoder:
         self.tokenizer = load(path)
         self.lower = self.tokenizer.normalizer is not None
         self.find = regex.compile(WORD_PATTERN if self.lower else BYTE_PATTERN).findall
-        self.memo = _Memo(lambda piece: np.array(self.raw(piece), "<u4").tobytes())
+        # The word file normalises a piece and marks its end; the byte file does neither.
+        self.memo = _Memo(self._library if self.lower else self._model())
+
+    def _library(self, piece: str) -> bytes:
+        return np.array(self.raw(piece), "<u4").tobytes()
+
+    def _model(self) -> Callable[[str], bytes]:
+        """Ids of one pre-token straight from the model, without the library's passes over a whole text."""
+        tokenize, spelling, pack = self.tokenizer.model.tokenize, _spelling(), struct.pack
+
+        def ids(piece: str) -> bytes:
+            tokens = tokenize(piece.encode().decode("latin-1").translate(spelling))
+            return pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
+        return ids
 
     def raw(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -201,12 +226,13 @@ class Encoder:
 
     def packed(self, piece: str | tuple[str]) -> bytes:
         """Ids of a piece as little-endian unsigned 32-bit integers."""
-        return np.array(self.raw(piece[0]), "<u4").tobytes() if isinstance(piece, tuple) else self.memo[piece]
+        return self._library(piece[0]) if isinstance(piece, tuple) else self.memo[piece]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text begins among them."""
         cut = self.pieces(texts)
-        parts = [self.packed(p) for p in cut.distinct]
+        memo = self.memo
+        parts = [memo[p] if isinstance(p, str) else self.packed(p) for p in cut.distinct]
         lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         pool = np.frombuffer(b"".join(parts), "<u4")
         sizes = lengths[cut.codes]

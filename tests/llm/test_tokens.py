@@ -3,12 +3,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.orc as orc
 import pytest
 from llm_helpers import clashing, docs, empty, frame, rows, rows_of  # noqa: F401
 
 from leafwise.llm import orc_ids, packing, token_cache, tree_bpe
-from leafwise.llm.encoders import load, tokenizer_path
+from leafwise.llm.encoders import Encoder, load, tokenizer_path
 
 WORD, BYTE = tokenizer_path("word_bpe_49k.json"), tokenizer_path("byte_bpe_50k.json")
 
@@ -77,6 +78,28 @@ def test_documents_by_tree(spark, docs, rows):
     assert tree_bpe.encode_documents(clashing(docs), WORD).count() == len(rows)
 
 
+# --- byte encoder ---------------------------------------------------------------------------------
+
+
+def test_byte_pieces_go_to_the_model_alone(monkeypatch):
+    rng = random.Random(11)
+    kinds = ["abcde ", "the quick'sre ll \n", "a1 2.,!\t\r\n  ", "éÉßıĕÿɏ¡¬® \xad", "<|#>~ ", "x'tve'' "]
+    texts = ["", " ", "it's   two\n\n words", "¡", "¬®±ÿ", *("".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randint(0, 200))) for _ in range(400))]
+    plain = [t for t in texts if "<|" not in t and "\xad" not in t]
+    want = [library(BYTE, t) for t in plain]
+    whole = [library(BYTE, t) for t in texts]
+    # Anything else, such as marks of special strings, still takes the library as a whole.
+    ids, bounds = Encoder(BYTE).encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == whole
+
+    def unexpected(self, text):
+        raise AssertionError(f"the whole library was called for {text!r}")
+
+    monkeypatch.setattr(Encoder, "raw", unexpected)
+    ids, bounds = Encoder(BYTE).encode(pa.array(plain))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
+
+
 # --- ORC ------------------------------------------------------------------------------------------
 
 
