@@ -25,12 +25,28 @@ def _parts(path: Column) -> Column:
 
 
 def normalize_path(path: Column) -> Column:
-    """Like POSIX ``normpath``: '' becomes '.', '..' climbs, repeated slashes collapse.
+    """Like POSIX ``normpath``: '' becomes '.', '..' climbs, repeated slashes collapse."""
+    return folded_path(shortened_path(path))
 
-    Most paths are normal already; only the others go through the part-by-part fold.
+
+def shortened_path(path: Column) -> Column:
+    """A path of the same meaning with ``/./``, ``//`` and then each ``name/../`` cut out once; nested ``..`` stay."""
+    cut = F.regexp_replace(F.regexp_replace(path, r"/(?:\.?/)+", "/"), r"(?<![^/])(?!\.\.?/)[^/]+/\.\./", "")
+    return F.when(_odd(path), cut).otherwise(path)
+
+
+def folded_path(short: Column) -> Column:
+    """The normal form of ``shortened_path``: most are normal, only the others go through the part-by-part fold.
+
+    Spark compiles no operator that holds the fold; kept apart from the rest, it alone is interpreted.
     """
-    odd = path.rlike(r"(^|/)\.\.?(/|$)|//|.+/$|^$")
-    return F.when(odd, _folded(path)).otherwise(path)
+    return F.when(_odd(short), _folded(short)).otherwise(short)
+
+
+def _odd(path: Column) -> Column:
+    # Plain searches first: a pattern for all of it would be tried at every place of every path.
+    dots = (path.contains("/.") | path.startswith(".")) & path.rlike(r"(?:^|/)\.\.?(?:/|$)")
+    return path.contains("//") | (path.endswith("/") & (path != "/")) | (path == "") | dots
 
 
 def _folded(path: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from leafwise.functions.frames import settle
 from leafwise.functions.names import extension, padded4
-from leafwise.functions.paths import directory, join_path, normalize_path
+from leafwise.functions.paths import directory, folded_path, join_path, shortened_path
 
 # Names, types and texts a package must use.
 MIMETYPE_NAME = "mimetype"
@@ -40,7 +40,9 @@ def _found(rows: DataFrame, rule: str, detail: Column) -> DataFrame:
 
 
 def has_property(name: str) -> Column:
-    return F.array_contains(F.split(F.coalesce("properties", F.lit("")), r"\s+"), name)
+    text = F.coalesce("properties", F.lit(""))
+    # Only a text that holds the name anywhere is split.
+    return text.contains(name) & F.array_contains(F.split(text, r"\s+"), name)
 
 
 def resolve_manifest(manifest: DataFrame) -> DataFrame:
@@ -51,8 +53,8 @@ def resolve_manifest(manifest: DataFrame) -> DataFrame:
     if "archive_path" in manifest.columns:
         return manifest
     usable = (F.coalesce("item_id", F.lit("")) != "") & (F.coalesce("href", F.lit("")) != "")
-    path = normalize_path(F.concat(F.lit(f"{PACKAGE_FOLDER}/"), F.col("href")))
-    return settle(manifest.where(usable), {"archive_path": path})
+    path = shortened_path(F.concat(F.lit(f"{PACKAGE_FOLDER}/"), F.col("href")))
+    return settle(manifest.where(usable), {"archive_path": path}).withColumn("archive_path", folded_path(F.col("archive_path")))
 
 
 def duplicate_entries(entries: DataFrame) -> DataFrame:
@@ -67,26 +69,26 @@ def container_files(entries: DataFrame) -> DataFrame:
     content only matters for the mimetype entry.
     """
     mime = F.col("name") == MIMETYPE_NAME
+    # Values of fixed width, no strings: Spark then aggregates by hash and need not sort the entries.
     state = entries.groupBy("book_id").agg(
-        F.min_by("name", "ordinal").alias("_first"),
+        F.min_by(mime, "ordinal").alias("_first"),
         F.max_by("compress_type", F.when(mime, F.col("ordinal"))).alias("_compress"),
-        F.max_by("content", F.when(mime, F.col("ordinal"))).alias("_content"),
+        F.max_by(F.col("content") == MIMETYPE_CONTENT, F.when(mime, F.col("ordinal"))).alias("_content"),
         F.count_if(mime).alias("_mime"),
         *[F.count_if(F.col("name") == name).alias(f"_file{i}") for i, name in enumerate(REQUIRED_FILES)],
     )
     there = F.col("_mime") > 0
-    problems = F.array_compact(
-        F.array(
-            F.when(F.col("_first") != MIMETYPE_NAME, "EPUB mimetype must be the first zip entry"),
-            F.when(there & (F.col("_compress") != 0), "EPUB mimetype must be stored without compression"),
-            F.when(there & (F.col("_content") != MIMETYPE_CONTENT), "EPUB mimetype has invalid content"),
-            *[
-                F.when(F.col(f"_file{i}") == 0, f"Required EPUB file missing: {name}")
-                for i, name in enumerate(REQUIRED_FILES)
-            ],
-        )
+    problems = F.array(
+        F.when(~F.col("_first"), "EPUB mimetype must be the first zip entry"),
+        F.when(there & (F.col("_compress") != 0), "EPUB mimetype must be stored without compression"),
+        F.when(there & ~F.col("_content"), "EPUB mimetype has invalid content"),
+        *[
+            F.when(F.col(f"_file{i}") == 0, f"Required EPUB file missing: {name}")
+            for i, name in enumerate(REQUIRED_FILES)
+        ],
     )
-    return state.select("book_id", F.lit("container").alias("rule"), F.explode(problems).alias("detail"))
+    found = state.select("book_id", F.lit("container").alias("rule"), F.explode(problems).alias("detail"))
+    return found.where(F.col("detail").isNotNull())
 
 
 def missing_hrefs(manifest: DataFrame, entries: DataFrame) -> DataFrame:
@@ -151,7 +153,8 @@ def media_types(manifest: DataFrame) -> DataFrame:
     """Image items whose media type does not belong to their extension."""
     types = F.create_map(*[F.lit(text) for item in IMAGE_TYPES.items() for text in item])
     expected = F.try_element_at(types, extension(F.col("archive_path")))
-    rows = resolve_manifest(manifest).where(F.col("media_type").startswith("image/")).withColumn("_expected", expected)
+    # A filter on the formula would find the extension once for each mention.
+    rows = settle(resolve_manifest(manifest).where(F.col("media_type").startswith("image/")), {"_expected": expected})
     off = rows.where(F.col("_expected") != F.col("media_type"))
     text = F.concat(
         F.lit("Image media type mismatch for "), "archive_path", F.lit(": "), "media_type", F.lit(" != "), "_expected"
