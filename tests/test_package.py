@@ -1,9 +1,10 @@
 import posixpath
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from leafwise.functions import paths
+from leafwise.functions import names, paths
 from leafwise.operators import package
 
 ENTRIES = "book_id long, ordinal long, name string, compress_type int, content string"
@@ -64,3 +65,12 @@ def test_properties_are_words(spark):
     texts = ["nav", "x nav", "navy", "x-nav", "nav\tx", None, ""]
     rows = spark.createDataFrame([(t,) for t in texts], "properties string")
     assert [r[0] for r in rows.select(package.has_property("nav")).collect()] == [True, True, False, False, True, False, False]
+
+
+def test_base_names_are_sought_where_a_part_begins(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("a./\n\rb ") for _ in range(rng.randint(0, 9))) for _ in range(2000)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, "a/b.jpg", "a/b//", "///", "", None]], "path string")
+    got = names.base_name(F.col("path"))
+    assert "(?<![^/])" in got._jc.toString()
+    assert rows.where(~got.eqNullSafe(F.regexp_extract("path", "([^/]*)/*$", 1))).count() == 0
