@@ -70,7 +70,9 @@ def write_index(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> N
     """Write the inverted index of ``docs`` (``doc_id, text``): postings stay in the block of their documents, nothing is shuffled.
 
     Terms are known by 64-bit hashes. A null text has no terms; rows count one by one, also with equal or null
-    ids; other columns are ignored; an empty table gives an empty index. Blocks take whole texts.
+    ids; other columns are ignored; an empty table gives an empty index. Blocks take whole texts. Every block is a Parquet
+    row group of its own, because Spark's reader decodes the rows of a group (up to 4,096) at once: a task that writes
+    or reads the index decodes one block at a time, however large its part of the table is.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +80,7 @@ def write_index(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> N
             for rows in slices(batch, limit=block_bytes):
                 yield _block(rows)
 
-    docs.select("doc_id", "text").mapInArrow(build, INDEX).write.parquet(path)
+    docs.select("doc_id", "text").mapInArrow(build, INDEX).write.option("parquet.block.row.count.limit", 1).parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

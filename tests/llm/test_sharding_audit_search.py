@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from llm_helpers import clashing, docs, empty, frame, prose, rows, rows_of  # noqa: F401
 from pyspark.sql import functions as F
@@ -223,6 +224,18 @@ def test_skipping_leaves_documents_out():
         assert dict(zip(*got)) == {d: s for d, s in zip(docs, scores) if s >= floor}
 
 
+def test_readers_of_the_index_decode_one_block_at_a_time(spark, tmp_path):
+    """Spark decodes a whole row group at once: one of all blocks of a task grows with the part of the table it read."""
+    table = [(i, prose(random.Random(i), 40) + f" only{i}") for i in range(30)]
+    path = tmp_path / "index"
+    ranked_search.write_index(frame(spark, table).coalesce(1), str(path), 1)
+    files = [pq.read_metadata(f) for f in path.glob("*.parquet")]
+    assert [f.row_group(k).num_rows for f in files for k in range(f.num_row_groups)] == [1] * 30
+    queries = [(k, f"bright river only{k}") for k in range(5)]
+    got = ranked_search.search(ranked_search.read_index(spark, str(path)), spark.createDataFrame(queries, "item_id long, text string"), 3)
+    assert sorted(rows_of(got), key=str) == brute_search(table, queries, 3)
+
+
 def test_search_edge_cases(spark):
     items = spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert ranked_search.search_documents(empty(spark), items).count() == 0
